@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chirrup.functions.arrays import bounded
 from chirrup.functions.paths import inside_root, normal_path, record_id, safe_id
 from chirrup.sources.manifests import SPLITS
 
@@ -29,7 +30,7 @@ def check_membership(manifest: DataFrame, labels: DataFrame, splits=SPLITS) -> D
     reason = F.when(F.col("_known").isNull(), "unknown_label").when(~F.col("split").isin(*splits), "unknown_split")
     if "declared_split" in manifest.columns:
         reason = reason.when(F.col("declared_split") != F.col("split"), "wrong_split")
-    rows = manifest.join(known, "label", "left").withColumn("reason", reason)
+    rows = manifest.join(bounded(known), "label", "left").withColumn("reason", reason)
     return rows.where("reason is not null").drop("_known")
 
 

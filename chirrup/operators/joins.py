@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chirrup.functions.arrays import bounded
 from chirrup.functions.rand import unit, uniform_int
 from chirrup.functions.scan import numbered
 
 
 def encode_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return df.join(labels.select("label", "label_id"), "label")
+    return df.join(bounded(labels.select("label", "label_id")), "label")
 
 
 def missing_audio(manifest: DataFrame, files: DataFrame) -> DataFrame:
