@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("curation", "clip_metrics", "detection", "signal", "augmentation", "files", "models", "streams")
+_MODULES = ("curation", "clip_metrics", "detection", "waveforms", "augmentation", "files", "models", "streams")
 
 
 def registered() -> tuple[dict, dict]:
