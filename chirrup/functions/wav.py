@@ -18,7 +18,7 @@ def header(content: bytes) -> dict:
     at, fmt, data = 12, None, None
     while at + 8 <= len(content) and data is None:
         name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 24 <= len(content):
             code, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", content, at + 8)
             if code == EXTENSIBLE and size >= 26:
                 code = struct.unpack_from("<H", content, at + 32)[0]

@@ -79,17 +79,19 @@ def probe_audio_headers(spark, sf_dir):
 @query(
     "load_clips",
     sql(
-        f"""SELECT path, fault, CASE WHEN fault IS NULL OR fault = 'expected_mono_at_rate' THEN round(list_sum(list_transform(range(1, 65), lambda i: i * samples[i])) * CASE WHEN clip_id % 17 = 3 THEN 0 ELSE 1 END, 2) + 0.0 END AS checksum FROM (
+        f"""SELECT path, fault, CASE WHEN fault IS NULL OR fault = 'expected_mono_at_rate' THEN round(list_sum(list_transform(range(1, 65), lambda i: i * CAST(CAST(CASE clip_id % 4 WHEN 0 THEN round_even(samples[i] * 32768, 0) / 32768
+    WHEN 1 THEN round_even(samples[i] * 8388608, 0) / 8388608 WHEN 2 THEN round_even(samples[i] * 2147483648, 0) / 2147483648 ELSE samples[i] END AS FLOAT) AS DOUBLE)))
+    * CASE WHEN clip_id % 17 = 3 THEN 0 ELSE 1 END, 6) + 0.0 END AS checksum FROM (
   SELECT *, 'c/' || CAST(clip_id AS VARCHAR) || '.wav' AS path, CASE WHEN clip_id % 19 = 4 THEN 'missing_wav_chunk'
     WHEN {STEREO} OR (clip_id % 4 = 1 AND clip_id % 3 = 0) THEN 'expected_mono_at_rate' END AS fault FROM v_clips)""",
         "v_clips",
-    ).replace("load", "load"),
+    ),
 )
 def load_clips(spark, sf_dir):
     files = wav_files(spark, sf_dir)
     out = audio.load_clips(v.clips(spark, sf_dir).select(F.concat(F.lit("c/"), "clip_id", F.lit(".wav")).alias("path")), files)
     weighted = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return out.select("path", "fault", r(weighted, 2).alias("checksum"))
+    return out.select("path", "fault", r(weighted).alias("checksum"))
 
 
 @query(
