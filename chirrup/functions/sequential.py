@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-Step = Callable[[pd.DataFrame, dict], list[tuple]]
 
+def fold_sorted(
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], step: Callable[..., Iterable[tuple]], returns: str
+) -> DataFrame:
+    """Feed the rows of each key, in order, to `step(state, *values)`.
 
-def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    """Feed the rows of each key in order to `step`, batch by batch.
-
-    `step(rows, state)` gets a run of rows of one key and that key's state, a
-    dict that starts empty and lives on into the key's next run.  Memory is one
-    Arrow batch plus the state, however many rows a key has.
+    `state` is a dict that starts empty for each key and lives through its rows.
+    Each tuple that `step` gives becomes an output row after the keys.  Memory is
+    one Arrow batch plus the state, however many rows a key has.
     """
-    names = [part.rsplit(" ", 1)[0].strip() for part in schema.split(",")]
+    found = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(returns).fields)
+    arrow = to_arrow_schema(found)
+    k = len(keys)
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, {}
         for batch in batches:
-            if batch.empty:
-                continue
             out = []
-            marks = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            bounds = sorted({0, *marks}) + [len(batch)]
-            for a, b in zip(bounds, bounds[1:]):
-                rows = batch.iloc[a:b]
-                key = tuple(rows[keys].iloc[0])
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                key = row[:k]
                 if key != current:
                     current, state = key, {}
-                out += [(*key, *values) for values in step(rows, state)]
-            yield pd.DataFrame(out, columns=names)
+                out.extend(key + result for result in step(state, *row[k:]))
+            columns = list(zip(*out)) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(stream, schema)
+    rest = [c for c in order if c not in values]
+    placed = df.select(*keys, *values, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.select(*keys, *values).mapInArrow(stream, found)

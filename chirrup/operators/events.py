@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -62,23 +61,20 @@ def _step(acc: Column, x: Column, release: float, cooldown: float) -> tuple[Colu
     return armed, x.ready & armed & (x.t - acc.last + EPS >= cooldown)
 
 
-def _carry(rows, state):
-    """State of a class at the start of each of its blocks, in time order."""
-    armed, last, off = state.get("s", (True, NEVER, math.nan))
-    release = state.setdefault("release", rows["release"].iloc[0])
-    out = []
-    for r in rows.itertuples(index=False):
-        out.append((r.block, armed, last, off))
-        ready = armed or (r.first_on - off + EPS >= release)
-        lasts = list(r.lasts)
-        at = (0 if ready else len(lasts)) + (lasts.index(last) if last in lasts else 0)
-        armed = bool(r.out_armed[at])
-        if r.out_changed[at]:
-            last = float(r.out_last[at])
-        if not math.isnan(r.last_off):
-            off = r.last_off
-    state["s"] = (armed, last, off)
-    return out
+def _carry(release: float):
+    """State of a class at the start of each of its blocks, walked in time order."""
+
+    def step(state, block, first_on, last_off, lasts, out_armed, out_last, out_changed):
+        armed, last, off = state.get("s", (True, NEVER, None))
+        start = (block, armed, last, off)
+        rested = first_on is not None and off is not None and first_on - off + EPS >= release
+        at = (0 if armed or rested else len(lasts)) + (lasts.index(last) if last in lasts else 0)
+        if out_changed[at]:
+            last = out_last[at]
+        state["s"] = (out_armed[at], last, off if last_off is None else last_off)
+        return (start,)
+
+    return step
 
 
 def decode_events(
@@ -145,16 +141,13 @@ def decode_events(
     outs = F.flatten(
         F.transform(F.array(F.lit(True), F.lit(False)), lambda a: F.transform("lasts", lambda last: leave(a, last)))
     )
-    nan = F.lit(float("nan"))
     maps = tables.withColumn("outs", outs).select(
-        "recording_id", "label", "block", F.coalesce("first_on", nan).alias("first_on"), F.coalesce("last_off", nan).alias("last_off"),
-        "lasts", F.col("outs.armed").alias("out_armed"), F.col("outs.last").alias("out_last"), F.col("outs.changed").alias("out_changed"),
-        F.lit(float(release)).alias("release"),
+        "recording_id", "label", "block", "first_on", "last_off", "lasts",
+        F.col("outs.armed").alias("out_armed"), F.col("outs.last").alias("out_last"), F.col("outs.changed").alias("out_changed"),
     )
-    rec = windows.schema["recording_id"].dataType.simpleString()
     starts = fold_sorted(
-        maps, ["recording_id", "label"], ["block"], _carry,
-        f"recording_id {rec}, label string, block bigint, armed boolean, last double, off double",
+        maps, ["recording_id", "label"], ["block"], ["block", "first_on", "last_off", "lasts", "out_armed", "out_last", "out_changed"],
+        _carry(release), "block bigint, armed boolean, last double, off double",
     )
 
     emitted = "array<struct<idx:bigint,t:double,conf:double>>"
@@ -168,7 +161,7 @@ def decode_events(
             F.when(x.off, x.t).otherwise(acc.off).alias("off"), F.when(emits, F.concat(acc.out, found)).otherwise(acc.out).alias("out"),
         ).cast(shape)
 
-    begin = F.struct("armed", "last", F.nanvl("off", F.lit(None).cast("double")), F.array().cast(emitted)).cast(shape)
+    begin = F.struct("armed", "last", "off", F.array().cast(emitted)).cast(shape)
     done = blocks.select("recording_id", "label", "block", "rows").join(starts, ["recording_id", "label", "block"])
     return done.select("recording_id", "label", F.inline(F.aggregate("rows", begin, emit, lambda acc: acc.out))).select(
         "recording_id", F.col("idx").alias("window_index"), "label", F.col("t").alias("time_seconds"), F.col("conf").alias("confidence")
@@ -181,20 +174,18 @@ def number_detections(detections: DataFrame, block_seconds: float = 3600.0) -> D
     return numbered(detections, ["recording_id"], ["time_seconds", "window_index"], block, "detection_id")
 
 
-def _greedy(rows, state):
+def _greedy(state, kind, at, ident, end, until):
     """Each detection takes the open, unused event that ends first."""
     waiting = state.setdefault("waiting", [])
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == 0:
-            heapq.heappush(waiting, (r.end_seconds, r.id, r.until))
-            continue
-        while waiting and waiting[0][2] < r.at:
-            heapq.heappop(waiting)
-        if waiting:
-            end, event_id, _ = heapq.heappop(waiting)
-            out.append((event_id, r.id, r.at - end))
-    return out
+    if kind == 0:
+        heapq.heappush(waiting, (end, ident, until))
+        return ()
+    while waiting and waiting[0][2] < at:
+        heapq.heappop(waiting)
+    if not waiting:
+        return ()
+    end, event_id, _ = heapq.heappop(waiting)
+    return ((event_id, ident, at - end),)
 
 
 def match_events(
@@ -227,10 +218,9 @@ def match_events(
     reachable = (F.col("kind") == 0) | (F.col("_reach") >= F.col("at"))
     stretches = stretches.where(reachable).withColumn("stretch", F.coalesce("_start", "_open"))
 
-    rec = events.schema["recording_id"].dataType.simpleString()
     pairs = fold_sorted(
-        stretches.drop("_reach", "_start", "_open"), [*keys, "stretch"], order, _greedy,
-        f"recording_id {rec}, label string, stretch double, event_id bigint, detection_id bigint, latency_seconds double",
+        stretches, [*keys, "stretch"], order, ["kind", "at", "id", "end_seconds", "until"], _greedy,
+        "event_id bigint, detection_id bigint, latency_seconds double",
     ).drop("stretch", "label")
     confidence = detections.select("recording_id", "detection_id", "confidence")
     by_event = pairs.join(confidence, ["recording_id", "detection_id"])

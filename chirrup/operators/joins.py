@@ -27,7 +27,7 @@ def background_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def heldout_overlap(pool: DataFrame, heldout: DataFrame) -> DataFrame:
     """Held-out rows that share a path or a source group with the mixing pool."""
-    groups = pool.where("source_group <> ''").select("source_group")
+    groups = pool.where("source_group <> ''").select("source_group").distinct()
     by_path = heldout.join(pool.select("path"), "path", "left_semi").withColumn("shared", F.lit("path"))
     by_group = heldout.join(groups, "source_group", "left_semi").withColumn("shared", F.lit("source_group"))
     return by_path.unionByName(by_group)
@@ -87,12 +87,23 @@ def eligible_pairs(
     return pairs.where(F.col("time_seconds").between(low, high)).drop("_bucket")
 
 
-def index_pool(pool: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Number the pool's rows 0..n-1 in the order of md5(key), and say how many there are."""
-    n = pool.count()
+def index_pool(pool: DataFrame, key: str) -> DataFrame:
+    """Number the pool's rows 0..n-1 in the order of md5(key), as pool_index."""
     keyed = pool.withColumn("_all", F.lit(0)).withColumn("_digest", F.md5(F.col(key).cast("string")))
     out = numbered(keyed, ["_all"], ["_digest", key], F.substring("_digest", 1, 3), "pool_index")
-    return out.drop("_all", "_digest"), n
+    return out.drop("_all", "_digest")
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def pool_size(pool: DataFrame, value: str | None = None) -> tuple[int, int]:
+    """(rows, bytes of the `value` arrays) of a pool, measured before it is joined."""
+    size = F.sum(F.size(value) * 8 + 64) if value else F.count("*") * 64
+    rows, weight = pool.agg(F.count("*"), size).first()
+    if not rows:
+        raise ValueError("the pool is empty")
+    return rows, weight
 
 
 def random_pool_pick(
@@ -104,11 +115,9 @@ def random_pool_pick(
     salts and the clips spread over them; Spark broadcasts the pool by itself
     when its measured size allows.
     """
-    indexed, n = index_pool(pool, pool_key)
-    if n == 0:
-        raise ValueError("the pool is empty")
+    n, _ = pool_size(pool)
     copies = max(1, spread // n)
-    salted = indexed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    salted = index_pool(pool, pool_key).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     pick = uniform_int(unit(F.col(key), salt, seed), F.lit(0), F.lit(n - 1))
     copy = F.pmod(F.xxhash64(key), F.lit(copies)).cast("int")
     picked = clips.withColumn("pool_index", pick).withColumn("_copy", copy)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chirrup.functions.arrays import fit_length
 from chirrup.operators import joins, metrics
 from chirrup.operators.checks import check_scores
+from chirrup.session import materialize
 from chirrup.sources.manifests import require_none
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -18,8 +19,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 def fit_clips(clips: DataFrame, n: int, **policy) -> tuple[DataFrame, DataFrame]:
     """(clips of length n, clips skipped as too long), each with its length_action."""
     samples, action = fit_length(F.col("samples"), n, F.col("label"), **policy)
-    fitted = clips.withColumn("length_action", action).withColumn("samples", samples)
-    return fitted.where("samples is not null"), fitted.where("samples is null")
+    skipped = F.col("length_action") == "skipped_long"
+    judged = clips.withColumn("length_action", action)
+    return judged.where(~skipped).withColumn("samples", samples), judged.where(skipped)
 
 
 def evaluate_clips(
@@ -34,7 +36,8 @@ def evaluate_clips(
     scored = scorer(kept)
     if strict:
         require_none(check_scores(scored, labels.count(), kind).where("fault is not null"), "invalid scores")
-    predicted = metrics.predictions(scored, labels, kind, smoothing)
+    # The model runs once; everything below reads its stored, narrow predictions.
+    predicted = materialize(metrics.predictions(scored, labels, kind, smoothing))
     confusion = metrics.confusion_matrix(predicted, labels)
     fitted = kept.select("length_action", "resampled").unionByName(skipped.select("length_action", "resampled"))
     return {

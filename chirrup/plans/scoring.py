@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chirrup.session import materialize
+
 MODEL_LIMIT = 4_000_000
 
 
@@ -51,16 +53,19 @@ def score_clips(
 def fit_centroids(clips: DataFrame, column: str = "samples", dims: int | None = None) -> np.ndarray:
     """Mean vector per label id: the parameters [classes, dims] of the built-in scorer.
 
-    The means are computed by Spark; only classes * dims numbers come back, and
-    their count is checked first.
+    Vectors are averaged whole, before the shuffle as far as possible.  Only
+    classes * dims numbers come back, and their count is checked first.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     vector = F.slice(column, 1, dims) if dims else F.col(column)
-    cells = clips.select("label_id", F.posexplode(vector).alias("pos", "x"))
-    means = cells.groupBy("label_id", "pos").agg(F.avg("x").alias("mean"))
-    rows = means.limit(MODEL_LIMIT + 1).toPandas()
-    if len(rows) > MODEL_LIMIT:
+    vectors = clips.select("label_id", array_to_vector(vector.cast("array<double>")).alias("x"))
+    means = vectors.groupBy("label_id").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
+    means = materialize(means)
+    if (means.agg(F.sum(F.size("mean"))).first()[0] or 0) > MODEL_LIMIT:
         raise ValueError(f"a centroid model may have at most {MODEL_LIMIT} numbers")
-    return rows.pivot(index="label_id", columns="pos", values="mean").sort_index().to_numpy()
+    return np.array([r.mean for r in means.orderBy("label_id").collect()])
 
 
 def centroid_scorer(centroids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirrup.functions.arrays import bounded
 from chirrup.operators import checks, curation, joins
-from chirrup.sources.manifests import require_none
+from chirrup.sources.manifests import SPLITS, require_none
 
 
 def validate_dataset(
@@ -20,33 +21,31 @@ def validate_dataset(
 
     `files` has one row per audio file: path, sample_rate, channels, frames, all_finite, sha256.
     """
-    probed = manifest.drop("frames", "sha256").join(files, "path")
-
-    def fault(rows: DataFrame, kind: str | None = None, subject: str = "path") -> DataFrame:
-        name = F.lit(kind) if kind else F.col("reason")
-        return rows.select(name.alias("kind"), F.col("split"), F.col(subject).alias("subject"))
-
-    format_fault = (
-        F.when(F.col("sample_rate") != 16000, "sample_rate")
+    known = labels.select("label").withColumn("_known", F.lit(True))
+    found = files.withColumn("_found", F.lit(True))
+    # One pass over manifest and files judges every row.
+    rows = manifest.drop("frames", "sha256").join(found, "path", "left").join(bounded(known), "label", "left")
+    wrong_split = F.col("declared_split") != F.col("split") if "declared_split" in manifest.columns else F.lit(False)
+    here = F.col("_found").isNotNull()
+    faults = F.array(
+        F.when(F.col("_known").isNull(), "unknown_label").when(~F.col("split").isin(*SPLITS), "unknown_split").when(wrong_split, "wrong_split"),
+        F.when(~here, "missing_audio")
+        .when(F.col("sample_rate") != 16000, "sample_rate")
         .when(F.col("channels") != 1, "channels")
         .when(F.col("frames") <= 0, "empty")
-        .when(~F.col("all_finite"), "nonfinite")
+        .when(~F.col("all_finite"), "nonfinite"),
+        F.when(here & (F.col(declared) != "") & (F.col(declared) != F.col("sha256")), "checksum_mismatch"),
     )
-    kept, _, _ = checks.filter_long_commands(probed, window_seconds)
-    leaks = curation.split_leakage(probed)
-    violations = (
-        fault(checks.check_membership(manifest, labels))
-        .unionByName(fault(joins.missing_audio(manifest, files), "missing_audio"))
-        .unionByName(fault(probed.withColumn("reason", format_fault).where("reason is not null")))
-        .unionByName(fault(probed.where((F.col(declared) != "") & (F.col(declared) != F.col("sha256"))), "checksum_mismatch"))
-        .unionByName(fault(checks.emptied_splits(probed, window_seconds).withColumn("none", F.lit(None).cast("string")), "empty_split", "none"))
-        .unionByName(
-            leaks.select(
-                F.concat(F.lit("leak_"), "kind").alias("kind"), F.array_join("splits", ",").alias("split"), F.col("value").alias("subject")
-            )
-        )
+    by_row = rows.select(F.explode(F.array_compact(faults)).alias("kind"), "split", F.col("path").alias("subject"))
+    long = checks.too_long(window_seconds, 16000)
+    kept = rows.where(here).groupBy("split", "label").agg(F.count_if(~long).alias("n"))
+    emptied = kept.groupBy("split").agg(F.sum("n").alias("n")).where("n = 0")
+    leaks = curation.split_leakage(rows.where(here))
+    none = F.lit(None).cast("string")
+    violations = by_row.unionByName(emptied.select(F.lit("empty_split").alias("kind"), "split", none.alias("subject"))).unionByName(
+        leaks.select(F.concat(F.lit("leak_"), "kind").alias("kind"), F.array_join("splits", ",").alias("split"), F.col("value").alias("subject"))
     )
-    return curation.split_label_counts(kept), violations
+    return kept.where("n > 0"), violations
 
 
 def validate_strict(*args, **kwargs) -> DataFrame:

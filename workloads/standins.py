@@ -69,9 +69,8 @@ def class_map(spark, sf_dir) -> DataFrame:
     return ids.select(F.concat(F.lit("class_"), F.col("label_id")).alias("label"), "label_id")
 
 
-def event_log(spark, sf_dir) -> DataFrame:
-    """Events on their recording's own clock (seconds since its first event)."""
-    e = table(spark, sf_dir, "events").select(
+def raw_log(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").alias("recording_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
@@ -79,13 +78,21 @@ def event_log(spark, sf_dir) -> DataFrame:
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    first = e.groupBy("recording_id").agg(F.min("us").alias("us0"))
-    return e.join(first, "recording_id").withColumn("time_seconds", (F.col("us") - F.col("us0")) / F.lit(1e6))
+
+
+def on_own_clock(log: DataFrame, spark, sf_dir) -> DataFrame:
+    first = raw_log(spark, sf_dir).groupBy("recording_id").agg(F.min("us").alias("us0"))
+    return log.join(first, "recording_id").withColumn("time_seconds", (F.col("us") - F.col("us0")) / F.lit(1e6))
+
+
+def event_log(spark, sf_dir) -> DataFrame:
+    """Events on their recording's own clock (seconds since its first event)."""
+    return on_own_clock(raw_log(spark, sf_dir), spark, sf_dir)
 
 
 def windows(spark, sf_dir) -> DataFrame:
-    e = event_log(spark, sf_dir)
-    out = numbered(e, ["recording_id"], ["time_seconds", "event_id"], F.floor(F.col("time_seconds") / (7 * DAY)), "window_index")
+    week = F.floor(F.col("us") / (7 * DAY * 1e6))
+    out = on_own_clock(numbered(raw_log(spark, sf_dir), ["recording_id"], ["us", "event_id"], week, "window_index"), spark, sf_dir)
     return out.select("recording_id", "window_index", "time_seconds", F.col("label").alias("predicted_label"), "confidence")
 
 
