@@ -102,19 +102,56 @@ def clean_clip(clips: DataFrame, **settings) -> DataFrame:
     return clips.withColumn("clean", clean("samples", "channels", "sample_rate", "label"))
 
 
-def window_blocks(chunks: DataFrame, size: int, hop: int, block_frames: int) -> tuple[DataFrame, int]:
-    """Chunk pieces by (recording, block): each block's own samples and the `size` before them.
+def blocks_with_context(chunks: DataFrame, span: Column, before: Column, after: Column) -> DataFrame:
+    """Chunk pieces by (recording, block): each block of `span` frames with some context on both sides.
 
-    No task ever holds a whole recording.
+    A chunk is cut to what each block needs, so no task ever holds a whole
+    recording, however long its chunks are.
     """
-    span = max(1, block_frames // hop) * hop
     first, last = F.col("start_frame"), F.col("start_frame") + F.size("samples") - 1
-    blocks = F.sequence(F.floor(first / span), F.floor((last + size) / span))
-    spread = chunks.where(F.size("samples") > 0).select("recording_id", "start_frame", "samples", F.explode(blocks).alias("block"))
-    low = F.greatest(F.col("block") * span - size, F.col("start_frame"))
-    high = F.least((F.col("block") + 1) * span, F.col("start_frame") + F.size("samples"))
-    piece = F.slice("samples", (low - F.col("start_frame") + 1).cast("int"), (high - low).cast("int"))
-    return spread.where(high > low).select("recording_id", "block", low.alias("start_frame"), piece.alias("samples")), span
+    blocks = F.sequence(F.greatest(F.floor((first - after) / span), F.lit(0)), F.floor((last + before) / span))
+    others = [c for c in chunks.columns if c not in ("start_frame", "samples")]
+    spread = chunks.where(F.size("samples") > 0).select(*others, "start_frame", "samples", F.explode(blocks).alias("block"))
+    low = F.greatest(F.col("block") * span - before, first)
+    high = F.least((F.col("block") + 1) * span + after, last + 1)
+    piece = F.slice("samples", (low - first + 1).cast("int"), (high - low).cast("int"))
+    return spread.where(high > low).select(*others, "block", low.alias("start_frame"), piece.alias("samples"))
+
+
+def _joined(recording, pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+    """(first frame, samples) of a block's pieces put together."""
+    pdf = pdf.sort_values("start_frame")
+    starts, lengths = pdf["start_frame"].to_numpy(), pdf["samples"].map(len).to_numpy()
+    if (starts[1:] != starts[:-1] + lengths[:-1]).any():
+        raise ValueError(f"recording {recording}: chunks overlap or leave a gap after frame {starts[0]}")
+    return int(starts[0]), np.concatenate([np.asarray(x, dtype=np.float32) for x in pdf["samples"]])
+
+
+def resample_chunks(chunks: DataFrame, target: int = dsp.RATE, block_seconds: int = 60) -> DataFrame:
+    """Recordings at the target rate, as chunks of `block_seconds`.
+
+    `chunks` has recording_id, sample_rate, start_frame and samples.  Each block
+    sees enough context for the filter, so the result equals resampling the
+    recording whole.
+    """
+    rate = F.col("sample_rate")
+    context = rate * 1
+    pieces = blocks_with_context(chunks.select("recording_id", "sample_rate", "start_frame", "samples"), rate * block_seconds, context, context)
+    rec = chunks.schema["recording_id"].dataType.simpleString()
+
+    def convert(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        recording, rate, block = key
+        origin, x = _joined(recording, pdf)
+        # One second is a whole number of samples at both rates, so cuts at seconds stay aligned.
+        skip = (block * block_seconds - origin // rate) * target
+        y = dsp.resample(x.astype(np.float64), int(rate), target)[skip : skip + block_seconds * target].astype(np.float32)
+        row = (recording, target, block * block_seconds * target, y)
+        rows = [row] if len(y) else []
+        return pd.DataFrame(rows, columns=["recording_id", "sample_rate", "start_frame", "samples"]).astype({"recording_id": object, "samples": object})
+
+    return pieces.groupBy("recording_id", "sample_rate", "block").applyInPandas(
+        convert, f"recording_id {rec}, sample_rate int, start_frame bigint, samples array<float>"
+    )
 
 
 def map_windows(
@@ -128,23 +165,19 @@ def map_windows(
     [batch, size] to one value per window, inside the task: the windows, many
     times larger than the recording, are never stored.
     """
-    pieces, span = window_blocks(chunks, size, hop, int(block_seconds * rate))
+    span = max(1, int(block_seconds * rate) // hop) * hop
+    pieces = blocks_with_context(chunks.select("recording_id", "start_frame", "samples"), F.lit(span), F.lit(size), F.lit(0))
     rec = chunks.schema["recording_id"].dataType.simpleString()
     schema = f"""recording_id {rec}, window_index bigint, start_seconds double, end_seconds double, left_padding_seconds double, value {returns}"""
 
     def windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
         recording, block = key
-        pdf = pdf.sort_values("start_frame")
-        starts = pdf["start_frame"].to_numpy()
-        lengths = pdf["samples"].map(len).to_numpy()
-        if len(starts) > 1 and (starts[1:] != starts[:-1] + lengths[:-1]).any():
-            raise ValueError(f"recording {recording}: chunks overlap or leave a gap near frame {starts[0]}")
-        origin, stop = int(starts[0]), int(starts[-1] + lengths[-1])
+        origin, audio = _joined(recording, pdf)
+        stop = origin + len(audio)
         ends = np.arange(block * span + hop, stop + 1, hop)
         if stop > block * span and (ends.size == 0 or ends[-1] != stop):
             ends = np.append(ends, stop)
-        audio = np.concatenate([np.zeros(size, dtype=np.float32), *[np.asarray(s, dtype=np.float32) for s in pdf["samples"]]])
-        view = np.lib.stride_tricks.sliding_window_view(audio, size)
+        view = np.lib.stride_tricks.sliding_window_view(np.pad(audio, (size, 0)), size)
         values = []
         for at in range(0, len(ends), batch):
             values += list(apply(view[ends[at : at + batch] - origin]))
