@@ -139,7 +139,7 @@ def resample_chunks(chunks: DataFrame, target: int = dsp.RATE, block_seconds: in
     pieces = blocks_with_context(chunks.select("recording_id", "sample_rate", "start_frame", "samples"), rate * block_seconds, context, context)
     rec = chunks.schema["recording_id"].dataType.simpleString()
 
-    def convert(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def convert(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         recording, rate, block = key
         origin, x = _joined(recording, pdf)
         # One second is a whole number of samples at both rates, so cuts at seconds stay aligned.
@@ -170,7 +170,7 @@ def map_windows(
     rec = chunks.schema["recording_id"].dataType.simpleString()
     schema = f"""recording_id {rec}, window_index bigint, start_seconds double, end_seconds double, left_padding_seconds double, value {returns}"""
 
-    def windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         recording, block = key
         origin, audio = _joined(recording, pdf)
         stop = origin + len(audio)
