@@ -262,14 +262,38 @@ def log_mel(spark, sf_dir):
     return rows.select("clip_id", F.col("mel").cast("bigint").alias("mel"), F.col("frame").cast("bigint").alias("frame"), r(F.col("x"), 5).alias("x"))
 
 
-@query("resample")
+# The filter from its definition: a sinc cut at the lower Nyquist rate under a Kaiser window (Bessel series), with gain `up`.
+RESAMPLE_SQL = {
+    "conv": "SELECT 44100 AS rate, 160 AS up, 441 AS down, 441 AS widest UNION ALL SELECT 8000, 2, 1, 2",
+    "grid": "SELECT rate, up, widest, unnest(range(-10 * widest, 10 * widest + 1)) AS t FROM conv",
+    "raw": """SELECT rate, up, t, CASE WHEN t = 0 THEN 1.0 ELSE sin(pi() * t / widest) / (pi() * t / widest) END
+  * list_sum(list_transform(range(0, 30), lambda j: pow(pow(2.5 * sqrt(1 - pow(t / (10 * widest), 2)), j) / gamma(j + 1), 2))) AS v FROM grid""",
+    "taps": "SELECT rate, t, v * up / sum(v) OVER (PARTITION BY rate) AS h FROM raw",
+    "elem": "SELECT clip_id, unnest(samples) AS x, unnest(range(0, 64)) AS k FROM v_clips",
+    "outs": "SELECT rate, up, down, unnest(range(0, CAST(ceil(64 * up / down) AS BIGINT))) AS m FROM conv",
+    "weight": """SELECT o.rate, m, k, h FROM outs o CROSS JOIN (SELECT unnest(range(0, 64)) AS k)
+JOIN taps ON taps.rate = o.rate AND taps.t = m * down - k * up""",
+    "y": "SELECT clip_id, rate, m, sum(x * h) AS y FROM weight JOIN elem USING (k) GROUP BY 1, 2, 3",
+}
+
+
+@query("resample", sql("SELECT clip_id, rate, m AS pos, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 5) + 0.0 AS x FROM y", "v_clips", **RESAMPLE_SQL))
 def resample(spark, sf_dir):
-    """Every clip from 44.1 kHz and from 8 kHz to 16 kHz; tests check length, tone and energy."""
+    """Every clip from 44.1 kHz and from 8 kHz to 16 kHz."""
     c = v.clips(spark, sf_dir).select("clip_id", "samples", F.explode(F.array(F.lit(44100), F.lit(8000))).alias("rate"))
     y = c.withColumn("y", dsp.resampled(F.col("samples"), F.col("rate")))
-    return y.select("clip_id", "rate", F.size("y").alias("frames"), r(arrays.energy(F.col("y")), 4).alias("energy"))
+    long = y.select("clip_id", "rate", F.posexplode("y").alias("pos", "x"))
+    return long.select("clip_id", "rate", F.col("pos").cast("bigint").alias("pos"), r(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("pcm16_content_hash")
+@query(
+    "pcm16_content_hash",
+    sql(
+        """SELECT clip_id, sha256(unhex(string_agg(printf('%02x%02x', u % 256, u // 256), '' ORDER BY pos))) AS content_sha256 FROM (
+  SELECT clip_id, pos, CAST(round_even(greatest(-1.0, least(1.0, x)) * 32767, 0) AS BIGINT) AS q, CASE WHEN q < 0 THEN q + 65536 ELSE q END AS u FROM (
+    SELECT clip_id, unnest(samples) AS x, unnest(range(0, 64)) AS pos FROM v_clips)) GROUP BY 1""",
+        "v_clips",
+    ),
+)
 def pcm16_content_hash(spark, sf_dir):
     return v.clips(spark, sf_dir).select("clip_id", dsp.pcm16_content_hash(F.col("samples")).alias("content_sha256"))
