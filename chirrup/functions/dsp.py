@@ -151,12 +151,16 @@ def to_pcm16(x) -> bytes:
 
 
 def _series(f, returns):
-    """A pandas UDF that applies `f` to each row's values."""
+    """A pandas UDF that applies `f` to each row's values.
+
+    Marked nondeterministic so that the optimizer never evaluates it a second
+    time for a filter on its result.
+    """
 
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*columns)], dtype=object)
 
-    return F.pandas_udf(run, returns)
+    return F.pandas_udf(run, returns).asNondeterministic()
 
 
 def resampled(samples: Column, rate: Column, target: int = RATE) -> Column:

@@ -65,7 +65,7 @@ def activity_trim(clips: DataFrame, **settings) -> DataFrame:
         out = pd.DataFrame(rows, columns=["start", "end", "reason"])
         return out.astype({"start": "Int32", "end": "Int32", "reason": object})
 
-    return clips.withColumn("_t", spans("samples", "label")).select("*", "_t.*").drop("_t")
+    return clips.withColumn("_t", spans.asNondeterministic()("samples", "label")).select("*", "_t.*").drop("_t")
 
 
 def clean_wave(x, channels, rate, label, target=dsp.RATE, ceiling=0.98, **settings):
@@ -99,7 +99,7 @@ def clean_clip(clips: DataFrame, **settings) -> DataFrame:
         floats = ("original_duration_s", "trimmed_left_s", "trimmed_right_s", "duration_s", "peak_limiter_gain")
         return out.astype({"samples": object, "reason": object, "sample_rate": "Int32", **dict.fromkeys(floats, "Float64")})
 
-    return clips.withColumn("clean", clean("samples", "channels", "sample_rate", "label"))
+    return clips.withColumn("clean", clean.asNondeterministic()("samples", "channels", "sample_rate", "label"))
 
 
 def blocks_with_context(chunks: DataFrame, span: Column, before: Column, after: Column) -> DataFrame:

@@ -147,7 +147,7 @@ def curation_report(accepted: DataFrame, excluded: DataFrame, held_out: Column,
         F.coalesce(F.sum("n"), F.lit(0)).alias("excluded"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("exclusions"),
     )
-    one = F.lit(1).alias("_k")
-    row = totals.select("*", one).join(counts.select("*", one), "_k").join(reasons.select("*", one), "_k").drop("_k")
+    parts = totals.unionByName(counts, allowMissingColumns=True).unionByName(reasons, allowMissingColumns=True)
+    row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
     settings = [x for k, v in policy.items() for x in (F.lit(k), F.lit(float(v)))]
     return row.withColumn("policy", F.create_map(*settings)).withColumn("complete", F.lit(True))

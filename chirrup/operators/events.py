@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chirrup.functions.arrays import let
+from chirrup.functions.arrays import label_names, let
 from chirrup.functions.scan import exact_quantiles, numbered, running
 from chirrup.functions.sequential import fold_sorted
+from chirrup.session import materialize
 
 EPS = 1e-9
 NEVER = float("-inf")
@@ -188,6 +189,30 @@ def _greedy(state, kind, at, ident, end, until):
     return ((event_id, ident, at - end),)
 
 
+def _stretches(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Items within reach of an event, with `stretch`: the start of their run of overlapping events.
+
+    Blocks are scanned on their own.  Of a block the others need only how far its
+    events reach and where its last run starts; a run that seems to start in a
+    block really does when no earlier block reaches that far.
+    """
+    inside = W.partitionBy(*keys, "_block").orderBy(*order)
+    rows = items.withColumn("_local", F.max("until").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    alone = (F.col("kind") == 0) & (F.coalesce("_local", F.lit(NEVER)) < F.col("at"))
+    rows = rows.withColumn("_first", F.when(alone, F.col("at")))
+    blocks = rows.groupBy(*keys, "_block").agg(F.max("until").alias("_top"), F.max("_first").alias("_start"))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.withColumn("_carry", F.coalesce(F.max("_top").over(before), F.lit(NEVER)))
+    carried = carried.withColumn("_start", F.when(F.col("_start") > F.col("_carry"), F.col("_start")))
+    carried = carried.select(*keys, "_block", "_carry", F.last("_start", ignorenulls=True).over(before).alias("_open"))
+    joined = rows.join(carried, [*keys, "_block"])
+    starts = F.when(F.col("_first") > F.col("_carry"), F.col("_first"))
+    so_far = F.last(starts, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    joined = joined.withColumn("stretch", F.coalesce(so_far, "_open"))
+    reached = (F.col("kind") == 0) | (F.greatest("_local", "_carry") >= F.col("at"))
+    return joined.where(reached).drop("_block", "_local", "_first", "_carry", "_open")
+
+
 def match_events(
     events: DataFrame, detections: DataFrame, early: float = 0.0, late: float = 1.0, block_seconds: float = 3600.0
 ) -> tuple[DataFrame, DataFrame]:
@@ -210,18 +235,14 @@ def match_events(
         ),
         allowMissingColumns=True,
     )
-    keys, order, block = ["recording_id", "label"], ["at", "kind", "id"], F.floor(F.col("at") / block_seconds)
-    covered = running(items, keys, order, block, {"_reach": ("max", F.col("until"))})
-    fresh = (F.col("kind") == 0) & (F.coalesce("_reach", F.lit(NEVER)) < F.col("at"))
-    covered = covered.withColumn("_start", F.when(fresh, F.col("at")))
-    stretches = running(covered, keys, order, block, {"_open": ("last", F.col("_start"))})
-    reachable = (F.col("kind") == 0) | (F.col("_reach") >= F.col("at"))
-    stretches = stretches.where(reachable).withColumn("stretch", F.coalesce("_start", "_open"))
-
+    keys, order = ["recording_id", "label"], ["at", "kind", "id"]
+    stretches = _stretches(items.withColumn("_block", F.floor(F.col("at") / block_seconds)), keys, order)
     pairs = fold_sorted(
         stretches, [*keys, "stretch"], order, ["kind", "at", "id", "end_seconds", "until"], _greedy,
         "event_id bigint, detection_id bigint, latency_seconds double",
     ).drop("stretch", "label")
+    # The pairs are few and join to both sides; every reader would repeat the walk.
+    pairs = materialize(pairs)
     confidence = detections.select("recording_id", "detection_id", "confidence")
     by_event = pairs.join(confidence, ["recording_id", "detection_id"])
     return (
@@ -292,8 +313,7 @@ def probability_timeline(
     windows: DataFrame, labels: DataFrame, events: DataFrame, detections: DataFrame, block_seconds: float = 3600.0
 ) -> DataFrame:
     """(recording, class, end, p) with whether an annotated event covers the moment, and the detection there."""
-    names = labels.agg(F.array_sort(F.collect_list(F.struct("label_id", "label"))).alias("n")).first().n
-    named = F.array(*[F.lit(x.label) for x in names])
+    named = F.array(*map(F.lit, label_names(labels)))
     long = windows.select(
         "recording_id", "window_index", "time_seconds", F.inline(F.arrays_zip(named.alias("label"), F.col("p").alias("p")))
     )
@@ -319,8 +339,6 @@ def evaluate_continuous(
     decoder: dict, early: float = 0.0, late: float = 1.0,
 ) -> dict[str, DataFrame]:
     """Decode, match and score.  Without annotations every detection is a false alarm."""
-    from chirrup.session import materialize
-
     # The detections are few and feed several branches; the windows are read once.
     found = materialize(number_detections(decode_events(windows, **decoder)))
     if events is None:

@@ -56,9 +56,11 @@ def alignment_faults(paired: DataFrame, expected_rows: int) -> DataFrame:
 
 
 def same_clips_guard(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows that only one side has; duplicates count."""
-    only_old = old.exceptAll(new).withColumn("side", F.lit("old"))
-    return only_old.unionByName(new.exceptAll(old).withColumn("side", F.lit("new")))
+    """Rows that only one side has, as often as it has them more: both differences in one shuffle."""
+    both = old.withColumn("_n", F.lit(1)).unionByName(new.withColumn("_n", F.lit(-1)))
+    extra = both.groupBy(*old.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "old").otherwise("new")
+    return extra.select(*old.columns, F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))
 
 
 def skipped_set_difference(skipped_a: DataFrame, skipped_b: DataFrame) -> DataFrame:

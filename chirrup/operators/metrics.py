@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirrup.functions.arrays import bounded, log_softmax, normalized, top1, total
+from chirrup.session import materialize
 
 
 def with_probabilities(scored: DataFrame, kind: str = "logits", column: str = "scores") -> DataFrame:
@@ -87,7 +88,8 @@ def class_metrics(confusion: DataFrame, labels: DataFrame) -> DataFrame:
 
 def classification_metrics(confusion: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per-class rows, one overall row: count, accuracy, macro_f1 over all labels)."""
-    classes = class_metrics(confusion, labels)
+    # A few rows that stand for a pass over all predictions: stored, as both results read them.
+    classes = materialize(class_metrics(confusion, labels))
     overall = classes.agg(
         F.sum("support").alias("count"), _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1")
     )
@@ -95,19 +97,15 @@ def classification_metrics(confusion: DataFrame, labels: DataFrame) -> tuple[Dat
 
 
 def classification_report(confusion: DataFrame, labels: DataFrame) -> DataFrame:
-    """Class rows, then their plain and support-weighted averages."""
-    classes = class_metrics(confusion, labels)
-    metrics = ("precision", "recall", "f1")
-    plain = classes.agg(*[F.avg(m).alias(m) for m in metrics], F.sum("support").alias("support"))
-    weighted = classes.agg(
-        *[_ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in metrics],
-        F.sum("support").alias("support"),
-    )
-    columns = ["label", *metrics, "support"]
-    out = classes.select(columns)
-    for name, row in (("macro avg", plain), ("weighted avg", weighted)):
-        out = out.unionByName(row.withColumn("label", F.lit(name)).select(columns))
-    return out
+    """Class rows, and their plain and support-weighted averages."""
+    weighted = "weighted avg"
+    rows = class_metrics(confusion, labels).withColumn("label", F.explode(F.array("label", F.lit("macro avg"), F.lit(weighted))))
+
+    def mean(name):
+        by_support = _ratio(F.sum(F.col(name) * F.col("support")), F.sum("support"))
+        return F.when(F.col("label") == weighted, by_support).otherwise(F.avg(name)).alias(name)
+
+    return rows.groupBy("label").agg(*map(mean, ("precision", "recall", "f1")), F.sum("support").alias("support"))
 
 
 def supported_macro_f1(classes: DataFrame) -> DataFrame:
@@ -120,16 +118,16 @@ def supported_macro_f1(classes: DataFrame) -> DataFrame:
 def paired_comparison(paired: DataFrame, labels: DataFrame) -> DataFrame:
     """Old against new accuracy for all clips and per class; a class without clips has NULLs."""
     old, new = F.col("old_correct"), F.col("new_correct")
-    per = paired.groupBy(F.col("true_label").alias("label")).agg(
+    per = paired.rollup("true_label").agg(
+        F.when(F.grouping("true_label") == 1, "all").otherwise(F.col("true_label")).alias("label"),
         F.count("*").alias("count"),
         F.sum(old).alias("old"),
         F.sum(new).alias("new"),
         F.count_if((old == 0) & (new == 1)).alias("improved"),
         F.count_if((old == 1) & (new == 0)).alias("regressed"),
-    )
-    sums = ("count", "old", "new", "improved", "regressed")
-    every = per.agg(*[F.sum(c).alias(c) for c in sums]).withColumn("label", F.lit("all"))
-    rows = labels.select("label").join(per, "label", "left").unionByName(every)
+    ).drop("true_label")
+    every = labels.select("label").unionByName(labels.agg(F.lit("all").alias("label")))
+    rows = every.join(per, "label", "left")
     n = F.coalesce("count", F.lit(0))
     return rows.select(
         "label",

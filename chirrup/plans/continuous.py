@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirrup.functions.arrays import downmix
+from chirrup.functions.arrays import downmix, label_names
 from chirrup.operators import checks, clips, metrics
 from chirrup.operators.events import evaluate_continuous
 from chirrup.session import materialize
@@ -57,7 +57,7 @@ def evaluate_recordings(
     """
     if sidecars is not None:
         require_none(checks.capture_error_guard(recordings, sidecars).where("not usable"), "a recording has a capture error")
-    names = [r.label for r in labels.orderBy("label_id").limit(10_000).collect()]
+    names = label_names(labels)
     commands = [n for n in names if n not in ignored]
     if not commands:
         raise ValueError("no command class remains")

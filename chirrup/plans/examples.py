@@ -35,7 +35,7 @@ def featurize(examples: DataFrame, config: augment.Augmentation, key: str, maske
             out.append(list(mel.astype(np.float32)))
         return pd.Series(out, dtype=object)
 
-    return examples.withColumn("features", features("samples", bands if masked else empty, times if masked else empty))
+    return examples.withColumn("features", features.asNondeterministic()("samples", bands if masked else empty, times if masked else empty))
 
 
 def materialize_examples(

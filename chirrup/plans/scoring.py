@@ -26,7 +26,9 @@ def score_clips(
 
     `scorer` maps a float array [batch, length] to [batch, classes].  A wrong
     shape or a non-finite score stops the job.  Only the input column reaches
-    the model, in batches of at most `batch_size` clips of equal length.
+    the model, in batches of at most `batch_size` clips of equal length.  The
+    function is marked nondeterministic so that a filter on its result never
+    makes the optimizer run the model twice.
     """
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -47,7 +49,7 @@ def score_clips(
             yield pd.Series(out)
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return examples.withColumn("scores", F.pandas_udf(score, T.ArrayType(T.DoubleType()))(column))
+    return examples.withColumn("scores", F.pandas_udf(score, T.ArrayType(T.DoubleType())).asNondeterministic()(column))
 
 
 def fit_centroids(clips: DataFrame, column: str = "samples", dims: int | None = None) -> np.ndarray:
@@ -87,7 +89,7 @@ def with_features(
         return series.map(lambda x: np.asarray(frontend(np.asarray(x)[None, :]), dtype=np.float64).ravel())
 
     apply.__annotations__ = {"series": pd.Series, "return": pd.Series}
-    return examples.withColumn(output, F.pandas_udf(apply, T.ArrayType(T.DoubleType()))(column))
+    return examples.withColumn(output, F.pandas_udf(apply, T.ArrayType(T.DoubleType())).asNondeterministic()(column))
 
 
 def fit_classifier(examples: DataFrame, column: str = "features", reg: float = 1e-3, max_iter: int = 50, seed: int = 42):

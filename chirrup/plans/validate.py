@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chirrup.functions.arrays import bounded
 from chirrup.operators import checks, curation, joins
+from chirrup.session import materialize
 from chirrup.sources.manifests import SPLITS, require_none
 
 
@@ -26,6 +27,7 @@ def validate_dataset(
     # One pass over manifest and files judges every row.
     rows = manifest.drop("frames", "sha256").join(found, "path", "left").join(bounded(known), "label", "left")
     wrong_split = F.col("declared_split") != F.col("split") if "declared_split" in manifest.columns else F.lit(False)
+    rows = materialize(rows)
     here = F.col("_found").isNotNull()
     faults = F.array(
         F.when(F.col("_known").isNull(), "unknown_label").when(~F.col("split").isin(*SPLITS), "unknown_split").when(wrong_split, "wrong_split"),

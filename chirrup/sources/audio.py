@@ -42,7 +42,7 @@ def probe_headers(files: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["sample_rate", "channels", "frames", "fault"])
         return out.astype({"sample_rate": "Int32", "channels": "Int32", "frames": "Int64", "fault": object})
 
-    return files.withColumn("_h", probe("content")).select("*", "_h.*").drop("_h", "content")
+    return files.withColumn("_h", probe.asNondeterministic()("content")).select("*", "_h.*").drop("_h", "content")
 
 
 def decode_wav(files: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def decode_wav(files: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["samples", "sample_rate", "channels", "frames", "fault"])
         return out.astype({"samples": object, "sample_rate": "Int32", "channels": "Int32", "frames": "Int64", "fault": object})
 
-    return files.withColumn("_d", decode("content")).select("*", "_d.*").drop("_d", "content")
+    return files.withColumn("_d", decode.asNondeterministic()("content")).select("*", "_d.*").drop("_d", "content")
 
 
 def clip_fault(sample_rate: int = dsp.RATE):

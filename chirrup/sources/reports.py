@@ -12,14 +12,6 @@ length_action string, confidence double, true_class_probability double"""
 SKIPPED = "record_index bigint, path string, label string, reason string"
 
 
-def label_names(labels: DataFrame, limit: int = 10_000) -> list[str]:
-    """Class names in id order: the columns of wide reports."""
-    rows = labels.select("label_id", "label").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} classes")
-    return [r.label for r in sorted(rows, key=lambda r: r.label_id)]
-
-
 def wide_probabilities(predictions: DataFrame, names: list[str], p: str = "p") -> DataFrame:
     """The probability array as one column p_<name> per class."""
     return predictions.select("*", *[F.get(p, F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)]).drop(p)

@@ -135,8 +135,8 @@ def confusion_matrix(spark, sf_dir):
     "classification_metrics",
     sql(
         """SELECT label, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1,
-  CAST(support AS BIGINT) AS support, (SELECT CAST(sum(n) AS BIGINT) FROM conf) AS count,
-  (SELECT round(sum(tp) / sum(support), 6) + 0.0 FROM cls) AS accuracy, (SELECT round(avg(f1), 6) + 0.0 FROM cls) AS macro_f1 FROM cls""",
+  CAST(support AS BIGINT) AS support, NULL AS accuracy, NULL AS macro_f1 FROM cls
+UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(sum(support) AS BIGINT), round(sum(tp) / sum(support), 6) + 0.0, round(avg(f1), 6) + 0.0 FROM cls""",
         "v_clips",
         "v_classes",
         **CLASSES,
@@ -145,8 +145,9 @@ def confusion_matrix(spark, sf_dir):
 def classification_metrics(spark, sf_dir):
     labels = v.class_map(spark, sf_dir)
     classes, overall = metrics.classification_metrics(metrics.confusion_matrix(predicted(spark, sf_dir), labels), labels)
-    rows = classes.withColumn("_k", F.lit(1)).join(overall.withColumn("_k", F.lit(1)), "_k")
-    return rows.select("label", *[r(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")], "support", "count")
+    rows = classes.select("label", *[r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+    total = overall.select(F.col("count").alias("support"), *[r(F.col(c)).alias(c) for c in ("accuracy", "macro_f1")])
+    return rows.unionByName(total, allowMissingColumns=True)
 
 
 REPORT_SQL = """SELECT label, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1, CAST(support AS BIGINT) AS support FROM (

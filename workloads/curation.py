@@ -40,13 +40,13 @@ def with_entity(m):
     return m.withColumn("evaluation_group", F.lit(None).cast("string")).withColumn("speaker", F.upper("speaker_group"))
 
 
-@query("load_labels", sql("SELECT label, CAST(label_id AS BIGINT) AS label_id, CAST(0 AS BIGINT) AS faults FROM v_labels", "v_labels"))
+@query("load_labels", sql("SELECT label, CAST(label_id AS BIGINT) AS label_id FROM v_labels", "v_labels"))
 def load_labels(spark, sf_dir):
     names = v.label_map(spark, sf_dir)
     text = names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", "label_id")))).alias("value"))
     labels = manifests.parse_labels(text)
-    faults = manifests.label_faults(labels).agg(F.count("*").alias("faults")).withColumn("_k", F.lit(1))
-    return labels.withColumn("_k", F.lit(1)).join(faults, "_k").drop("_k")
+    manifests.require_none(manifests.label_faults(labels), "bad label map")
+    return labels
 
 
 def manifest_lines(spark, sf_dir):

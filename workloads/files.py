@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from chirrup.functions import dsp, wav
+from chirrup.functions import arrays, wav
 from chirrup.functions.rand import unit
 from chirrup.operators import checks, curation, metrics
 from chirrup.plans import clean
@@ -189,7 +189,7 @@ def discover_manifests(spark, sf_dir):
 )
 def read_predictions(spark, sf_dir):
     path, labels = fresh_path(spark, "predictions"), v.class_map(spark, sf_dir)
-    names = reports.label_names(labels)
+    names = arrays.label_names(labels)
     predicted = cm.predicted(spark, sf_dir).drop("true_id", "predicted_id")
     reports.write_report({"predictions": reports.wide_probabilities(predicted, names)}, path)
     back = reports.read_predictions(spark, f"{path}/predictions", names)
@@ -199,8 +199,9 @@ def read_predictions(spark, sf_dir):
 @query(
     "write_reports",
     sql(
-        """SELECT 'class_' || CAST(true_id AS VARCHAR) AS label, CAST(n0 AS BIGINT) AS class_0, CAST(n9 AS BIGINT) AS class_9, round((SELECT sum(tp) / sum(support) FROM cls), 6) AS accuracy FROM (
-  SELECT true_id, sum(n) FILTER (predicted_id = 0) AS n0, sum(n) FILTER (predicted_id = 9) AS n9 FROM conf GROUP BY 1)""",
+        """SELECT 'class_' || CAST(true_id AS VARCHAR) AS label, CAST(n0 AS BIGINT) AS class_0, CAST(n9 AS BIGINT) AS class_9, NULL AS accuracy FROM (
+  SELECT true_id, sum(n) FILTER (predicted_id = 0) AS n0, sum(n) FILTER (predicted_id = 9) AS n9 FROM conf GROUP BY 1)
+UNION ALL SELECT NULL, NULL, NULL, round(sum(tp) / sum(support), 6) FROM cls""",
         "v_clips",
         "v_classes",
         **cm.CLASSES,
@@ -210,10 +211,10 @@ def write_reports(spark, sf_dir):
     path, labels = fresh_path(spark, "report"), v.class_map(spark, sf_dir)
     confusion = metrics.confusion_matrix(cm.predicted(spark, sf_dir), labels)
     _, overall = metrics.classification_metrics(confusion, labels)
-    reports.write_report({"confusion": reports.wide_confusion(confusion, reports.label_names(labels)), "metrics": overall}, path)
+    reports.write_report({"confusion": reports.wide_confusion(confusion, arrays.label_names(labels)), "metrics": overall}, path)
     wide = spark.read.csv(f"{path}/confusion", header=True, schema="label string, " + ", ".join(f"class_{i} bigint" for i in range(10)))
-    value = spark.read.json(f"{path}/metrics", schema="accuracy double").withColumn("_k", F.lit(1))
-    return wide.withColumn("_k", F.lit(1)).join(value, "_k").select("label", "class_0", "class_9", F.round("accuracy", 6).alias("accuracy"))
+    value = spark.read.json(f"{path}/metrics", schema="accuracy double").select(F.round("accuracy", 6).alias("accuracy"))
+    return wide.select("label", "class_0", "class_9").unionByName(value, allowMissingColumns=True)
 
 
 @query("clean_dataset")

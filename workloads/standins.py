@@ -14,6 +14,7 @@ from chirrup.functions.rand import unit
 from chirrup.functions.scan import numbered
 
 DAY = 86400.0
+CLOCK_START_US = 1_704_067_200_000_000  # 2024-01-01, where the event stream's recordings begin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,30 +70,22 @@ def class_map(spark, sf_dir) -> DataFrame:
     return ids.select(F.concat(F.lit("class_"), F.col("label_id")).alias("label"), "label_id")
 
 
-def raw_log(spark, sf_dir) -> DataFrame:
+def event_log(spark, sf_dir) -> DataFrame:
+    """Events on their recording's clock, in seconds."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").alias("recording_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        ((us - F.lit(CLOCK_START_US)) / F.lit(1e6)).alias("time_seconds"),
         F.col("event_type").alias("label"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 
 
-def on_own_clock(log: DataFrame, spark, sf_dir) -> DataFrame:
-    first = raw_log(spark, sf_dir).groupBy("recording_id").agg(F.min("us").alias("us0"))
-    return log.join(first, "recording_id").withColumn("time_seconds", (F.col("us") - F.col("us0")) / F.lit(1e6))
-
-
-def event_log(spark, sf_dir) -> DataFrame:
-    """Events on their recording's own clock (seconds since its first event)."""
-    return on_own_clock(raw_log(spark, sf_dir), spark, sf_dir)
-
-
 def windows(spark, sf_dir) -> DataFrame:
-    week = F.floor(F.col("us") / (7 * DAY * 1e6))
-    out = on_own_clock(numbered(raw_log(spark, sf_dir), ["recording_id"], ["us", "event_id"], week, "window_index"), spark, sf_dir)
+    week = F.floor(F.col("time_seconds") / (7 * DAY))
+    out = numbered(event_log(spark, sf_dir), ["recording_id"], ["time_seconds", "event_id"], week, "window_index")
     return out.select("recording_id", "window_index", "time_seconds", F.col("label").alias("predicted_label"), "confidence")
 
 

@@ -35,7 +35,7 @@ SELECT vec_id AS clip_id, CAST(embedding AS DOUBLE[]) AS samples, 'class_' || CA
     "v_log": """
 SELECT event_id, user_id AS recording_id, event_type AS label, least(value / 100, 1.0) AS confidence,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-  (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS time_seconds
+  (epoch_us(ts) - 1704067200000000) / 1e6 AS time_seconds
 FROM events""",
     "v_windows": """
 SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY time_seconds, event_id) - 1 AS window_index,
