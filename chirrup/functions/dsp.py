@@ -15,6 +15,17 @@ RATE = 16000
 WAVE = T.ArrayType(T.FloatType())
 
 
+_KEPT: dict = {}
+
+
+def kept(build, *settings):
+    """Filters depend on settings alone: each task builds them once."""
+    key = (build.__name__, *settings)
+    if key not in _KEPT:
+        _KEPT[key] = build(*settings)
+    return _KEPT[key]
+
+
 def as_wave(x) -> np.ndarray:
     return np.asarray(x, dtype=np.float64)
 
@@ -28,19 +39,22 @@ def lowpass(up: int, down: int) -> np.ndarray:
     return taps * (up / taps.sum())
 
 
+def phase_bank(up: int, down: int) -> np.ndarray:
+    """The low-pass taps by output phase: one row per phase, newest input first."""
+    taps = lowpass(up, down)
+    per_phase = -(-len(taps) // up)
+    return np.pad(taps, (0, per_phase * up - len(taps))).reshape(per_phase, up).T.copy()
+
+
 def resample(x: np.ndarray, rate: int, target: int, block: int = 65536) -> np.ndarray:
     """Polyphase rate change; ceil(n * up / down) samples come out."""
     if rate == target:
         return x
     g = math.gcd(rate, target)
     up, down = target // g, rate // g
-    taps = lowpass(up, down)
-    half = len(taps) // 2
-    per_phase = -(-len(taps) // up)
-    bank = np.zeros((up, per_phase))
-    for phase in range(up):
-        part = taps[phase::up]
-        bank[phase, : len(part)] = part
+    bank = kept(phase_bank, up, down)
+    per_phase = bank.shape[1]
+    half = 10 * max(up, down)
     n_out = -(-len(x) * up // down)
     reach = half // up + 1
     padded = np.concatenate([np.zeros(per_phase + reach), x, np.zeros(per_phase + reach + 1)])
@@ -92,15 +106,19 @@ def mel_bank(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     return np.maximum(0.0, np.minimum(rise, fall))
 
 
+def frame_window(n_fft: int, win: int) -> np.ndarray:
+    """A periodic Hann window centred in the transform's frame."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)
+    left = (n_fft - win) // 2
+    return np.pad(hann, (left, n_fft - win - left))
+
+
 def log_mel_matrix(x, rate=RATE, n_fft=512, win=480, hop=160, n_mels=40, power=2.0, eps=1e-6) -> np.ndarray:
     """Log-mel features [n_mels, 1 + n // hop] of centred, reflect-padded Hann frames."""
     x = np.pad(as_wave(x), n_fft // 2, mode="reflect")
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)
-    left = (n_fft - win) // 2
-    window = np.pad(hann, (left, n_fft - win - left))
     frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop]
-    spectrum = np.abs(np.fft.rfft(frames * window, axis=1)) ** power
-    return np.log(mel_bank(rate, n_fft, n_mels) @ spectrum.T + eps)
+    spectrum = np.abs(np.fft.rfft(frames * kept(frame_window, n_fft, win), axis=1)) ** power
+    return np.log(kept(mel_bank, rate, n_fft, n_mels) @ spectrum.T + eps)
 
 
 def reverb_kernel(rir, max_samples: int) -> np.ndarray:

@@ -137,17 +137,25 @@ def heldout_disjoint(splits: DataFrame, heldout: DataFrame, column: str = "sha25
 def curation_report(accepted: DataFrame, excluded: DataFrame, held_out: Column, policy: dict[str, float]) -> DataFrame:
     """One row: totals, counts per split and label, exclusions per reason, and the policy."""
     held = F.coalesce(held_out, F.lit(False))
-    totals = accepted.agg(
-        F.count("*").alias("accepted"), F.count_if(~held).alias("dataset_accepted"), F.count_if(held).alias("held_out")
+    per = accepted.groupBy(held.alias("_held"), "split", "label").agg(F.count("*").alias("n"))
+    inside = ~F.col("_held")
+    entry = F.struct(F.concat_ws("/", "split", "label"), "n")
+
+    def total(n):
+        return F.coalesce(F.sum(n), F.lit(0))
+
+    totals = per.agg(
+        total(F.col("n")).alias("accepted"),
+        total(F.when(inside, F.col("n"))).alias("dataset_accepted"),
+        total(F.when(~inside, F.col("n"))).alias("held_out"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(inside, entry)))).alias("counts"),
     )
-    per = split_label_counts(accepted.where(~held))
-    counts = per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "split", "label"), "n")))).alias("counts"))
     why = exclusion_counts(excluded)
     reasons = why.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("excluded"),
+        total(F.col("n")).alias("excluded"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("exclusions"),
     )
-    parts = totals.unionByName(counts, allowMissingColumns=True).unionByName(reasons, allowMissingColumns=True)
+    parts = totals.unionByName(reasons, allowMissingColumns=True)
     row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
     settings = [x for k, v in policy.items() for x in (F.lit(k), F.lit(float(v)))]
     return row.withColumn("policy", F.create_map(*settings)).withColumn("complete", F.lit(True))

@@ -101,6 +101,24 @@ def fit_classifier(examples: DataFrame, column: str = "features", reg: float = 1
     return LogisticRegression(regParam=reg, maxIter=max_iter, standardization=True, family="multinomial").fit(train)
 
 
+def fit_monitored(train: DataFrame, val: DataFrame, labels: DataFrame, column: str = "features", regs=(1e-1, 1e-2, 1e-3), **settings):
+    """Fit once per regularisation strength and keep the model with the lowest loss on `val`.
+
+    Returns the model and the history: epoch (position in `regs`), val_loss, val_accuracy.
+    """
+    from chirrup.operators.metrics import predictions
+
+    best, lowest, rows = None, float("inf"), []
+    for epoch, reg in enumerate(regs, 1):
+        model = fit_classifier(train, column, reg, **settings)
+        judged = predictions(score_with(model, val, column), labels)
+        loss, accuracy = judged.agg(F.avg("loss"), F.avg("correct")).first()
+        rows.append(("fit", epoch, float(loss), float(accuracy)))
+        if loss < lowest:
+            best, lowest = model, loss
+    return best, train.sparkSession.createDataFrame(rows, "run string, epoch bigint, val_loss double, val_accuracy double")
+
+
 def score_with(model, examples: DataFrame, column: str = "features") -> DataFrame:
     """Adds the Spark ML model's logits as `scores`."""
     from pyspark.ml.functions import array_to_vector, vector_to_array

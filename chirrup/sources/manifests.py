@@ -116,8 +116,10 @@ def load_manifest(spark: SparkSession, root: str, labels: DataFrame, splits=SPLI
 
 
 def load_session_manifests(spark: SparkSession, root: str, pattern: str = "manifest.jsonl") -> DataFrame:
-    """Rows of every session manifest below `root`, with the manifest's folder relative to it."""
+    """Rows of every session manifest below `root`: its folder relative to it, and record_index in its file."""
     lines = _lines(spark, root, recursiveFileLookup=True, pathGlobFilter=pattern)
+    lines = lines.where(F.trim("value") != "")
+    lines = numbered(lines, ["file_path"], ["file_offset", "line_order"], F.col("file_offset"), "record_index")
     below = F.element_at(F.split("file_path", root.rstrip("/").removeprefix("file:") + "/", 2), 2)
     lines = lines.withColumn("folder", F.regexp_replace(below, r"/?[^/]*$", ""))
-    return parse_lines(lines, SESSION)
+    return parse_lines(lines.drop("file_offset", "line_order", "file_path"), SESSION)

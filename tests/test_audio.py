@@ -233,7 +233,7 @@ def build_dataset(root):
 
 def run_clean(spark, root, labels):
     dataset = manifests.load_manifest(spark, str(root), labels)
-    sessions = manifests.load_session_manifests(spark, str(root / "sessions")).withColumn("record_index", F.monotonically_increasing_id())
+    sessions = manifests.load_session_manifests(spark, str(root / "sessions"))
     files = audio.read_files(spark, str(root / "audio")).withColumn("path", F.concat(F.lit("audio/"), "path"))
     files = files.unionByName(audio.read_files(spark, str(root / "sessions")))
     return clean.clean_dataset(dataset, sessions, files, labels, "guest")

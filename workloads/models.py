@@ -13,12 +13,13 @@ QUERIES, ORACLES = {}, {}
 
 
 def fit_classifier(spark, sf_dir):
-    """Fit on the training clips, judge on the others."""
+    """Fit on the training clips, choose the strength on the validation clips, judge on the test clips."""
     clips = v.clips(spark, sf_dir).withColumn("record_index", F.col("clip_id")).withColumn("path", F.lit("clip"))
-    train = unit(F.col("clip_id"), "split") < 0.7
-    model = scoring.fit_classifier(clips.where(train), "samples", max_iter=20)
+    u = unit(F.col("clip_id"), "split")
     labels = v.class_map(spark, sf_dir)
-    predicted = metrics.predictions(scoring.score_with(model, clips.where(~train), "samples"), labels)
+    train, val, test = clips.where(u < 0.7), clips.where((u >= 0.7) & (u < 0.85)), clips.where(u >= 0.85)
+    model, _ = scoring.fit_monitored(train, val, labels, "samples", regs=(1e-2, 1e-3), max_iter=20)
+    predicted = metrics.predictions(scoring.score_with(model, test, "samples"), labels)
     classes, _ = metrics.classification_metrics(metrics.confusion_matrix(predicted, labels), labels)
     return classes.select("label", F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall"), "support")
 
