@@ -339,15 +339,15 @@ FROM v_manifest"""
 DEDUP_STEPS = {
     "o": ORDERED_SQL,
     "w": """SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS record_index, CAST(NULL AS VARCHAR) AS decision,
-  MAP([''], ['']) AS ids, MAP([''], ['']) AS hashes
+  CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS hashes, CAST([] AS VARCHAR[]) AS parts
 UNION ALL
 SELECT i, record_index, decision,
-  CASE WHEN decision = 'accepted' THEN map_concat(ids, MAP([id], [split])) ELSE ids END,
-  CASE WHEN decision = 'accepted' THEN map_concat(hashes, MAP([sha256], [split])) ELSE hashes END
-FROM (SELECT o.*, w.ids, w.hashes, CASE
-    WHEN w.ids[o.id] <> o.split THEN 'id_overlaps_splits' WHEN w.ids[o.id] IS NOT NULL THEN 'duplicate_id'
-    WHEN w.hashes[o.sha256] <> o.split THEN 'audio_overlaps_splits' WHEN w.hashes[o.sha256] IS NOT NULL THEN 'duplicate_audio_in_split'
-    ELSE 'accepted' END AS decision FROM w JOIN o ON o.i = w.i + 1)""",
+  CASE WHEN decision = 'accepted' THEN list_append(ids, id) ELSE ids END,
+  CASE WHEN decision = 'accepted' THEN list_append(hashes, sha256) ELSE hashes END,
+  CASE WHEN decision = 'accepted' THEN list_append(parts, split) ELSE parts END
+FROM (SELECT *, CASE WHEN parts[a] <> split THEN 'id_overlaps_splits' WHEN a > 0 THEN 'duplicate_id'
+    WHEN parts[b] <> split THEN 'audio_overlaps_splits' WHEN b > 0 THEN 'duplicate_audio_in_split' ELSE 'accepted' END AS decision
+  FROM (SELECT o.*, w.ids, w.hashes, w.parts, list_position(w.ids, o.id) AS a, list_position(w.hashes, o.sha256) AS b FROM w JOIN o ON o.i = w.i + 1))""",
 }
 
 
@@ -361,7 +361,7 @@ def deduplicated(spark, sf_dir):
     return curation.first_wins_dedup(ordered_manifest(spark, sf_dir), "order")
 
 
-@query("first_wins_dedup", sql("SELECT record_index, decision FROM w WHERE i > 0", "v_manifest", **DEDUP_STEPS))
+@query("first_wins_dedup", sql("SELECT record_index, decision FROM w JOIN v_manifest USING (record_index)", "v_manifest", **DEDUP_STEPS))
 def first_wins_dedup(spark, sf_dir):
     return deduplicated(spark, sf_dir).select("record_index", "decision")
 

@@ -269,11 +269,10 @@ RESAMPLE_SQL = {
     "raw": """SELECT rate, up, t, CASE WHEN t = 0 THEN 1.0 ELSE sin(pi() * t / widest) / (pi() * t / widest) END
   * list_sum(list_transform(range(0, 30), lambda j: pow(pow(2.5 * sqrt(1 - pow(t / (10 * widest), 2)), j) / gamma(j + 1), 2))) AS v FROM grid""",
     "taps": "SELECT rate, t, v * up / sum(v) OVER (PARTITION BY rate) AS h FROM raw",
-    "elem": "SELECT clip_id, unnest(samples) AS x, unnest(range(0, 64)) AS k FROM v_clips",
     "outs": "SELECT rate, up, down, unnest(range(0, CAST(ceil(64 * up / down) AS BIGINT))) AS m FROM conv",
-    "weight": """SELECT o.rate, m, k, h FROM outs o CROSS JOIN (SELECT unnest(range(0, 64)) AS k)
-JOIN taps ON taps.rate = o.rate AND taps.t = m * down - k * up""",
-    "y": "SELECT clip_id, rate, m, sum(x * h) AS y FROM weight JOIN elem USING (k) GROUP BY 1, 2, 3",
+    "weight": """SELECT o.rate, m, list(coalesce(h, 0.0) ORDER BY k) AS hs FROM outs o CROSS JOIN (SELECT unnest(range(0, 64)) AS k)
+LEFT JOIN taps ON taps.rate = o.rate AND taps.t = m * down - k * up GROUP BY 1, 2""",
+    "y": "SELECT clip_id, rate, m, list_dot_product(samples, hs) AS y FROM weight CROSS JOIN v_clips",
 }
 
 
