@@ -193,7 +193,7 @@ def map_windows(
     return pieces.groupBy("recording_id", "block").applyInPandas(windows, schema)
 
 
-def sliding_windows(chunks: DataFrame, size: int, hop: int, rate: int = dsp.RATE, block_seconds: float = 60.0) -> DataFrame:
+def sliding_windows(chunks: DataFrame, size: int, hop: int, rate: int = dsp.RATE, block_seconds: float = 10.0) -> DataFrame:
     """The windows themselves, for inspection or small data; `score_windows` avoids storing them."""
     out = map_windows(chunks, size, hop, list, "array<float>", rate, block_seconds)
     return out.withColumnRenamed("value", "samples")

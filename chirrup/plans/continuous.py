@@ -13,6 +13,7 @@ from chirrup.operators import checks, clips, metrics
 from chirrup.operators.events import evaluate_continuous
 from chirrup.session import materialize
 from chirrup.sources.manifests import require_none
+from chirrup.sources.reports import wide_probabilities, write_report
 
 
 def prepare_audio(chunks: DataFrame, channels: int = 1, mono: str = "error", target: int = 16000, resample: bool = False) -> DataFrame:
@@ -64,3 +65,9 @@ def evaluate_recordings(
     scored = detector_windows(prepare_audio(chunks, **(audio or {})), labels, scorer, recordings, **windows)
     found = evaluate_continuous(scored, events, recordings, commands, {"ignored": ignored, **(decoder or {})}, early, late)
     return {"windows": scored, **found}
+
+
+def write_recording_report(result: dict[str, DataFrame], labels: DataFrame, path: str) -> None:
+    """Windows, events and detections as CSV, metrics as JSON."""
+    tables = {**result, "windows": wide_probabilities(result["windows"], label_names(labels))}
+    write_report(tables, path)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirrup.functions.arrays import fit_length
+from chirrup.functions.arrays import fit_length, label_names
 from chirrup.operators import joins, metrics
 from chirrup.operators.checks import check_scores
 from chirrup.session import materialize
 from chirrup.sources.manifests import require_none
+from chirrup.sources.reports import wide_confusion, wide_probabilities, write_report
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -78,3 +79,36 @@ def compare_models_strict(
     out = compare_models(old, new, labels)
     require_none(joins.alignment_faults(out["paired"], expected_rows), "the models did not score the same clips")
     return out
+
+
+def compare_on_views(
+    views: dict[str, DataFrame], labels: DataFrame, old_scorer: Scorer, new_scorer: Scorer, old_digest: str, new_digest: str, n: int, **settings
+) -> dict[str, dict[str, DataFrame]]:
+    """Two models on several evaluation views, each without skipped clips and without label smoothing."""
+    if old_digest == new_digest:
+        raise ValueError("the two models are identical")
+    out = {}
+    for name, clips in views.items():
+        known = clips.join(labels.select("label"), "label", "left_anti").where("label is not null")
+        require_none(known.select("record_index", "label"), f"{name}: unknown label")
+        old, new = (evaluate_clips(clips, labels, s, n, smoothing=0.0, long="error", **settings) for s in (old_scorer, new_scorer))
+        rows = clips.count()
+        if not rows:
+            raise ValueError(f"{name}: the view is empty")
+        skipped = joins.skipped_set_difference(old["skipped"], new["skipped"])
+        out[name] = compare_models_strict(old["predictions"], new["predictions"], labels, old_digest, new_digest, rows, skipped)
+    return out
+
+
+def write_evaluation(result: dict[str, DataFrame], labels: DataFrame, path: str) -> None:
+    """Predictions, skipped rows, confusion, report and actions as CSV, the summary as JSON."""
+    names = label_names(labels)
+    tables = {
+        "predictions": wide_probabilities(result["predictions"].drop("true_id", "predicted_id"), names),
+        "skipped": result["skipped"],
+        "confusion": wide_confusion(result["confusion"], names),
+        "report": result["report"],
+        "actions": result["actions"],
+        "metrics": result["summary"],
+    }
+    write_report(tables, path)

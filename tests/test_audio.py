@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chirrup.functions import dsp, wav
 from chirrup.operators import augment, clips
-from chirrup.plans import clean, continuous, examples, scoring
+from chirrup.plans import clean, continuous, evaluate, examples, scoring
 from chirrup.sources import audio, manifests, reports
 
 RNG = np.random.default_rng(0)
@@ -316,7 +316,7 @@ def loudness():
     return scorer
 
 
-def test_recordings_end_to_end(spark):
+def test_recordings_end_to_end(spark, tmp_path):
     """Two seconds at 44.1 kHz with a sound from 0.5 to 1 s: twenty windows, one match 0.3 s before its end."""
     x = np.zeros(88200, dtype=np.float32)
     x[22050:44100] = tone(22050, 440, 44100, 0.6)
@@ -329,6 +329,9 @@ def test_recordings_end_to_end(spark):
     assert out["windows"].count() == 20
     m = out["metrics"].where("label = 'all'").first()
     assert (m.tp, m.fp, m.fn) == (1, 0, 0) and m.median_latency_seconds == pytest.approx(-0.3)
+    continuous.write_recording_report(out, labels, str(tmp_path / "report"))
+    back = spark.read.csv(str(tmp_path / "report/windows"), header=True)
+    assert back.count() == 20 and {"p_next", "p_unknown"} <= set(back.columns) and spark.read.json(str(tmp_path / "report/metrics")).count() == 2
     quiet = continuous.evaluate_recordings(chunks, None, recordings, labels, loudness(), audio={"resample": True})
     n = quiet["metrics"].first()
     assert (n.fp, n.false_positives_per_hour, n.provisional) == (1, 1800.0, True)
@@ -339,6 +342,33 @@ def test_recordings_end_to_end(spark):
         continuous.evaluate_recordings(chunks, ev, recordings, labels, loudness(), sidecars=sidecar)
 
 
+def test_two_models_on_views(spark, tmp_path):
+    labels = spark.createDataFrame([("lo", 0), ("hi", 1), ("none", 2)], "label string, label_id bigint")
+    rows = [(i, f"{i}.wav", "hi" if i % 2 else "lo", [float(i % 2)] * (6 + i % 3), False) for i in range(8)]
+    clips_df = spark.createDataFrame(rows, "record_index bigint, path string, label string, samples array<double>, resampled boolean")
+
+    def model(bias):
+        def scorer(x):
+            top = x.max(axis=1) + bias
+            return np.stack([1 - top, top, np.full(len(x), -9.0)], axis=1)
+
+        return lambda df: scoring.score_clips(df, scorer, 3)
+
+    out = evaluate.compare_on_views({"all": clips_df}, labels, model(0.9), model(0.0), "a", "b", 8)["all"]
+    got = {r.label: r for r in out["by_class"].collect()}
+    assert (got["all"].old_accuracy, got["all"].new_accuracy, got["all"].improved, got["none"]["count"]) == (0.5, 1.0, 4, 0)
+    f1 = {r.model: r.supported_macro_f1 for r in out["supported_macro_f1"].collect()}
+    assert f1["new"] == 1.0 and f1["old"] == pytest.approx(1 / 3)
+    with pytest.raises(ValueError, match="identical"):
+        evaluate.compare_on_views({"all": clips_df}, labels, model(0), model(0), "a", "a", 8)
+    result = evaluate.evaluate_clips(clips_df, labels, model(0.0), 7, long="skip", crop_labels=("hi",), strict=True)
+    assert {r.action: r.n for r in result["actions"].collect()} == {"padded": 3, "unchanged": 3, "cropped": 1, "skipped_long": 1}
+    path = str(tmp_path / "evaluation")
+    evaluate.write_evaluation(result, labels, path)
+    assert reports.read_skipped(spark, f"{path}/skipped").first().reason == "skipped_long"
+    assert reports.read_predictions(spark, f"{path}/predictions", ["lo", "hi", "none"]).count() == 7
+
+
 def test_scorer_contract(spark):
     df = spark.createDataFrame([([0.1, 0.2],), ([0.1, 0.2, 0.3],)], "samples array<double>")
     good = scoring.score_clips(df, lambda x: np.stack([x.sum(axis=1), x[:, 0]], axis=1), 2).collect()

@@ -469,7 +469,7 @@ def shuffle_train(spark, sf_dir):
 @query(
     "validate_dataset",
     sql(
-        f"""SELECT 'kept_' || label AS kind, split, count(*) AS n FROM v_manifest WHERE label IN ('fr', 'de') OR frames <= 48000 GROUP BY 1, 2
+        f"""SELECT 'kept_' || label AS kind, split, count(*) AS n FROM v_manifest WHERE frames <= 48000 GROUP BY 1, 2
 UNION ALL SELECT 'checksum_mismatch', split, count(*) FROM v_manifest WHERE declared_sha256 <> '' AND declared_sha256 <> sha256 GROUP BY 1, 2
 UNION ALL SELECT 'leak_' || kind, splits, count(*) FROM ({leak_sql('v_manifest', 'split', ('sha256', *curation.GROUP_KINDS))}) GROUP BY 1, 2""",
         "v_manifest",
