@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,11 @@ def first_wins_dedup(
     """Adds `decision`: accepted, or why the row loses to an earlier accepted one.
 
     In `order_col` order a row is accepted when neither its id nor its content
-    belongs to an accepted row; a losing row blocks nobody.  Each round accepts
-    every row that is first both for its id and for its content, and drops the
-    rows those beat; the few rows that depend on a dropped one wait for the next
-    round.  Rounds carry only four narrow columns.  `order_col` must be unique.
+    belongs to an accepted row; a losing row blocks nobody.  Rows that share
+    neither with any other are settled at once.  The rest go through rounds: each
+    accepts every row that is first both for its id and for its content, and
+    drops the rows those beat; the few that depend on a dropped one wait for the
+    next round.  Only four narrow columns take part.  `order_col` must be unique.
     """
     slim = rows.select(
         F.col(order_col).alias("_o"),
@@ -62,28 +65,30 @@ def first_wins_dedup(
         F.col(hash_col).alias("_h"),
         F.col(partition_col).alias("_p"),
     )
-    pending, accepted = slim, None
-    while True:
-        by_id = pending.groupBy("_id").agg(F.min("_o").alias("_first_id"))
-        by_hash = pending.groupBy("_h").agg(F.min("_o").alias("_first_h"))
-        marked = pending.join(by_id, "_id").join(by_hash, "_h")
-        marked = materialize(
-            marked.withColumn("_win", (F.col("_o") == F.col("_first_id")) & (F.col("_o") == F.col("_first_h")))
-        )
-        won = marked.where("_win").select("_o", "_id", "_h", "_p")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        # A row that is first for neither key can only have lost if a winner holds
-        # one of its keys; the others stay for the next round.
-        left = marked.where("not _win").select("_o", "_id", "_h", "_p")
+
+    def shared(key: str) -> DataFrame:
+        return slim.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(True).alias(f"{key}_shared"))
+
+    marked = slim.join(shared("_id"), "_id", "left").join(shared("_h"), "_h", "left")
+    contested = materialize(marked.where("_id_shared or _h_shared").select("_o", "_id", "_h", "_p"))
+
+    pending, won = contested, []
+    while not pending.isEmpty():
+        first_for_id = pending.groupBy("_id").agg(F.min("_o").alias("_o"))
+        first_for_hash = pending.groupBy("_h").agg(F.min("_o").alias("_o"))
+        # Both sides have each row's order at most once, so this join has no hot key.
+        won.append(materialize(first_for_id.join(first_for_hash, "_o")))
+        beaten_by = won[-1]
         pending = materialize(
-            left.join(won.select("_id"), "_id", "left_anti").join(won.select("_h"), "_h", "left_anti")
+            pending.join(beaten_by.select("_id"), "_id", "left_anti").join(beaten_by.select("_h"), "_h", "left_anti")
         )
-        if pending.isEmpty():
-            break
+    if not won:
+        return rows.withColumn("decision", F.lit("accepted"))
 
-    id_owner = accepted.select("_id", F.col("_o").alias("_id_o"), F.col("_p").alias("_id_p"))
-    hash_owner = accepted.select("_h", F.col("_o").alias("_h_o"), F.col("_p").alias("_h_p"))
-    decided = slim.join(id_owner, "_id", "left").join(hash_owner, "_h", "left")
+    owners = reduce(DataFrame.unionByName, won).join(contested.select("_o", "_p"), "_o")
+    id_owner = owners.select("_id", F.col("_o").alias("_id_o"), F.col("_p").alias("_id_p"))
+    hash_owner = owners.select("_h", F.col("_o").alias("_h_o"), F.col("_p").alias("_h_p"))
+    decided = contested.join(id_owner, "_id", "left").join(hash_owner, "_h", "left")
     id_clash, hash_clash = F.col("_id_o") < F.col("_o"), F.col("_h_o") < F.col("_o")
     decision = (
         F.when(id_clash & (F.col("_id_p") != F.col("_p")), "id_overlaps_splits")
@@ -93,7 +98,7 @@ def first_wins_dedup(
         .otherwise("accepted")
     )
     verdict = decided.select(F.col("_o").alias(order_col), decision.alias("decision"))
-    return rows.join(verdict, order_col)
+    return rows.join(verdict, order_col, "left").withColumn("decision", F.coalesce("decision", F.lit("accepted")))
 
 
 ABORTING = ("id_overlaps_splits", "audio_overlaps_splits")
