@@ -9,10 +9,14 @@ from chirrup.functions import dsp
 from chirrup.functions.paths import inside_root, record_id, safe_id
 from chirrup.operators import checks, clips, curation
 from chirrup.session import materialize
-from chirrup.sources.audio import decode_wav
+from chirrup.sources.audio import decode_wav, file_sha256
 from chirrup.sources.manifests import SPLITS, require_none
 
 
+# Fixed value: what the manifest says was done to a clip.
+QC = "local_decode_checksum_trim_duration"
+
+
 def partition_of(entity: str) -> Column:
     """The split, with the held-out entity as a partition of its own."""
     return F.when(checks.is_entity(entity), F.lit("held_out")).otherwise(F.col("split"))
@@ -34,12 +38,15 @@ def decode_and_clean(rows: DataFrame, files: DataFrame, **settings) -> DataFrame
     """Rows with `clean` and the first reason to exclude them.
 
     Checked in order: file present, declared checksum, readable audio, then trimming and duration.
+
+    Present files join their rows by an inner join, so that Spark may broadcast
+    the rows and leave the audio where it was read; missing ones come from the
+    listing alone.
     """
-    content = files.select("path", "content")
-    joined = rows.join(content, "path", "left").withColumn("_sha", F.sha2("content", 256))
-    early = F.when(F.col("content").isNull(), F.concat(F.lit("missing_audio:"), "path")).when(
-        (F.col("sha256") != "") & (F.col("sha256") != F.col("_sha")), "source_sha256_mismatch"
-    )
+    missing = rows.join(files.select("path"), "path", "left_anti")
+    missing = missing.withColumn("reason", F.concat(F.lit("missing_audio:"), "path"))
+    joined = files.select("path", "content").join(rows, "path").withColumn("_sha", F.sha2("content", 256))
+    early = F.when((F.col("sha256") != "") & (F.col("sha256") != F.col("_sha")), "source_sha256_mismatch")
     judged = joined.withColumn("_early", early).withColumn(
         "content", F.when(F.col("_early").isNull(), F.col("content")).otherwise(F.lit(b""))
     )
@@ -51,7 +58,8 @@ def decode_and_clean(rows: DataFrame, files: DataFrame, **settings) -> DataFrame
     })
     out = clips.clean_clip(ready, **settings)
     reason = F.coalesce("_early", "clean.reason")
-    return out.withColumn("reason", reason).drop("_early", "_sha", "fault", "samples", "channels", "sample_rate", "frames", "length")
+    out = out.withColumn("reason", reason).select(*rows.columns, "clean", "reason")
+    return out.unionByName(missing, allowMissingColumns=True)
 
 
 def clean_dataset(
@@ -84,24 +92,24 @@ def clean_dataset(
 
     # Decoding is the dear step and feeds every later one: it is stored once.
     cleaned = decode_and_clean(rows, files, min_s=min_s, max_s=max_s, margin_ms=margin_ms, **settings)
-    cleaned = materialize(cleaned.withColumn("content_sha256", dsp.pcm16_content_hash(F.col("clean.samples"))))
+    wave = F.col("clean.samples")
+    cleaned = materialize(cleaned.withColumns({"content_sha256": dsp.pcm16_content_hash(wave), "file_sha256": file_sha256(wave)}))
     valid = cleaned.where("reason is null")
-    # Audio stays out of the rounds: they see four narrow columns.
-    narrow = valid.select("position", "id", "content_sha256", "partition")
-    decided = curation.first_wins_dedup(narrow, "position", "id", "content_sha256", "partition").select("position", "decision")
-    judged = valid.join(decided, "position")
+    # Audio stays out of the rounds, and the few losers are taken out of it by their position.
+    listed = ("kind", "id", "path", "label", "split")
+    narrow = valid.select("position", *listed, "content_sha256", "partition", *curation.GROUP_KINDS)
+    decided = materialize(curation.first_wins_dedup(narrow, "position", "id", "content_sha256", "partition"))
+    rejected = decided.where("decision <> 'accepted'")
     if strict:
         require_none(decided.where(F.col("decision").isin(*curation.ABORTING)), "a record overlaps another split")
-    accepted = judged.where("decision = 'accepted'")
-    groups = accepted.select("partition", *curation.GROUP_KINDS)
-    leaks = curation.group_leak_after_accept(groups)
+    accepted = valid.join(rejected.select("position"), "position", "left_anti")
+    leaks = curation.group_leak_after_accept(decided.where("decision = 'accepted'"))
     if strict:
         require_none(leaks, "a group leaks across splits")
 
-    listed = ("kind", "id", "path", "label", "split")
     excluded = (
         cleaned.where("reason is not null").select(*listed, "reason")
-        .unionByName(judged.where("decision <> 'accepted'").select(*listed, F.col("decision").alias("reason")))
+        .unionByName(rejected.select(*listed, F.col("decision").alias("reason")))
         .unionByName(
             offered.where("reason is not null").select(F.lit("session").alias("kind"), F.col("wav").alias("path"), "reason"),
             allowMissingColumns=True,
@@ -109,12 +117,12 @@ def clean_dataset(
     )
     kept = accepted.select(
         *[c for c in rows.columns if c not in ("rank", "position", "folder", "sha256", "path")],
-        F.col("path").alias("source_path"), "content_sha256",
+        F.col("path").alias("source_path"), "content_sha256", F.col("file_sha256").alias("sha256"), F.lit(QC).alias("qc"),
         F.concat_ws("/", F.lit("audio"), "kind", F.concat("id", F.lit(".wav"))).alias("path"),
         "clean.samples", *[f"clean.{c}" for c in ("original_duration_s", "trimmed_left_s", "trimmed_right_s", "sample_rate", "duration_s", "peak_limiter_gain")],
     )
     if strict:
-        filled = {(r.partition) for r in accepted.select("partition").distinct().collect()}
+        filled = {r.partition for r in decided.where("decision = 'accepted'").select("partition").distinct().collect()}
         if missing := {*SPLITS, "held_out"} - filled:
             raise ValueError(f"no usable record in {sorted(missing)}; see the excluded rows")
     held = F.col("partition") == "held_out"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirrup.functions import dsp, wav
@@ -113,6 +115,16 @@ def encode_wav(clips: DataFrame, samples: str = "samples", rate: int = dsp.RATE)
     return clips.withColumn("content", encode(samples))
 
 
+def file_sha256(samples: Column, rate: int = dsp.RATE) -> Column:
+    """sha256 of the WAVE file that `encode_wav` makes of the samples."""
+
+    @F.pandas_udf("string")
+    def digest(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else hashlib.sha256(wav.wrap(dsp.to_pcm16(np.asarray(x)), rate)).hexdigest())
+
+    return digest.asNondeterministic()(samples)
+
+
 def write_clips(clips: DataFrame, path: str) -> None:
     """Clean clips as parquet: samples, 16-bit bytes and the bytes' sha256."""
     rows = clips.withColumn("pcm16", dsp.pcm16(F.col("samples")))

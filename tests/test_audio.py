@@ -258,6 +258,7 @@ def test_clean_dataset_from_files(spark, tmp_path):
     got = out["accepted"].where("id = 'train_next'").first()
     want = clips.clean_wave(np.clip(speech(11), -1, 1), 1, 16000, "next")
     np.testing.assert_allclose(got.samples, want[0], atol=1e-4)
+    assert got.sha256 == hashlib.sha256(wav.wrap(dsp.to_pcm16(np.array(got.samples)), 16000)).hexdigest()
     assert got.duration_s == want[6] and got.source_path == "audio/train_next.wav"
 
 

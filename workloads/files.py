@@ -14,8 +14,9 @@ from chirrup.session import fresh_path
 from chirrup.sources import audio, manifests, reports
 from workloads import clip_metrics as cm
 from workloads import standins as v
-from workloads.curation import ENTITY
-from workloads.views_sql import sql
+from workloads import waveforms as wf
+from workloads.curation import DEDUP_STEPS, ENTITY
+from workloads.views_sql import sql, u
 
 QUERIES, ORACLES = {}, {}
 
@@ -217,16 +218,50 @@ def write_reports(spark, sf_dir):
     return wide.select("label", "class_0", "class_9").unionByName(value, allowMissingColumns=True)
 
 
-@query("clean_dataset")
+# Each file as the cleaner hears it: decoded to its sample width, mixed down, brought to 16 kHz.
+HEARD = """CAST(CAST(CASE clip_id % 4 WHEN 0 THEN round_even(x * 32768, 0) / 32768 WHEN 1 THEN round_even(x * 8388608, 0) / 8388608
+  WHEN 2 THEN round_even(x * 2147483648, 0) / 2147483648 ELSE x END AS FLOAT) AS DOUBLE)"""
+CLEAN_SQL = {
+    **wf.RESAMPLE_SQL,
+    "weights": "SELECT list(hs ORDER BY m) AS ws FROM weight WHERE rate = 8000",
+    "decoded": f"SELECT clip_id, label, list_transform(list_transform(samples, lambda x: {HEARD}), lambda v: CASE WHEN clip_id % 17 = 3 THEN 0.0 ELSE v END) AS samples FROM v_clips",
+    "heard": f"""SELECT 'dataset' AS kind, clip_id, label, CASE WHEN {STEREO} THEN list_transform(range(1, 33), lambda i: (samples[2 * i - 1] + samples[2 * i]) / 2)
+    WHEN clip_id % 4 = 1 AND clip_id % 3 = 0 THEN list_transform(ws, lambda w: list_dot_product(samples, w)) ELSE samples END AS samples FROM decoded, weights
+  UNION ALL SELECT 'session', clip_id, label, list_transform(list_reverse(samples), lambda x: CAST(CAST(round_even(x * 32767, 0) / 32768 AS FLOAT) AS DOUBLE)) FROM v_clips""",
+    "rms": """SELECT *, list_transform(range(0, (len(samples) - 8) // 4 + 1), lambda i: sqrt(list_sum(list_transform(samples[i * 4 + 1 : i * 4 + 8], lambda x: x * x)) / 8)) AS rms FROM heard""",
+    **{k: s for k, s in wf.limits(wf.trim_sql("heard", 0), 0.0012, 0.0038).items() if k != "rms"},
+    "told": f"""SELECT *, CASE WHEN kind = 'session' THEN CASE WHEN clip_id % 3 <> 0 THEN 'recorder_not_accepted' ELSE reason END
+    WHEN {u('clip_id', 'file')} < 0.03 THEN 'missing_audio' WHEN clip_id % 19 = 4 THEN 'missing_wav_chunk' ELSE reason END AS why,
+  CASE WHEN kind = 'session' OR clip_id % 23 = 0 OR {u('clip_id', 'split')} >= 0.85 THEN 'test' WHEN {u('clip_id', 'split')} < 0.7 THEN 'train' ELSE 'val' END AS part FROM trim""",
+    "o": """SELECT *, row_number() OVER (ORDER BY kind, CASE part WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, clip_id) AS i FROM (
+  SELECT kind, clip_id, part, CASE WHEN kind = 'session' OR clip_id % 23 = 0 THEN 'held_out' ELSE part END AS split,
+    CASE WHEN kind = 'session' THEN 'guest_' || CAST(clip_id AS VARCHAR) ELSE 'id_' || CAST(CASE WHEN clip_id % 37 = 36 THEN clip_id - 1 ELSE clip_id END AS VARCHAR) END AS id,
+    CASE WHEN kind = 'dataset' AND clip_id % 17 = 3 THEN 'silence' || CAST(len(samples) AS VARCHAR) ELSE kind || CAST(clip_id AS VARCHAR) END AS sha256, i0 AS record_index
+  FROM (SELECT *, clip_id * 2 + CASE WHEN kind = 'session' THEN 1 ELSE 0 END AS i0 FROM told WHERE why IS NULL))""",
+    "w": DEDUP_STEPS["w"],
+    "verdict": "SELECT o.split, w.decision FROM w JOIN o USING (record_index)",
+}
+
+
+@query(
+    "clean_dataset",
+    sql(
+        """SELECT 'accepted' AS part, split AS name, count(*) AS n FROM verdict WHERE decision = 'accepted' GROUP BY 2
+UNION ALL SELECT 'excluded', decision, count(*) FROM verdict WHERE decision <> 'accepted' GROUP BY 2
+UNION ALL SELECT 'excluded', split_part(why, ':', 1), count(*) FROM told WHERE why IS NOT NULL GROUP BY 2""",
+        "v_clips",
+        **CLEAN_SQL,
+    ),
+)
 def clean_dataset(spark, sf_dir):
     """The whole cleaning job over the clips as files, with conversations as recorder sessions.
 
     Clips are 64 samples long, so frames and limits are scaled down with them.
     """
     c = v.clips(spark, sf_dir)
-    u = unit(F.col("clip_id"), "split")
+    draw = unit(F.col("clip_id"), "split")
     entity = F.col("clip_id") % 23 == 0
-    split = F.when(entity | (u >= 0.85), "test").when(u < 0.7, "train").otherwise("val")
+    split = F.when(entity | (draw >= 0.85), "test").when(draw < 0.7, "train").otherwise("val")
     path = F.concat(F.lit("c/"), "clip_id", F.lit(".wav"))
     rows = c.select(
         F.col("clip_id").alias("record_index"), F.concat(F.lit("id_"), F.when(F.col("clip_id") % 37 == 36, F.col("clip_id") - 1).otherwise(F.col("clip_id"))).alias("id"),
@@ -239,7 +274,7 @@ def clean_dataset(spark, sf_dir):
         F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("condition"), (F.col("clip_id") % 3 == 0).alias("accepted"),
         F.lit(None).cast("string").alias("error"), F.col("clip_id").alias("record_index"),
     )
-    files = wav_files(spark, sf_dir).where(F.xxhash64("path") % 29 != 0)
+    files = wav_files(spark, sf_dir).where(unit(F.regexp_extract("path", r"(\d+)", 1), "file") >= 0.03)
     again = audio.encode_wav(c.select(F.concat(F.lit("s/"), "clip_id", F.lit(".wav")).alias("path"), F.reverse("samples").alias("samples"))).select("path", "content")
     settings = {"frame": 8, "hop": 4, "relative_db": -3.0, "exempt": ("class_0",)}
     out = clean.clean_dataset(rows, sessions, files.unionByName(again), v.class_map(spark, sf_dir), "guest", strict=False, min_s=0.0012, max_s=0.0038, margin_ms=0.1875, **settings)

@@ -191,7 +191,7 @@ def activity_trim(spark, sf_dir):
     sql(
         """SELECT clip_id, reason, round(d0, 6) AS original_duration_s, round(lft, 9) AS trimmed_left_s, round(rgt, 9) AS trimmed_right_s,
   round(dur, 9) AS duration_s, round(g, 5) AS gain, round(list_sum(list_transform(part, lambda x: abs(x) * g)), 4) + 0.0 AS level FROM (
-  SELECT clip_id, reason, samples[a + 1 : b] AS part, CASE WHEN reason IS NULL THEN 0.002 END AS d0, CASE WHEN reason IS NULL THEN a / 16000 END AS lft,
+  SELECT clip_id, reason, samples[a + 1 : b] AS part, CASE WHEN reason IS NULL THEN CAST(0.002 AS DOUBLE) END AS d0, CASE WHEN reason IS NULL THEN a / 16000 END AS lft,
     CASE WHEN reason IS NULL THEN (32 - b) / 16000 END AS rgt, CASE WHEN reason IS NULL THEN (b - a) / 16000 END AS dur,
     CASE WHEN reason IS NULL THEN least(1.0, 0.25 / greatest(list_max(list_transform(samples[a + 1 : b], lambda x: abs(x))), 1e-12)) END AS g FROM trim)""",
         "v_clips",
