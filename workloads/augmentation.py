@@ -10,7 +10,7 @@ from chirrup.operators import augment, joins
 from chirrup.plans import examples
 from workloads import standins as v
 from workloads.views_sql import sql, u
-from workloads.waveforms import r, spread, spread_sql
+from workloads.waveforms import RESAMPLE_SQL, r, spread, spread_sql
 
 QUERIES, ORACLES = {}, {}
 FREE = ("class_0", "class_1")
@@ -193,7 +193,42 @@ def noise_pool(spark, sf_dir):
     return pool(spark, sf_dir).select(F.col("clip_id").alias("id"), F.col("samples").cast("array<float>").alias("samples"))
 
 
-@query("augment_chain")
+def sumsq(xs):
+    return f"list_sum(list_transform({xs}, lambda q: q * q))"
+
+
+def top(xs):
+    return f"list_max(list_transform({xs}, lambda q: abs(q)))"
+
+
+# Speed, place, reverb, noise and gain of each training clip, step by step.
+CHAIN_SQL = {
+    "conv": """SELECT rate, 100 // g AS up, rate // g AS down, greatest(100 // g, rate // g) AS widest
+FROM (SELECT r AS rate, gcd(r, 100) AS g FROM (SELECT unnest(range(90, 111)) AS r)) WHERE rate <> 100""",
+    **{k: RESAMPLE_SQL[k] for k in ("grid", "raw", "taps", "outs", "weight")},
+    "bank": "SELECT rate, list(hs ORDER BY m) AS ws FROM weight GROUP BY 1",
+    **{k: REVERB_SQL[k] for k in ("pool", "cut", "kern")},
+    "train": f"""SELECT *, CASE WHEN {u('clip_id', 'speed')} < 0.5 THEN CAST(floor(90 + {u('clip_id', 'speed_rate')} * 21) AS BIGINT) ELSE 100 END AS rate
+FROM v_clips WHERE {u('clip_id', 'split')} < 0.8""",
+    "sped": "SELECT t.*, CASE WHEN t.rate = 100 THEN samples ELSE list_transform(ws, lambda w: list_dot_product(samples, w)) END AS y FROM train t LEFT JOIN bank USING (rate)",
+    "placed": f"""SELECT *, list_concat(list_transform(range(0, lft), lambda i: 0.0), y, list_transform(range(0, 80 - len(y) - lft), lambda i: 0.0)) AS p
+FROM (SELECT *, CAST(floor({u('clip_id', 'align')} * (81 - len(y))) AS BIGINT) AS lft FROM sped)""",
+    "wet": f"""SELECT *, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'reverb')} < 0.5
+  THEN list_transform(range(0, 80), lambda n: list_sum(list_transform(range(0, least(len(h), n + 1)), lambda b: p[n - b + 1] * h[b + 1]))) END AS w
+FROM placed JOIN kern ON i = {pick_sql('rir_pick')}""",
+    "even": f"SELECT *, list_transform(w, lambda z: z * sqrt({sumsq('p')} / greatest({sumsq('w')}, 1e-12))) AS v FROM wet",
+    "rev": f"SELECT * EXCLUDE (i), CASE WHEN v IS NULL THEN p ELSE list_transform(v, lambda z: z / greatest(1.0, {top('v')})) END AS d FROM even",
+    "noisy": f"""SELECT rev.*, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'noise')} < 0.8
+  THEN list_transform(range(0, 80), lambda k: noise[(CAST(floor({u('clip_id', 'offset')} * 64) AS BIGINT) + k) % 64 + 1]) END AS z, 5.0 + {u('clip_id', 'snr')} * 15.0 AS snr
+FROM rev JOIN pool ON pool.i = {pick_sql('noise_clip_pick')}""",
+    "mixed": f"""SELECT *, list_transform(range(1, 81), lambda k: d[k] + z[k] * sqrt({sumsq('d')} / ({sumsq('z')} * pow(10, snr / 10)))) AS m FROM noisy""",
+    "loud": f"SELECT *, CASE WHEN z IS NULL THEN d ELSE list_transform(m, lambda x: x / greatest(1.0, {top('m')})) END AS f FROM mixed",
+    "done": f"""SELECT clip_id, rate AS speed_rate, list_transform(f, lambda x: CAST(CAST(x * CASE WHEN {u('clip_id', 'gain')} < 0.8
+  THEN least(pow(10, (-6.0 + {u('clip_id', 'gain_db')} * 12.0) / 20), 1.0 / {top('f')}) ELSE 1.0 END AS FLOAT) AS DOUBLE)) AS x FROM loud""",
+}
+
+
+@query("augment_chain", sql(f"SELECT clip_id, speed_rate, 80 AS frames, round({sumsq('x')}, 5) + 0.0 AS energy FROM done", "v_clips", **CHAIN_SQL))
 def augment_chain(spark, sf_dir):
     config = augment.Augmentation(reverb_exclude=FREE, noise_exclude=FREE, commands_exempt=FREE, max_rir_seconds=0.001)
     sources = noise_pool(spark, sf_dir)
