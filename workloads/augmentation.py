@@ -9,8 +9,9 @@ from chirrup.functions.rand import unit
 from chirrup.operators import augment, joins
 from chirrup.plans import examples
 from workloads import standins as v
+from workloads import views_sql
 from workloads.views_sql import sql, u
-from workloads.waveforms import RESAMPLE_SQL, r, spread, spread_sql
+from workloads.waveforms import MEL_SQL, RESAMPLE_SQL, r, spread, spread_sql
 
 QUERIES, ORACLES = {}, {}
 FREE = ("class_0", "class_1")
@@ -29,8 +30,8 @@ def query(name, oracle=None):
 POOL = "SELECT clip_id AS pool_id, samples AS noise, row_number() OVER (ORDER BY md5(CAST(clip_id AS VARCHAR)), clip_id) - 1 AS i FROM v_clips WHERE label_id < 5"
 
 
-def pick_sql(salt):
-    return f"CAST(floor({u('clip_id', salt)} * (SELECT count(*) FROM pool)) AS BIGINT)"
+def pick_sql(salt, seed=42):
+    return f"CAST(floor({u('clip_id', salt, seed)} * (SELECT count(*) FROM pool)) AS BIGINT)"
 
 
 def pool(spark, sf_dir):
@@ -157,19 +158,20 @@ def background_mix(spark, sf_dir):
     return spread(augment.background_mix(c, pool(spark, sf_dir), "clip_id", "clip_id", exclude=FREE), "samples")
 
 
-def hidden(axis, index):
+def hidden(axis, index, bound, length, seed=42):
+    """Does one of two random spans of the axis cover the index?"""
     spans = []
     for i in range(2):
-        w = f"CAST(floor({u('clip_id', f'{axis}_width{i}')} * least(bound, 9)) AS BIGINT)"
-        s = f"CAST(floor({u('clip_id', f'{axis}_start{i}')} * (8 - {w} + 1)) AS BIGINT)"
+        w = f"CAST(floor({u('clip_id', f'{axis}_width{i}', seed)} * {min(bound, length + 1)}) AS BIGINT)"
+        s = f"CAST(floor({u('clip_id', f'{axis}_start{i}', seed)} * ({length} - {w} + 1)) AS BIGINT)"
         spans.append(f"({index} >= {s} AND {index} < {s} + {w})")
-    return " OR ".join(spans)
+    return "(" + " OR ".join(spans) + ")"
 
 
 @query(
     "spec_augment",
     sql(
-        f"""SELECT clip_id, mel, frame, round(CASE WHEN {hidden('mel', 'mel').replace('bound', '3')} OR {hidden('time', 'frame').replace('bound', '4')} THEN 0.0
+        f"""SELECT clip_id, mel, frame, round(CASE WHEN {hidden('mel', 'mel', 3, 8)} OR {hidden('time', 'frame', 4, 8)} THEN 0.0
   ELSE samples[mel * 8 + frame + 1] END, 6) + 0.0 AS x FROM v_clips, (SELECT unnest(range(0, 8)) AS mel), (SELECT unnest(range(0, 8)) AS frame)""",
         "v_clips",
     ),
@@ -202,33 +204,37 @@ def top(xs):
 
 
 # Speed, place, reverb, noise and gain of each training clip, step by step.
-CHAIN_SQL = {
-    "conv": """SELECT rate, 100 // g AS up, rate // g AS down, greatest(100 // g, rate // g) AS widest
+def chain_sql(seed=42):
+    def u(key, salt):
+        return views_sql.u(key, salt, seed)
+
+    return {
+        "conv": """SELECT rate, 100 // g AS up, rate // g AS down, greatest(100 // g, rate // g) AS widest
 FROM (SELECT r AS rate, gcd(r, 100) AS g FROM (SELECT unnest(range(90, 111)) AS r)) WHERE rate <> 100""",
-    **{k: RESAMPLE_SQL[k] for k in ("grid", "raw", "taps", "outs", "weight")},
-    "bank": "SELECT rate, list(hs ORDER BY m) AS ws FROM weight GROUP BY 1",
-    **{k: REVERB_SQL[k] for k in ("pool", "cut", "kern")},
-    "train": f"""SELECT *, CASE WHEN {u('clip_id', 'speed')} < 0.5 THEN CAST(floor(90 + {u('clip_id', 'speed_rate')} * 21) AS BIGINT) ELSE 100 END AS rate
-FROM v_clips WHERE {u('clip_id', 'split')} < 0.8""",
-    "sped": "SELECT t.*, CASE WHEN t.rate = 100 THEN samples ELSE list_transform(ws, lambda w: list_dot_product(samples, w)) END AS y FROM train t LEFT JOIN bank USING (rate)",
-    "placed": f"""SELECT *, list_concat(list_transform(range(0, lft), lambda i: 0.0), y, list_transform(range(0, 80 - len(y) - lft), lambda i: 0.0)) AS p
+        **{k: RESAMPLE_SQL[k] for k in ("grid", "raw", "taps", "outs", "weight")},
+        "speeds": "SELECT rate, list(hs ORDER BY m) AS ws FROM weight GROUP BY 1",
+        **{k: REVERB_SQL[k] for k in ("pool", "cut", "kern")},
+        "train": f"""SELECT *, CASE WHEN {u('clip_id', 'speed')} < 0.5 THEN CAST(floor(90 + {u('clip_id', 'speed_rate')} * 21) AS BIGINT) ELSE 100 END AS rate
+FROM v_clips WHERE {views_sql.u('clip_id', 'split')} < 0.8""",
+        "sped": "SELECT t.*, CASE WHEN t.rate = 100 THEN samples ELSE list_transform(ws, lambda w: list_dot_product(samples, w)) END AS y FROM train t LEFT JOIN speeds USING (rate)",
+        "placed": f"""SELECT *, list_concat(list_transform(range(0, lft), lambda i: 0.0), y, list_transform(range(0, 80 - len(y) - lft), lambda i: 0.0)) AS p
 FROM (SELECT *, CAST(floor({u('clip_id', 'align')} * (81 - len(y))) AS BIGINT) AS lft FROM sped)""",
-    "wet": f"""SELECT *, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'reverb')} < 0.5
+        "wet": f"""SELECT *, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'reverb')} < 0.5
   THEN list_transform(range(0, 80), lambda n: list_sum(list_transform(range(0, least(len(h), n + 1)), lambda b: p[n - b + 1] * h[b + 1]))) END AS w
-FROM placed JOIN kern ON i = {pick_sql('rir_pick')}""",
-    "even": f"SELECT *, list_transform(w, lambda z: z * sqrt({sumsq('p')} / greatest({sumsq('w')}, 1e-12))) AS v FROM wet",
-    "rev": f"SELECT * EXCLUDE (i), CASE WHEN v IS NULL THEN p ELSE list_transform(v, lambda z: z / greatest(1.0, {top('v')})) END AS d FROM even",
-    "noisy": f"""SELECT rev.*, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'noise')} < 0.8
+FROM placed JOIN kern ON i = {pick_sql('rir_pick', seed)}""",
+        "even": f"SELECT *, list_transform(w, lambda z: z * sqrt({sumsq('p')} / greatest({sumsq('w')}, 1e-12))) AS v FROM wet",
+        "rev": f"SELECT * EXCLUDE (i), CASE WHEN v IS NULL THEN p ELSE list_transform(v, lambda z: z / greatest(1.0, {top('v')})) END AS d FROM even",
+        "noisy": f"""SELECT rev.*, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'noise')} < 0.8
   THEN list_transform(range(0, 80), lambda k: noise[(CAST(floor({u('clip_id', 'offset')} * 64) AS BIGINT) + k) % 64 + 1]) END AS z, 5.0 + {u('clip_id', 'snr')} * 15.0 AS snr
-FROM rev JOIN pool ON pool.i = {pick_sql('noise_clip_pick')}""",
-    "mixed": f"""SELECT *, list_transform(range(1, 81), lambda k: d[k] + z[k] * sqrt({sumsq('d')} / ({sumsq('z')} * pow(10, snr / 10)))) AS m FROM noisy""",
-    "loud": f"SELECT *, CASE WHEN z IS NULL THEN d ELSE list_transform(m, lambda x: x / greatest(1.0, {top('m')})) END AS f FROM mixed",
-    "done": f"""SELECT clip_id, rate AS speed_rate, list_transform(f, lambda x: CAST(CAST(x * CASE WHEN {u('clip_id', 'gain')} < 0.8
+FROM rev JOIN pool ON pool.i = {pick_sql('noise_clip_pick', seed)}""",
+        "mixed": f"""SELECT *, list_transform(range(1, 81), lambda k: d[k] + z[k] * sqrt({sumsq('d')} / ({sumsq('z')} * pow(10, snr / 10)))) AS m FROM noisy""",
+        "loud": f"SELECT *, CASE WHEN z IS NULL THEN d ELSE list_transform(m, lambda x: x / greatest(1.0, {top('m')})) END AS f FROM mixed",
+        "done": f"""SELECT clip_id, rate AS speed_rate, list_transform(f, lambda x: CAST(CAST(x * CASE WHEN {u('clip_id', 'gain')} < 0.8
   THEN least(pow(10, (-6.0 + {u('clip_id', 'gain_db')} * 12.0) / 20), 1.0 / {top('f')}) ELSE 1.0 END AS FLOAT) AS DOUBLE)) AS x FROM loud""",
-}
+    }
 
 
-@query("augment_chain", sql(f"SELECT clip_id, speed_rate, 80 AS frames, round({sumsq('x')}, 5) + 0.0 AS energy FROM done", "v_clips", **CHAIN_SQL))
+@query("augment_chain", sql(f"SELECT clip_id, speed_rate, 80 AS frames, round({sumsq('x')}, 5) + 0.0 AS energy FROM done", "v_clips", **chain_sql()))
 def augment_chain(spark, sf_dir):
     config = augment.Augmentation(reverb_exclude=FREE, noise_exclude=FREE, commands_exempt=FREE, max_rir_seconds=0.001)
     sources = noise_pool(spark, sf_dir)
@@ -236,7 +242,28 @@ def augment_chain(spark, sf_dir):
     return out.select("clip_id", "speed_rate", F.size("samples").alias("frames"), r(arrays.energy(F.col("samples")), 5).alias("energy"))
 
 
-@query("materialize_examples")
+SEED = "42.1"
+EXAMPLE_SQL = {
+    **chain_sql(SEED),
+    "ex": f"""SELECT clip_id, 'train' AS split, x FROM done UNION ALL
+SELECT clip_id, 'test', list_concat(list_transform(range(0, 8), lambda i: 0.0), samples, list_transform(range(0, 8), lambda i: 0.0)) FROM v_clips WHERE {u('clip_id', 'split')} >= 0.8""",
+    "padded": "SELECT clip_id, split, list_concat(list_transform(range(0, 8), lambda i: x[9 - i]), x, list_transform(range(0, 8), lambda i: x[79 - i])) AS y FROM ex",
+    **{k: MEL_SQL[k].replace("range(0, 17)", "range(0, 21)") for k in ("term", "spec", "edge", "bank")},
+    "mel": "SELECT clip_id, m, f, ln(sum(p * w) + 1e-6) AS x FROM spec JOIN bank USING (k) GROUP BY 1, 2, 3",
+    "seen": f"""SELECT clip_id, split, CASE WHEN split = 'train' AND ({hidden('mel', 'm', 3, 6, SEED)} OR {hidden('time', 'f', 4, 21, SEED)}) THEN 0.0
+  ELSE CAST(CAST(mel.x AS FLOAT) AS DOUBLE) END AS v FROM mel JOIN ex USING (clip_id)""",
+}
+
+
+@query(
+    "materialize_examples",
+    sql(
+        """SELECT clip_id, split, label_id, 80 AS frames, 6 AS mels, CAST(count(*) AS INTEGER) AS cells, round(sum(v), 3) + 0.0 AS total
+FROM seen JOIN v_clips USING (clip_id) GROUP BY 1, 2, 3""",
+        "v_clips",
+        **EXAMPLE_SQL,
+    ),
+)
 def materialize_examples(spark, sf_dir):
     config = augment.Augmentation(reverb_exclude=FREE, noise_exclude=FREE, commands_exempt=FREE, max_rir_seconds=0.001, frequency_mask=3, time_mask=4)
     sources, out = noise_pool(spark, sf_dir), None
