@@ -58,12 +58,27 @@ def _anchors(data: np.ndarray, window: int):
     return digits[place], place, begin, np.concatenate([begin[1:], [n]])
 
 
+def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Spans of equal length or in order of their ends, with overlapping and adjacent ones joined."""
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], end[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], begin[first], end[np.concatenate([first[1:], [len(doc)]]) - 1 if len(first) else first]
+
+
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     """(h, c, doc, at): an anchor's digit hash, the hash of all its windows' bytes, its text, and its place.
 
     `at` packs the first window (40 bits), the number of windows and the anchor's
     distance from the first (7 bits each).  Texts are hashed in segments that
     overlap by a window, so memory is bounded.
+
+    Of the anchors of a segment that have equal windows only the earliest is a
+    row.  The others are repeats for certain; their spans, joined, are rows
+    whose `at` is -1 less the begin, whose `c` is the end, and whose `h` is a
+    number of the text.  So a string that most texts hold is no hot digit.
     """
 
     def make():
@@ -86,8 +101,18 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 for k in range(i, j):
                     for b in range(at[k], max(at[k], at[k + 1] - window + 1), SEGMENT):
                         one(data[b : min(b + SEGMENT + window - 1, at[k + 1])], b - at[k], out, docs_[k])
-                if out[0]:
-                    yield tuple(pa.array(np.concatenate(x)) for x in out)
+                if not out[0]:
+                    continue
+                h, c, doc, place = (np.concatenate(x) for x in out)
+                order = np.lexsort((place, doc, c, h))
+                h, c, doc, place = h[order], c[order], doc[order], place[order]
+                later = np.zeros(len(h), bool)
+                later[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+                begin, end, _ = _unpacked(place[later], window)
+                owner, begin, end = _merged(doc[later], begin, end)
+                number = (owner.astype(np.uint64) * np.uint64(_P)).view(np.int64)
+                parts = ((h[~later], number), (c[~later], end), (doc[~later], owner), (place[~later], -1 - begin))
+                yield tuple(pa.array(np.concatenate(x)) for x in parts)
 
         return step
 
@@ -117,6 +142,13 @@ def repeated_anchors(anchors: DataFrame, window: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, c, doc, at = (np.asarray(x) for x in batch.columns)
+            known = at < 0
+            if known.any():
+                blank = pa.nulls(int(known.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(-1 - at[known]), pa.array(c[known]), blank, blank], names=["doc", "begin", "end", "anchor", "h"])
+                h, c, doc, at = h[~known], c[~known], doc[~known], at[~known]
+                if not len(h):
+                    continue
             if kept is not None:
                 h, c, doc, at = (np.concatenate([[k], x]) for k, x in zip(kept, (h, c, doc, at)))
             digit = np.concatenate([[True], h[1:] != h[:-1]])
@@ -180,47 +212,35 @@ def _later_windows(contexts: DataFrame, window: int) -> DataFrame:
         def step(rows, starts):
             docs_, begins, shifts = (np.asarray(rows.column(k)) for k in (1, 2, 3))
             data, at = utf8(rows.column(4))
-            out = ([], [], [])
-            for b, e in zip(starts, [*starts[1:], rows.num_rows]):
-                if e - b < 2:
-                    continue
-                counts = at[b + 1 : e + 1] - at[b:e] - window + 1
-                owner = np.repeat(np.arange(b, e), counts)
-                inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = at[owner] + inner
-                # Equal windows have the anchor at the same distance: that is the digit before the first.
-                group = shifts[owner] - inner
-                alive = np.arange(len(owner))
-                for depth in range(0, window, 8):
-                    width = min(8, window - depth)
-                    value = np.zeros(len(alive), np.uint64)
-                    for k in range(width):
-                        value = (value << np.uint64(8)) | data[start[alive] + depth + k].astype(np.uint64)
-                    order = np.lexsort((value, group))
-                    alive, group, value = alive[order], group[order], value[order]
-                    new = np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])])
-                    group = np.cumsum(new) - 1
-                    several = np.bincount(group)[group] > 1
-                    alive, group = alive[several], group[several]
-                    if not len(alive):
-                        break
-                if len(alive):
-                    doc, place = docs_[owner[alive]], begins[owner[alive]] + inner[alive]
-                    order = np.lexsort((place, doc, group))
-                    doc, place, group = doc[order], place[order], group[order]
-                    head = np.concatenate([[True], group[1:] != group[:-1]])
-                    of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-                    later = (doc != doc[of]) | (place != place[of])
-                    doc, place = doc[later], place[later]
-                    order = np.lexsort((place, doc))
-                    doc, place = doc[order], place[order]
-                    # Runs of neighbouring windows are one span.
-                    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + window)])) if len(doc) else np.zeros(0, np.int64)
-                    ends = np.concatenate([cut[1:], [len(doc)]]) - 1 if len(doc) else cut
-                    out[0].extend(doc[cut].tolist())
-                    out[1].extend(place[cut].tolist())
-                    out[2].extend((place[ends] + window).tolist())
-            yield out
+            sizes = np.diff(np.concatenate([starts, [rows.num_rows]]))
+            digit = np.repeat(np.arange(len(starts)), sizes)
+            single = np.repeat(sizes < 2, sizes)
+            counts = np.where(single, 0, np.diff(at) - window + 1)
+            owner = np.repeat(np.arange(rows.num_rows), counts)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = at[owner] + inner
+            alive = np.arange(len(owner))
+            # Equal windows have the anchor at the same distance: with the digit there, that is the first pass.
+            group = (digit[owner] << 7) | (shifts[owner] - inner)
+            for depth in range(0, window, 8):
+                value = np.zeros(len(alive), np.uint64)
+                for k in range(min(8, window - depth)):
+                    value = (value << np.uint64(8)) | data[start[alive] + depth + k].astype(np.uint64)
+                order = np.lexsort((value, group))
+                alive, group, value = alive[order], group[order], value[order]
+                new = np.ones(len(alive), bool)
+                new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+                group = np.cumsum(new) - 1
+                several = np.bincount(group)[group] > 1 if len(group) else new
+                alive, group = alive[several], group[several]
+            doc, place = docs_[owner[alive]], begins[owner[alive]] + inner[alive]
+            order = np.lexsort((place, doc, group))
+            doc, place, group = doc[order], place[order], group[order]
+            head = np.ones(len(doc), bool)
+            head[1:] = group[1:] != group[:-1]
+            of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+            later = (doc != doc[of]) | (place != place[of])
+            yield tuple(map(pa.array, _merged(doc[later], place[later], place[later] + window)))
 
         return step
 
