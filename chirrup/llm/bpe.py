@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chirrup.llm.common import byte_sizes, kept_by_worker, map_batches, slices
 
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -107,7 +107,7 @@ class Encoder:
 class Memo(dict):
     """Packed ids of the pre-tokens met lately; two generations bound its size."""
 
-    LIMIT, LONGEST = 400_000, 64
+    LIMIT, LONGEST = 160_000, 64
 
     def __init__(self, tokens: list[bytes]):
         super().__init__()

@@ -30,7 +30,7 @@ class Counter(dict):
     the vocabulary has it.
     """
 
-    LIMIT, LONGEST = 400_000, 64
+    LIMIT, LONGEST = 250_000, 64
 
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
