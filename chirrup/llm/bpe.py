@@ -27,79 +27,76 @@ def read_ranks(path: str) -> list[bytes]:
 class Encoder:
     """Merges one pre-token at a time through a queue of merge ranks.
 
-    Positions wait in one bucket per rank.  Three levels of 64-bit words mark
-    the buckets that hold something, so the lowest rank is three find-first-set
-    steps away, however long the pre-token is.  A bucket gives its leftmost
-    position first.  The parts form a linked list; an entry whose pair has
-    changed since it was queued is stale and skipped.
+    Positions wait in one bucket per rank.  A bitmap marks the buckets that
+    hold something, in words of 256 bits, and a bitmap above it the words that
+    are not zero; so the lowest rank is two find-first-set steps away, however
+    long the pre-token is.  A bucket gives its leftmost position first.  The
+    parts form a linked list; an entry whose pair has changed since it was
+    queued is stale and skipped.
     """
 
     def __init__(self, tokens: list[bytes]):
         self.ranks = {token: rank for rank, token in enumerate(tokens)}
         self.buckets: list[list[int]] = [[] for _ in tokens]
-        self.low = [0] * (len(tokens) // 64 + 1)
-        self.middle = [0] * (len(self.low) // 64 + 1)
-        if len(self.middle) > 1 << 20:
-            raise ValueError("too many ranks for three levels")
+        self.words = [0] * (len(tokens) // 256 + 1)
+        self.bits = [1 << i for i in range(max(256, len(self.words)))]
 
     def ids(self, piece: bytes) -> list[int]:
-        rank_of = self.ranks.get
-        known = rank_of(piece)
-        if known is not None:
-            return [known]
-        buckets, low, middle = self.buckets, self.low, self.middle
+        ranks, buckets, words, bits = self.ranks, self.buckets, self.words, self.bits
+        known = ranks.get(piece)
+        if known is not None or not piece:
+            return [known] if piece else []
+        rank_of = ranks.get
         top, n = 0, len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part at i joined with its successor
-
-        def queue(rank, i):
-            nonlocal top
-            bucket = buckets[rank]
-            if not bucket:
-                word = rank >> 6
-                low[word] |= 1 << (rank & 63)
-                middle[word >> 6] |= 1 << (word & 63)
-                top |= 1 << (word >> 6)
-            heappush(bucket, i)
-
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue(rank, i)
+        # The rank of the part at each place joined with its successor.
+        pair = [rank_of(piece[i : i + 2], -1) for i in range(n)]
+        pair[-1] = -1
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                bucket = buckets[rank]
+                if not bucket:
+                    words[rank >> 8] |= bits[rank & 255]
+                    top |= bits[rank >> 8]
+                bucket.append(i)  # from left to right: a heap already
         while top:
-            m = (top & -top).bit_length() - 1
-            word = (m << 6) + (middle[m] & -middle[m]).bit_length() - 1
-            rank = (word << 6) + (low[word] & -low[word]).bit_length() - 1
+            word = (top & -top).bit_length() - 1
+            marks = words[word]
+            rank = (word << 8) + (marks & -marks).bit_length() - 1
             bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
-                low[word] ^= 1 << (rank & 63)
-                if not low[word]:
-                    middle[m] ^= 1 << (word & 63)
-                    if not middle[m]:
-                        top ^= 1 << m
+                words[word] = marks = marks & (marks - 1)
+                if not marks:
+                    top &= top - 1
             if pair[i] != rank:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = pair[i] = -1
+            pair[gone] = -1
+            left = before[i]
             if end < n:
                 before[end] = i
-                rank = rank_of(piece[i : after[end]])
-                if rank is not None:
-                    pair[i] = rank
-                    queue(rank, i)
-            left = before[i]
+                pair[i] = rank = rank_of(piece[i : after[end]], -1)
+                if rank >= 0:
+                    bucket = buckets[rank]
+                    if not bucket:
+                        words[rank >> 8] |= bits[rank & 255]
+                        top |= bits[rank >> 8]
+                    heappush(bucket, i)
+            else:
+                pair[i] = -1
             if left >= 0:
-                rank = rank_of(piece[left:end])
-                pair[left] = -1
-                if rank is not None:
-                    pair[left] = rank
-                    queue(rank, left)
+                pair[left] = rank = rank_of(piece[left:end], -1)
+                if rank >= 0:
+                    bucket = buckets[rank]
+                    if not bucket:
+                        words[rank >> 8] |= bits[rank & 255]
+                        top |= bits[rank >> 8]
+                    heappush(bucket, left)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
