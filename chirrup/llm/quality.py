@@ -9,6 +9,13 @@ from chirrup.llm.common import WORD, let
 
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
+#: Marks that a line of prose has few of, what separates links, and what ends a sentence.
+MARKS = SYMBOLS + "=_~^{}[]@+"
+SEPARATORS = "|»›•·"
+ENDS = (".", "!", "?", "…", ":", ";", "。", "！", "？")
+CLOSING = "\"'”’»)]"
+#: Characters of a short line, of a line that may be furniture, and the share of marks that is too much.
+SHORT, FURNITURE, MARKED = 30, 240, 0.1
 #: Phrases of site furniture, lower case.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password",
@@ -60,18 +67,32 @@ def repeated_words(words: Column) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return F.length(F.btrim(line, F.lit(SPACES))) > 0
+
+
+def occurrences(text: Column, characters: str) -> Column:
+    """How many of the given characters a text holds.  Replacing them one by one is far quicker than `translate`, which looks up each character."""
+    left = text
+    for c in characters:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(left)
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is furniture: navigation, boilerplate, mostly symbols, or a short line without an end mark."""
-    bare = F.translate(line, SPACES, "")
-    words = F.regexp_count(line, F.lit(WORD))
-    marks = F.length(bare) - F.length(F.regexp_replace(bare, r"[\p{P}\p{S}]", ""))
-    navigation = F.length(line) - F.length(F.translate(line, "|»›•·", "")) >= 3
-    ended = F.rlike(line, F.lit(r"[.!?…:;。！？][\"'”’)\]»]*\s*$"))
-    boilerplate = F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
-    return navigation | (marks * 10 > F.length(bare) * 3) | ((words < 5) & ~ended) | (boilerplate & (words < 40))
+    """Whether a line is furniture: navigation, mostly marks, a short line without an end mark, or short boilerplate."""
+    bare = F.btrim(F.rtrim(F.btrim(line, F.lit(SPACES)), F.lit(CLOSING)), F.lit(SPACES))
+    ended, boilerplate, lower = F.lit(False), F.lit(False), F.lower(line)
+    for end in ENDS:
+        ended = ended | F.endswith(bare, F.lit(end))
+    for phrase in BOILERPLATE:
+        boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
+    size = F.length(line)
+    return (
+        ((size < SHORT) & ~ended)
+        | (occurrences(line, SEPARATORS) >= 3)
+        | (occurrences(line, MARKS) > size * MARKED)
+        | ((size < FURNITURE) & boilerplate)
+    )
 
 
 def clean_lines(df: DataFrame, least_words: int = 50, repeated: float = 0.5, least_left: float = 0.5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,7 +101,7 @@ def clean_lines(df: DataFrame, least_words: int = 50, repeated: float = 0.5, lea
     Failing lines go from `cleaned`; lines without a word stay where they are.
     A document is not kept if the base rules fail (fewer than `least_words`
     words, or more than the share `repeated` of them in repeated three-word
-    windows) or if less than the share `least_left` of its letters is left.
+    windows) or if less than the share `least_left` of its characters is left.
     All in one pass over each row, without a shuffle.  A null text counts as
     empty, and so fails; repeated rows get the same verdict.
     """
@@ -89,16 +110,15 @@ def clean_lines(df: DataFrame, least_words: int = 50, repeated: float = 0.5, lea
     lines = F.split("_t", "\n")
     counts = rows.select(
         id,
-        F.length(F.translate("_t", SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length("_t").alias("_size"),
+        occurrences(F.col("_t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         let(F.filter(lines, has_word), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        let(F.regexp_extract_all("_t", F.lit(WORD), 0), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated_words(w).alias("repeats"))).alias("_w"),
+        let(F.regexp_extract_all("_t", F.lit(WORD), 0), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.length(F.array_join(w, "")).cast("bigint").alias("chars"), repeated_words(w).alias("repeats"))).alias("_w"),
         F.concat_ws("\n", F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x))).alias("cleaned"),
     )
     n, again = F.col("_w.n"), F.col("_w.repeats")
     failed = (n < least_words) | (100 * again > int(100 * repeated) * n)
-    left = F.length(F.translate("cleaned", SPACES, ""))
     return counts.select(
-        id, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), failed.alias("base_failed"),
-        (~failed & (left >= F.col("word_chars") * least_left)).alias("kept"), "cleaned",
+        id, n.alias("n_words"), F.col("_w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), failed.alias("base_failed"),
+        (~failed & (F.length("cleaned") >= F.col("_size") * least_left)).alias("kept"), "cleaned",
     )
