@@ -123,9 +123,12 @@ class Memo(dict):
         return packed
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """(id, n_tokens, ids) of each row's whole text; ids is binary, little-endian unsigned 32-bit integers.
 
+    With `decoded`, a column of that name holds the bytes that the ids decode to:
+    the round trip in one pass.
+
     Every match of `pattern` is encoded separately, without special tokens; the
     characters between matches, if the pattern leaves any, are dropped, as the
     public tokenizer library does.  A null or empty text has no tokens.  Rows
@@ -141,18 +144,27 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", tex
         import regex
 
         memo = kept_by_worker(key, lambda: Memo(tokens.value))
-        find = regex.compile(pattern).findall
+        find, unpack = regex.compile(pattern).findall, _unpacker(tokens.value)
 
         def step(batch):
             keys, texts = batch.columns
             sizes = byte_sizes(texts)
             for i, j in slices(sizes, OUT_BYTES):
                 packed = [b"".join(map(memo.__getitem__, find(x))) if x else b"" for x in texts[i:j].to_pylist()]
-                yield keys[i:j], [len(p) // 4 for p in packed], packed
+                back = [[unpack(p) for p in packed]] if decoded else []
+                yield keys[i:j], [len(p) // 4 for p in packed], packed, *back
 
         return step
 
-    return map_batches(df.select(id, text), make, f"`{id}` {df.schema[id].dataType.simpleString()}, n_tokens bigint, ids binary")
+    ddl = f"`{id}` {df.schema[id].dataType.simpleString()}, n_tokens bigint, ids binary"
+    return map_batches(df.select(id, text), make, ddl + f", `{decoded}` binary" * bool(decoded))
+
+
+def _unpacker(tokens: list[bytes]):
+    from array import array
+
+    vocabulary = tokens.__getitem__
+    return lambda packed: b"".join(map(vocabulary, array("I", packed or b"")))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids"), out: str = "decoded") -> DataFrame:
@@ -165,15 +177,13 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep: tuple[str, ..
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def make():
-        from array import array
-
-        vocabulary = tokens.value.__getitem__
+        unpack = _unpacker(tokens.value)
 
         def step(batch):
             held, packed = batch.columns[:-1], batch.columns[-1]
             sizes = byte_sizes(packed)
             for i, j in slices(sizes, OUT_BYTES):
-                texts = [b"".join(map(vocabulary, array("I", p or b""))) for p in packed[i:j].to_pylist()]
+                texts = [unpack(p) for p in packed[i:j].to_pylist()]
                 yield *[c[i:j] for c in held], texts
 
         return step

@@ -46,13 +46,15 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], ddl: str, finish: b
 
 
 def kept_by_worker(key: tuple, build: Callable):
-    """What `build()` gives, built once per Python worker and key.
+    """What `build()` gives, built once per Python worker while it works on tasks of this key.
 
     Functions travel to the workers by value, so a module's own globals would
-    not outlive a task; the interpreter's do.
+    not outlive a task; the interpreter's do.  A worker keeps one such thing:
+    the next stage's takes its place.
     """
     state = sys.__dict__.setdefault("_chirrup_kept", {})
     if key not in state:
+        state.clear()
         state[key] = build()
     return state[key]
 
