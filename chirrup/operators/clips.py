@@ -118,12 +118,14 @@ def blocks_with_context(chunks: DataFrame, span: Column, before: Column, after:
     return spread.where(high > low).select(*others, "block", low.alias("start_frame"), piece.alias("samples"))
 
 
-def _joined(recording, pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
-    """(first frame, samples) of a block's pieces put together."""
+def _joined(recording, pdf: pd.DataFrame, begin: int) -> tuple[int, np.ndarray]:
+    """(first frame, samples) of a block's pieces put together; they must begin at `begin` and leave no gap."""
     pdf = pdf.sort_values("start_frame")
     starts, lengths = pdf["start_frame"].to_numpy(), pdf["samples"].map(len).to_numpy()
     if (starts[1:] != starts[:-1] + lengths[:-1]).any():
         raise ValueError(f"recording {recording}: chunks overlap or leave a gap after frame {starts[0]}")
+    if starts[0] != begin:
+        raise ValueError(f"recording {recording}: frames {begin} to {starts[0] - 1} are missing")
     return int(starts[0]), np.concatenate([np.asarray(x, dtype=np.float32) for x in pdf["samples"]])
 
 
@@ -141,7 +143,7 @@ def resample_chunks(chunks: DataFrame, target: int = dsp.RATE, block_seconds: in
 
     def convert(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         recording, rate, block = key
-        origin, x = _joined(recording, pdf)
+        origin, x = _joined(recording, pdf, max(0, (block * block_seconds - 1) * int(rate)))
         # One second is a whole number of samples at both rates, so cuts at seconds stay aligned.
         skip = (block * block_seconds - origin // rate) * target
         y = dsp.resample(x.astype(np.float64), int(rate), target)[skip : skip + block_seconds * target].astype(np.float32)
@@ -172,7 +174,7 @@ def map_windows(
 
     def windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         recording, block = key
-        origin, audio = _joined(recording, pdf)
+        origin, audio = _joined(recording, pdf, max(0, block * span - size))
         stop = origin + len(audio)
         ends = np.arange(block * span + hop, stop + 1, hop)
         if stop > block * span and (ends.size == 0 or ends[-1] != stop):

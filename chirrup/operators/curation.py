@@ -23,24 +23,16 @@ def exclusion_counts(excluded: DataFrame) -> DataFrame:
     return excluded.groupBy(F.split_part("reason", F.lit(":"), F.lit(1)).alias("code")).agg(F.count("*").alias("n"))
 
 
-def split_leakage(
-    manifest: DataFrame, kinds=("sha256", *GROUP_KINDS), split: str = "split", names=(*SPLITS, "held_out")
-) -> DataFrame:
-    """Every group value that occurs in more than one split, with those splits.
+def split_leakage(manifest: DataFrame, kinds=("sha256", *GROUP_KINDS), split: str = "split") -> DataFrame:
+    """Every group value that occurs in more than one split, with all of those splits.
 
-    Only fixed-size aggregates are used, so rows are combined before the shuffle
-    and a value holding a third of all rows costs no more than any other.
-    `names` are the split names to list; any other split is still detected.
+    Splits are few, and the set of them is built before the shuffle, so a value
+    holding a third of all rows costs no more than any other.
     """
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds])
-    s = F.col("_split")
     long = manifest.select(F.inline(pairs), F.col(split).alias("_split")).where("value is not null and value <> ''")
-    found = long.groupBy("kind", "value").agg(
-        F.min(s).alias("_low"), F.max(s).alias("_high"), *[F.max(F.when(s == n, n)).alias(f"_in_{n}") for n in names]
-    )
-    seen = F.array("_low", "_high", *[f"_in_{n}" for n in names])
-    splits = F.array_sort(F.array_distinct(F.array_compact(seen)))
-    return found.where("_low <> _high").select("kind", "value", splits.alias("splits"))
+    found = long.groupBy("kind", "value").agg(F.array_sort(F.collect_set("_split")).alias("splits"))
+    return found.where(F.size("splits") > 1)
 
 
 def split_order(split: Column, splits=SPLITS) -> Column:
@@ -108,8 +100,8 @@ def group_leak_after_accept(accepted: DataFrame, kinds=GROUP_KINDS, partition: s
     return split_leakage(accepted, kinds, partition)
 
 
-def session_records(sessions: DataFrame, entity: str, prefix: str) -> DataFrame:
-    """Accepted session rows in manifest shape: always test, always the held-out entity."""
+def session_records(sessions: DataFrame, entity: str, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted session rows in manifest shape: always test, always the held-out entity; with the columns `keep`."""
     path = F.concat_ws("/", F.nullif("folder", F.lit("")), "wav")
     ident = record_id(None, path, prefix)
     return sessions.select(
@@ -125,6 +117,7 @@ def session_records(sessions: DataFrame, entity: str, prefix: str) -> DataFrame:
         ident.alias("parent_id"),
         F.coalesce("speaker", F.lit(entity)).alias("speaker"),
         "condition",
+        *keep,
     )
 
 

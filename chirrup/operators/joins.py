@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirrup.functions.arrays import bounded
+from chirrup.functions.paths import normal_path
 from chirrup.functions.rand import unit, uniform_int
 from chirrup.functions.scan import numbered
 
 
 def encode_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return df.join(bounded(labels.select("label", "label_id")), "label")
+    """Rows with their label_id; a label that the map lacks stops the job where its id is read."""
+    found = df.drop("label_id").join(bounded(labels.select("label", "label_id")), "label", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("label", F.lit("null")))).cast("bigint")
+    return found.withColumn("label_id", F.coalesce(F.col("label_id"), unknown))
 
 
 def missing_audio(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -26,9 +30,10 @@ def background_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def heldout_overlap(pool: DataFrame, heldout: DataFrame) -> DataFrame:
-    """Held-out rows that share a path or a source group with the mixing pool."""
+    """Held-out rows that share a path, however it is spelled, or a source group with the mixing pool."""
     groups = pool.where("source_group <> ''").select("source_group").distinct()
-    by_path = heldout.join(pool.select("path"), "path", "left_semi").withColumn("shared", F.lit("path"))
+    paths = pool.select(normal_path(F.col("path")).alias("_place"))
+    by_path = heldout.join(paths, normal_path(heldout["path"]) == paths["_place"], "left_semi").withColumn("shared", F.lit("path"))
     by_group = heldout.join(groups, "source_group", "left_semi").withColumn("shared", F.lit("source_group"))
     return by_path.unionByName(by_group)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chirrup.operators.joins import encode_labels
 from chirrup.functions.arrays import bounded, log_softmax, normalized, top1, total
 from chirrup.session import materialize
 
@@ -34,8 +35,7 @@ def predictions(scored: DataFrame, labels: DataFrame, kind: str = "logits", smoo
 
     `scored` has record_index, path, label, scores and, optionally, length_action.
     """
-    ids = bounded(labels.select("label", "label_id"))
-    rows = with_probabilities(scored.drop("label_id").join(ids, "label"), kind)
+    rows = with_probabilities(encode_labels(scored, labels), kind)
     rows = top_class(rows, labels)
     action = F.col("length_action") if "length_action" in rows.columns else F.lit("unchanged")
     return rows.select(

@@ -81,9 +81,7 @@ def clean_dataset(
     dataset = dataset_rows.withColumns({k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in moved.items()})
     dataset = dataset.withColumn("id", record_id(F.col("id"), F.col("path"))).withColumn("folder", F.lit(""))
     offered = checks.recorder_acceptance(session_rows)
-    sessions = curation.session_records(offered.where("reason is null"), entity, f"{entity}_")
-    order = offered.where("reason is null").select(F.concat_ws("/", F.nullif("folder", F.lit("")), "wav").alias("path"), "folder", "record_index")
-    sessions = sessions.join(order, "path")
+    sessions = curation.session_records(offered.where("reason is null"), entity, f"{entity}_", keep=("folder", "record_index"))
     rows = curation.union_sources(dataset, sessions).withColumn("partition", partition_of(entity))
     rows = rows.withColumn("rank", F.when(F.col("kind") == "session", 4).otherwise(curation.split_order(F.col("split"))))
     rows = rows.withColumn("position", F.struct("rank", "folder", "record_index", "path"))

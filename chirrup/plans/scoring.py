@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from chirrup.session import materialize
 
-MODEL_LIMIT = 4_000_000
 
 
 def score_clips(
@@ -56,7 +55,7 @@ def fit_centroids(clips: DataFrame, column: str = "samples", dims: int | None =
     """Mean vector per label id: the parameters [classes, dims] of the built-in scorer.
 
     Vectors are averaged whole, before the shuffle as far as possible.  Only
-    classes * dims numbers come back, and their count is checked first.
+    classes * dims numbers come back: the size of the model, not of the data.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -65,8 +64,6 @@ def fit_centroids(clips: DataFrame, column: str = "samples", dims: int | None =
     vectors = clips.select("label_id", array_to_vector(vector.cast("array<double>")).alias("x"))
     means = vectors.groupBy("label_id").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
     means = materialize(means)
-    if (means.agg(F.sum(F.size("mean"))).first()[0] or 0) > MODEL_LIMIT:
-        raise ValueError(f"a centroid model may have at most {MODEL_LIMIT} numbers")
     return np.array([r.mean for r in means.orderBy("label_id").collect()])
 
 

@@ -27,10 +27,13 @@ def session(app: str = "chirrup", master: str | None = None, **conf) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as named by the cluster.
 
-    Only when the session names none (a local run) is a temporary folder set.
+    Only a local run may name none: then a temporary folder is set.  On a
+    cluster that folder would be each machine's own, so the job stops.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="chirrup-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)

@@ -59,8 +59,8 @@ def stream_decode_events(
 
     The state of a recording holds, per command class, its active run, whether it
     is armed, since when it is inactive, and its last emission.  Rows of a
-    micro-batch are taken in time order; a row not newer than the recording's
-    last one is late: dropped and counted.
+    micro-batch are taken in the order of time and window; a row not after the
+    recording's last one in that order is late: dropped and counted.
     """
     rec = windows.schema["recording_id"].dataType.simpleString()
     output = f"recording_id {rec}, window_index bigint, label string, time_seconds double, confidence double, late_windows bigint"
@@ -70,19 +70,19 @@ def stream_decode_events(
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            runs, armed, since, last, newest, late = state.get
+            runs, armed, since, last, newest, index, late = state.get
             runs, armed, since, last = list(runs), list(armed), list(since), list(last)
         else:
             # `since` is infinite while a class is active or unseen: never long enough to re-arm it.
-            runs, armed, since, last, newest, late = [0] * k, [True] * k, [float("inf")] * k, [never] * k, never, 0
+            runs, armed, since, last, newest, index, late = [0] * k, [True] * k, [float("inf")] * k, [never] * k, never, -1, 0
         rows = []
         ordered = pd.concat(list(batches)).sort_values(["time_seconds", "window_index"])
         for r in ordered.itertuples(index=False):
             t = r.time_seconds
-            if t <= newest:
+            if (t, r.window_index) <= (newest, index):
                 late += 1
                 continue
-            newest = t
+            newest, index = t, r.window_index
             hit = place.get(r.predicted_label, -1) if r.confidence >= threshold else -1
             for i in range(k):
                 if i != hit:
@@ -93,11 +93,11 @@ def stream_decode_events(
                 if armed[hit] and runs[hit] >= consecutive and t - last[hit] + EPS >= cooldown:
                     armed[hit], last[hit] = False, t
                     rows.append((key[0], r.window_index, commands[hit], t, r.confidence, late))
-        state.update((runs, armed, since, last, newest, late))
+        state.update((runs, armed, since, last, newest, index, late))
         names = ["recording_id", "window_index", "label", "time_seconds", "confidence", "late_windows"]
         yield pd.DataFrame(rows, columns=names).astype({"recording_id": object, "label": object})
 
-    state = "runs array<int>, armed array<boolean>, since array<double>, last array<double>, newest double, late bigint"
+    state = "runs array<int>, armed array<boolean>, since array<double>, last array<double>, newest double, newest_index bigint, late bigint"
     slim = windows.select("recording_id", "window_index", "time_seconds", "predicted_label", "confidence")
     return slim.groupBy("recording_id").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
 
