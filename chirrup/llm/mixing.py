@@ -161,7 +161,8 @@ def apply_mix(df: DataFrame, mixed: DataFrame, id: str = "doc_id", text: str = "
     keys = {"_mid": id, "_msource": source, "_msize": "size"}
     sums = mixed.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     rows = df.withColumn("_size", word_count(F.col(text)))
-    found = rows.join(sums, rows[id].eqNullSafe(sums["_mid"]) & rows[source].eqNullSafe(sums["_msource"]) & (rows["_size"] == sums["_msize"]))
+    # One row per document meets the documents: both sides are shuffled at every size.
+    found = rows.join(sums.hint("merge"), rows[id].eqNullSafe(sums["_mid"]) & rows[source].eqNullSafe(sums["_msource"]) & (rows["_size"] == sums["_msize"]))
     single = found.where("_rows = 1").withColumn("_c", F.col("_copies"))
     nth = F.row_number().over(W.partitionBy("_mid", "_msource", "_msize").orderBy(F.xxhash64(text)))
     shared = found.where("_rows > 1").withColumn("_c", F.floor(nth * F.col("_copies") / F.col("_rows")) - F.floor((nth - 1) * F.col("_copies") / F.col("_rows")))

@@ -25,7 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = simhash.near_groups(simhash.fingerprints(docs))
     leaders = materialize(groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["_kept"]))
+    # Leaders grow with the documents, so both sides are shuffled at every size.
+    kept = docs.join(leaders.hint("merge"), docs["doc_id"].eqNullSafe(leaders["_kept"]))
     if leaders.where("_rows > 1").isEmpty():
         return kept.select(docs.columns)
     single = kept.where("_rows = 1 or _kept is null").select(docs.columns)
