@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 RATE = 16000
 WAVE = T.ArrayType(T.FloatType())
+#: Energy or power up to which a signal counts as silent.
+SILENT = 1e-12
 
 
 _KEPT: dict = {}
@@ -121,46 +123,52 @@ def log_mel_matrix(x, rate=RATE, n_fft=512, win=480, hop=160, n_mels=40, power=2
     return np.log(kept(mel_bank, rate, n_fft, n_mels) @ spectrum.T + eps)
 
 
-def reverb_kernel(rir, max_samples: int) -> np.ndarray:
-    """The impulse response from its strongest arrival on, cut to length, with unit energy."""
-    rir = as_wave(rir)
-    start = int(np.argmax(np.abs(rir)))
-    kernel = rir[start : start + max(1, max_samples)]
-    norm = math.sqrt(np.square(kernel).sum())
-    if norm <= 1e-12:
-        raise ValueError("impulse response without energy")
-    return kernel / norm
+def stacked(waves) -> tuple[np.ndarray, np.ndarray]:
+    """Signals of any lengths as the rows of one zero-filled matrix, and where it holds samples."""
+    rows = [as_wave(x) for x in waves]
+    sizes = np.array([len(x) for x in rows])
+    held = np.arange(sizes.max(initial=1)) < sizes[:, None]
+    out = np.zeros(held.shape)
+    out[held] = np.concatenate(rows)
+    return out, held
 
 
-def reverberate(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Convolve, keep the input's length and energy, and stay within full scale."""
-    energy = np.square(x).sum()
-    if energy <= 1e-12:
-        return x
-    size = len(x) + len(kernel) - 1
-    n = 1 << (size - 1).bit_length()
-    wet = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(kernel, n), n)[: len(x)]
-    wet = wet * math.sqrt(energy / max(np.square(wet).sum(), 1e-12))
-    return wet / max(np.abs(wet).max(), 1.0)
+def row_energy(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
 
 
-def add_noise(x: np.ndarray, noise: np.ndarray, u_offset: float, snr_db: float) -> np.ndarray:
-    """Add noise at a signal-to-noise ratio: a random crop, or a random rotation when it is shorter."""
-    power = np.square(x).mean()
-    if power <= 1e-12:
-        return x
-    n = len(x)
-    if len(noise) < n:
-        offset = int(u_offset * len(noise))
-        noise = noise[(offset + np.arange(n)) % len(noise)]
-    else:
-        offset = int(u_offset * (len(noise) - n + 1))
-        noise = noise[offset : offset + n]
-    noise_power = np.square(noise).mean()
-    if noise_power <= 1e-12:
-        return x
-    mixed = x + noise * math.sqrt(power / (noise_power * 10 ** (snr_db / 10)))
-    return mixed / max(np.abs(mixed).max(), 1.0)
+def within_scale(x: np.ndarray) -> np.ndarray:
+    """Rows that pass full scale, brought down to it."""
+    return x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1.0)
+
+
+def echo_rows(x: np.ndarray, held: np.ndarray, kernels) -> np.ndarray:
+    """Each row convolved with its kernel, as long and as loud as before and within full scale; silent rows stay."""
+    h, _ = stacked(kernels)
+    n = x.shape[1]
+    m = 2 ** math.ceil(math.log2(n + h.shape[1]))
+    spectra = np.fft.rfft(x, m) * np.fft.rfft(h, m)
+    wet = np.where(held, np.fft.irfft(spectra, m)[:, :n], 0.0)
+    before = row_energy(x)
+    gain = np.sqrt(before / np.maximum(row_energy(wet), SILENT))
+    return np.where((before > SILENT)[:, None], within_scale(wet * gain[:, None]), x)
+
+
+def mix_rows(x: np.ndarray, held: np.ndarray, noises, draws, snr_db) -> np.ndarray:
+    """Each row with its noise at a signal-to-noise ratio, within full scale; silent rows and silent noises change nothing.
+
+    A noise longer than the row is cut at a random place; a shorter one repeats
+    from a random place on.  `draws` are uniform in [0, 1).
+    """
+    sizes = held.sum(axis=1)
+    noise = np.zeros_like(x)
+    for row, z, u, n in zip(noise, map(as_wave, noises), draws, sizes):
+        places = len(z) - n + 1 if len(z) >= n else len(z)
+        row[:n] = np.resize(np.roll(z, -int(u * places)), n)
+    signal, hum = row_energy(x) / np.maximum(sizes, 1), row_energy(noise) / np.maximum(sizes, 1)
+    level = np.sqrt(signal / np.maximum(hum, SILENT)) * 10.0 ** (-np.asarray(snr_db, np.float64) / 20)
+    mixed = within_scale(x + noise * level[:, None])
+    return np.where((np.minimum(signal, hum) > SILENT)[:, None], mixed, x)
 
 
 def to_pcm16(x) -> bytes:
@@ -198,18 +206,35 @@ def log_mel(samples: Column, rate: int = RATE, **settings) -> Column:
     return _series(lambda x: list(log_mel_matrix(x, rate, **settings)), T.ArrayType(T.ArrayType(T.DoubleType())))(samples)
 
 
-def reverbed(samples: Column, rir: Column, max_samples: int) -> Column:
-    def f(x, h):
-        return reverberate(as_wave(x), reverb_kernel(h, max_samples))
+def by_block(f, returns, rows: int = 64):
+    """A pandas UDF that gives `f` blocks of rows to work on together; rows with a null give null."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        out = np.empty(len(columns[0]), dtype=object)
+        whole = np.flatnonzero(np.logical_and.reduce([c.notna().to_numpy() for c in columns]))
+        for at in range(0, len(whole), rows):
+            part = whole[at : at + rows]
+            for i, y in zip(part, f(*(c.iloc[part] for c in columns))):
+                out[i] = y
+        return pd.Series(out)
+
+    return F.pandas_udf(run, returns).asNondeterministic()
+
+
+def reverbed(samples: Column, kernel: Column) -> Column:
+    def f(waves, kernels):
+        x, held = stacked(waves)
+        return [y[h] for y, h in zip(echo_rows(x, held, kernels), held)]
 
-    return _series(f, T.ArrayType(T.DoubleType()))(samples, rir)
+    return by_block(f, T.ArrayType(T.DoubleType()))(samples, kernel)
 
 
-def noised(samples: Column, noise: Column, u_offset: Column, snr_db: Column) -> Column:
-    def f(x, n, u, snr):
-        return add_noise(as_wave(x), as_wave(n), u, snr)
+def noised(samples: Column, noise: Column, draw: Column, snr_db: Column) -> Column:
+    def f(waves, noises, draws, snr):
+        x, held = stacked(waves)
+        return [y[h] for y, h in zip(mix_rows(x, held, noises, draws, snr), held)]
 
-    return _series(f, T.ArrayType(T.DoubleType()))(samples, noise, u_offset, snr_db)
+    return by_block(f, T.ArrayType(T.DoubleType()))(samples, noise, draw, snr_db)
 
 
 def pcm16(samples: Column) -> Column:

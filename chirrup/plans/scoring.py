@@ -51,28 +51,27 @@ def score_clips(
     return examples.withColumn("scores", F.pandas_udf(score, T.ArrayType(T.DoubleType())).asNondeterministic()(column))
 
 
-def fit_centroids(clips: DataFrame, column: str = "samples", dims: int | None = None) -> np.ndarray:
-    """Mean vector per label id: the parameters [classes, dims] of the built-in scorer.
+def fit_centroids(clips: DataFrame, column: str = "samples") -> np.ndarray:
+    """Mean vector per label id: the parameters [classes, length] of the built-in scorer.
 
     Vectors are averaged whole, before the shuffle as far as possible.  Only
-    classes * dims numbers come back: the size of the model, not of the data.
+    classes * length numbers come back: the size of the model, not of the data.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    vector = F.slice(column, 1, dims) if dims else F.col(column)
-    vectors = clips.select("label_id", array_to_vector(vector.cast("array<double>")).alias("x"))
+    vectors = clips.select("label_id", array_to_vector(F.col(column).cast("array<double>")).alias("x"))
     means = vectors.groupBy("label_id").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
     means = materialize(means)
     return np.array([r.mean for r in means.orderBy("label_id").collect()])
 
 
-def centroid_scorer(centroids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """Score = negative squared distance to the class's mean, over the means' leading dimensions."""
+def centroid_scorer(centroids: np.ndarray, power: int = 2) -> Callable[[np.ndarray], np.ndarray]:
+    """Score = negative sum of the distances to the class's mean, each to `power`, over all dimensions."""
 
     def scorer(x: np.ndarray) -> np.ndarray:
-        x = x[:, : centroids.shape[1]].astype(np.float64)
-        return np.stack([-np.square(x - c).sum(axis=1) for c in centroids], axis=1)
+        x = x.astype(np.float64)
+        return np.stack([-(np.abs(x - c) ** power).sum(axis=1) for c in centroids], axis=1)
 
     return scorer
 

@@ -77,25 +77,42 @@ def test_log_mel_shape_and_silence():
     np.testing.assert_allclose(whole[:, 7], np.log(dsp.mel_bank(16000, 512, 40) @ spectrum + 1e-6), atol=1e-6)
 
 
-def test_reverb_examples():
+def echo(x, kernel):
+    return dsp.echo_rows(*dsp.stacked([x]), [kernel])[0]
+
+
+def test_reverb_examples(spark):
     x = np.zeros(8)
     x[2] = 0.5
-    np.testing.assert_allclose(dsp.reverberate(x, dsp.reverb_kernel([0, 1, 0], 100)), x, atol=1e-9)
-    echo = dsp.reverb_kernel([1, 0, 0.5], 100)
-    direct = np.convolve(x, echo)[:8]
+    np.testing.assert_allclose(echo(x, [1.0]), x, atol=1e-9)
+    rows = spark.createDataFrame([(0, [0.0, 1.0, 0.0]), (1, [0.1, 1.0, 0.0, 0.5])], "id int, samples array<double>")
+    unit, kernel = [r.samples for r in augment.impulse_kernels(rows, "samples", 100).orderBy("id").collect()]
+    assert unit == [1.0, 0.0]
+    np.testing.assert_allclose(kernel, np.array([1, 0, 0.5]) / math.sqrt(1.25))
+    direct = np.convolve(x, kernel)[:8]
     direct *= math.sqrt(np.square(x).sum() / np.square(direct).sum())
-    np.testing.assert_allclose(dsp.reverberate(x, echo), direct, atol=1e-9)
-    assert not dsp.reverberate(np.zeros(4), echo).any()
-    with pytest.raises(ValueError):
-        dsp.reverb_kernel(np.zeros(5), 5)
+    np.testing.assert_allclose(echo(x, kernel), direct, atol=1e-9)
+    assert not echo(np.zeros(4), kernel).any()
+    # Rows of a block do not touch one another, whatever their lengths.
+    both, held = dsp.stacked([x, np.ones(3) * 0.1])
+    got = dsp.echo_rows(both, held, [kernel, [0.6, 0.8]])
+    np.testing.assert_allclose(got[0], direct, atol=1e-9)
+    assert not got[1, 3:].any() and np.square(got[1]).sum() == pytest.approx(0.03)
+    silent = spark.createDataFrame([(0, [0.0] * 5)], "id int, samples array<double>")
+    with pytest.raises(Exception, match="without energy"):
+        augment.impulse_kernels(silent, "samples", 5).collect()
+
+
+def mixed(x, noise, draw, snr):
+    return dsp.mix_rows(*dsp.stacked([x]), [noise], [draw], [snr])[0]
 
 
 def test_noise_level():
     x, noise = tone(1600, level=0.1), RNG.normal(size=700)
     for n in (noise, RNG.normal(size=5000)):
-        mixed = dsp.add_noise(x, n, 0.37, 10.0)
-        assert 10 * math.log10(np.square(x).mean() / np.square(mixed - x).mean()) == pytest.approx(10, abs=1e-6)
-    assert dsp.add_noise(np.zeros(10), noise, 0.1, 10.0).sum() == 0 and np.array_equal(dsp.add_noise(x, np.zeros(9), 0.1, 10.0), x)
+        y = mixed(x, n, 0.37, 10.0)
+        assert 10 * math.log10(np.square(x).mean() / np.square(y - x).mean()) == pytest.approx(10, abs=1e-6)
+    assert not mixed(np.zeros(10), noise, 0.1, 10.0).any() and np.array_equal(mixed(x, np.zeros(9), 0.1, 10.0), x)
 
 
 def test_content_hash_ignores_the_header():
@@ -136,7 +153,7 @@ def test_commands_are_never_cut(spark):
     with pytest.raises(Exception, match="command exceeds"):
         augment.random_speed(df, 90, "id", 1.0, (0.9, 1.1)).collect()
     with pytest.raises(ValueError):
-        augment.Augmentation(speed_range=(1.001, 1.004))
+        augment.Augmentation(speed_percent=(100.1, 100.4))
 
 
 def test_examples(spark):

@@ -107,19 +107,18 @@ REVERB_SQL = {
     "kern": "SELECT i, list_transform(h, lambda x: x / sqrt(list_sum(list_transform(h, lambda z: z * z)))) AS h FROM cut",
     "chosen": f"""SELECT clip_id, samples, CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'reverb')} < 0.5 THEN h END AS h
 FROM v_clips JOIN kern ON i = {pick_sql('rir_pick')}""",
-    "wet": """SELECT clip_id, n, sum(x * w) AS y FROM (
-  SELECT clip_id, a + b AS n, samples[a + 1] AS x, h[b + 1] AS w FROM chosen, (SELECT unnest(range(0, 64)) AS a), (SELECT unnest(range(0, 16)) AS b)
-  WHERE h IS NOT NULL AND a + b < 64 AND b < len(h)) GROUP BY 1, 2""",
-    "even": """SELECT clip_id, n, y * sqrt(list_sum(list_transform(samples, lambda x: x * x)) / greatest(sum(y * y) OVER (PARTITION BY clip_id), 1e-12)) AS y
-FROM wet JOIN v_clips USING (clip_id)""",
+    "wet": """SELECT clip_id, samples, h, CASE WHEN h IS NOT NULL THEN list_transform(range(0, len(samples)),
+  lambda n: list_sum(list_transform(range(0, least(len(h), n + 1)), lambda b: samples[n - b + 1] * h[b + 1]))) END AS w FROM chosen""",
+    "even": """SELECT clip_id, samples, list_transform(w, lambda z: z * sqrt(list_sum(list_transform(samples, lambda q: q * q))
+  / greatest(list_sum(list_transform(w, lambda q: q * q)), 1e-12))) AS v FROM wet""",
+    "dry": "SELECT clip_id, CASE WHEN v IS NULL THEN samples ELSE list_transform(v, lambda z: z / greatest(1.0, list_max(list_transform(v, lambda q: abs(q))))) END AS y FROM even",
 }
 
 
 @query(
     "random_reverb",
     sql(
-        """SELECT clip_id, n AS pos, round(y / greatest(1.0, max(abs(y)) OVER (PARTITION BY clip_id)), 6) + 0.0 AS x FROM even
-UNION ALL SELECT clip_id, pos, round(x, 6) + 0.0 FROM (SELECT clip_id, unnest(range(0, 64)) AS pos, unnest(samples) AS x FROM chosen WHERE h IS NULL)""",
+        "SELECT clip_id, unnest(range(0, len(y))) AS pos, round(unnest(y), 6) + 0.0 AS x FROM dry",
         "v_clips",
         **REVERB_SQL,
     ),
@@ -129,11 +128,13 @@ def random_reverb(spark, sf_dir):
     return spread(out, "samples")
 
 
+# Every other noise is doubled, and some clips are padded: noises are both longer and shorter than clips.
 MIX_SQL = {
     "pool": POOL,
-    "fit": """SELECT clip_id, label, CASE WHEN label_id < 6 THEN list_concat(samples, list_transform(range(0, 16), lambda i: 0.0)) ELSE samples[1:48] END AS samples FROM v_clips""",
+    "noises": "SELECT i, CASE WHEN i % 2 = 1 THEN list_concat(noise, list_reverse(noise)) ELSE noise END AS noise FROM pool",
+    "fit": """SELECT clip_id, label, CASE WHEN label_id < 6 THEN list_concat(samples, list_transform(range(0, 16), lambda i: 0.0)) ELSE samples END AS samples FROM v_clips""",
     "drawn": f"""SELECT clip_id, samples, {u('clip_id', 'offset')} AS uo, 5.0 + {u('clip_id', 'snr')} * 15.0 AS snr,
-  CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'noise')} < 0.8 THEN noise END AS noise FROM fit JOIN pool ON i = {pick_sql('noise_clip_pick')}""",
+  CASE WHEN label NOT IN {FREE} AND {u('clip_id', 'noise')} < 0.8 THEN noise END AS noise FROM fit JOIN noises ON i = {pick_sql('noise_clip_pick')}""",
     "cut": """SELECT *, CASE WHEN len(noise) < len(samples)
     THEN list_transform(range(0, len(samples)), lambda i: noise[(CAST(floor(uo * len(noise)) AS BIGINT) + i) % len(noise) + 1])
     ELSE list_transform(range(0, len(samples)), lambda i: noise[CAST(floor(uo * (len(noise) - len(samples) + 1)) AS BIGINT) + i + 1]) END AS z FROM drawn WHERE noise IS NOT NULL""",
@@ -153,9 +154,12 @@ MIX_SQL = {
     ),
 )
 def background_mix(spark, sf_dir):
-    fitted = F.when(F.col("label_id") < 6, arrays.pad(F.col("samples"), F.lit(0), F.lit(16))).otherwise(F.slice("samples", 1, 48))
+    fitted = F.when(F.col("label_id") < 6, arrays.pad(F.col("samples"), F.lit(0), F.lit(16))).otherwise(F.col("samples"))
     c = v.clips(spark, sf_dir).withColumn("samples", fitted)
-    return spread(augment.background_mix(c, pool(spark, sf_dir), "clip_id", "clip_id", exclude=FREE), "samples")
+    noises = joins.index_pool(pool(spark, sf_dir), "clip_id")
+    doubled = F.when(F.col("pool_index") % 2 == 1, F.concat("samples", F.reverse("samples"))).otherwise(F.col("samples"))
+    noises = noises.withColumn("samples", doubled).drop("pool_index")
+    return spread(augment.background_mix(c, noises, "clip_id", "clip_id", exclude=FREE), "samples")
 
 
 def hidden(axis, index, bound, length, seed=42):

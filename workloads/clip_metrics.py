@@ -27,29 +27,29 @@ def r(column, digits=6):
     return F.round(column, digits) + F.lit(0.0)
 
 
-def scorer(spark, sf_dir, dims):
+def scorer(spark, sf_dir, power):
     clips = v.clips(spark, sf_dir)
-    model = scoring.centroid_scorer(scoring.fit_centroids(clips, dims=dims))
+    model = scoring.centroid_scorer(scoring.fit_centroids(clips), power)
     classes = 10
     return lambda df: scoring.score_clips(df, model, classes)
 
 
-def scored(spark, sf_dir, dims=None):
-    """Logits per class: negative squared distance to each class's mean vector."""
+def scored(spark, sf_dir, power=2):
+    """Logits per class: negative distance, squared or plain, to each class's mean vector."""
     rows = v.clips(spark, sf_dir).withColumn("record_index", F.col("clip_id")).withColumn(
         "path", F.concat(F.lit("clips/"), "clip_id")
     )
-    return scorer(spark, sf_dir, dims)(rows)
+    return scorer(spark, sf_dir, power)(rows)
 
 
-def predicted(spark, sf_dir, dims=None, smoothing=0.1):
-    return metrics.predictions(scored(spark, sf_dir, dims), v.class_map(spark, sf_dir), smoothing=smoothing)
+def predicted(spark, sf_dir, power=2, smoothing=0.1):
+    return metrics.predictions(scored(spark, sf_dir, power), v.class_map(spark, sf_dir), smoothing=smoothing)
 
 
 SCORES = {
     "elem": "SELECT clip_id, label_id, unnest(samples) AS x, unnest(range(1, len(samples) + 1)) AS pos FROM v_clips",
     "cent": "SELECT label_id AS class_id, pos, avg(x) AS c FROM elem GROUP BY 1, 2",
-    "dist": """SELECT clip_id, label_id, class_id, -sum((x - c) * (x - c)) FILTER (pos <= 32) AS a, -sum((x - c) * (x - c)) AS b
+    "dist": """SELECT clip_id, label_id, class_id, -sum(abs(x - c)) AS a, -sum((x - c) * (x - c)) AS b
 FROM elem JOIN cent USING (pos) GROUP BY 1, 2, 3""",
     "prob": """SELECT *, a - max(a) OVER w - ln(sum(exp(a - ma)) OVER w) AS la, b - max(b) OVER w - ln(sum(exp(b - mb)) OVER w) AS lb
 FROM (SELECT *, max(a) OVER (PARTITION BY clip_id) AS ma, max(b) OVER (PARTITION BY clip_id) AS mb FROM dist)
@@ -185,7 +185,7 @@ def supported_macro_f1(spark, sf_dir):
     ),
 )
 def pair_predictions(spark, sf_dir):
-    out = joins.pair_predictions(predicted(spark, sf_dir, 32), predicted(spark, sf_dir))
+    out = joins.pair_predictions(predicted(spark, sf_dir, 1), predicted(spark, sf_dir))
     return out.withColumns({c: r(F.col(c)) for c in ("old_confidence", "new_confidence")})
 
 
@@ -202,7 +202,7 @@ def rounded_comparison(df):
 
 @query("paired_comparison", sql(COMPARISON_SQL, "v_clips", **SCORES))
 def paired_comparison(spark, sf_dir):
-    paired = joins.pair_predictions(predicted(spark, sf_dir, 32), predicted(spark, sf_dir))
+    paired = joins.pair_predictions(predicted(spark, sf_dir, 1), predicted(spark, sf_dir))
     return rounded_comparison(metrics.paired_comparison(paired, v.class_map(spark, sf_dir)))
 
 
@@ -217,7 +217,7 @@ UNION ALL SELECT 'new', clip_id, k FROM (SELECT clip_id, pb AS k FROM pred EXCEP
 )
 def same_clips_guard(spark, sf_dir):
     sides = [
-        predicted(spark, sf_dir, dims).select(F.col("record_index").alias("clip_id"), F.col("predicted_id").alias("k")) for dims in (32, None)
+        predicted(spark, sf_dir, power).select(F.col("record_index").alias("clip_id"), F.col("predicted_id").alias("k")) for power in (1, 2)
     ]
     return joins.same_clips_guard(*sides).select("side", "clip_id", "k")
 
@@ -337,7 +337,7 @@ UNION ALL SELECT 'supported_macro_f1', NULL, round(avg(fa), 6) + 0.0, round(avg(
     ),
 )
 def compare_models(spark, sf_dir):
-    out = evaluate.compare_models(predicted(spark, sf_dir, 32, 0.0), predicted(spark, sf_dir, None, 0.0), v.class_map(spark, sf_dir))
+    out = evaluate.compare_models(predicted(spark, sf_dir, 1, 0.0), predicted(spark, sf_dir, 2, 0.0), v.class_map(spark, sf_dir))
     by_class = rounded_comparison(out["by_class"]).withColumnRenamed("label", "name")
     f1 = r(F.col("supported_macro_f1"))
     macro = out["supported_macro_f1"].agg(
