@@ -86,18 +86,6 @@ def frame_rms(x: np.ndarray, frame: int = 320, hop: int = 160) -> np.ndarray:
     return np.sqrt(sums / frame)
 
 
-def active_span(
-    x: np.ndarray, frame: int, hop: int, margin: int, relative_db: float = -35.0, floor_db: float = -55.0
-) -> tuple[int, int] | None:
-    """[start, end) of the part whose frames rise above the quiet level, with a margin."""
-    rms = frame_rms(x, frame, hop)
-    level = max(rms.max() * 10 ** (relative_db / 20), 10 ** (floor_db / 20))
-    loud = np.flatnonzero(rms > level)
-    if loud.size == 0:
-        return None
-    return max(0, int(loud[0]) * hop - margin), min(len(x), int(loud[-1]) * hop + frame + margin)
-
-
 def mel_bank(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     """Triangular filters [n_mels, bins], evenly spaced on the HTK mel scale, not normalised."""
     top = 2595.0 * math.log10(1.0 + (rate / 2) / 700.0)
@@ -126,10 +114,10 @@ def log_mel_matrix(x, rate=RATE, n_fft=512, win=480, hop=160, n_mels=40, power=2
 def stacked(waves) -> tuple[np.ndarray, np.ndarray]:
     """Signals of any lengths as the rows of one zero-filled matrix, and where it holds samples."""
     rows = [as_wave(x) for x in waves]
-    sizes = np.array([len(x) for x in rows])
+    sizes = np.array([len(x) for x in rows], dtype=np.int64)
     held = np.arange(sizes.max(initial=1)) < sizes[:, None]
     out = np.zeros(held.shape)
-    out[held] = np.concatenate(rows)
+    out[held] = np.concatenate([np.zeros(0), *rows])
     return out, held
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from chirrup.functions import dsp
 from chirrup.functions.arrays import dbfs, energy, peak
 
+#: Clips that a task works on together.
+BLOCK = 64
 TRIM = "start int, end int, reason string"
 CLEAN = """samples array<float>, reason string, original_duration_s double, trimmed_left_s double, trimmed_right_s double,
 sample_rate int, duration_s double, peak_limiter_gain double"""
@@ -40,20 +42,39 @@ def recording_levels(chunks: DataFrame, full_scale: float = 1.0, clip_at: float
     )
 
 
-def trim_span(
-    x, label, rate=dsp.RATE, min_s=0.35, max_s=2.6, margin_ms=150.0, frame=320, hop=160, relative_db=-35.0, floor_db=-55.0,
-    exempt=("background",),
-):
-    """(start, end, reason): where speech is, or why the clip is rejected."""
-    if label in exempt:
-        return 0, len(x), None
-    span = dsp.active_span(x, frame, hop, round(margin_ms * rate / 1000), relative_db, floor_db)
-    if span is None:
-        return None, None, "no_speech_activity"
-    seconds = (span[1] - span[0]) / rate
-    if not min_s <= seconds <= max_s:
-        return *span, f"speech_duration_outside_limits:{seconds:.5f}"
-    return *span, None
+def speech_spans(
+    waves: list[np.ndarray], labels, rate=dsp.RATE, min_s=0.35, max_s=2.6, margin_ms=150.0, frame=320, hop=160, relative_db=-35.0,
+    floor_db=-55.0, exempt=("background",),
+) -> pd.DataFrame:
+    """start, end and reason of clips: where speech is, with a margin, and why a clip is rejected.
+
+    Speech is where frames rise above a level relative to the clip's loudest
+    frame.  All clips are judged together, on one matrix of frame levels.
+    """
+    levels, _ = dsp.stacked([dsp.frame_rms(x, frame, hop) for x in waves])
+    sizes, margin = np.array([len(x) for x in waves], dtype=np.int64), round(margin_ms * rate / 1000)
+    quiet = np.maximum(levels.max(axis=1) * 10 ** (relative_db / 20), 10 ** (floor_db / 20))
+    loud = levels > quiet[:, None]
+    last = levels.shape[1] - 1 - loud[:, ::-1].argmax(axis=1)
+    free, spoken = np.isin(np.asarray(labels, dtype=object).astype(str), exempt), loud.any(axis=1)
+    spans = pd.DataFrame({
+        "start": np.where(free, 0, np.maximum(loud.argmax(axis=1) * hop - margin, 0)),
+        "end": np.where(free, sizes, np.minimum(last * hop + frame + margin, sizes)),
+    }).astype("Int32")
+    seconds = ((spans["end"] - spans["start"]) / rate).to_numpy(np.float64)
+    wrong = (seconds < min_s) | (seconds > max_s)
+    reasons = np.full(len(waves), None, dtype=object)
+    reasons[wrong] = [f"speech_duration_outside_limits:{t:.5f}" for t in seconds[wrong]]
+    reasons[~spoken] = "no_speech_activity"
+    reasons[free] = None
+    spans.loc[~spoken & ~free, ["start", "end"]] = pd.NA
+    return spans.assign(reason=reasons)
+
+
+def in_blocks(f: Callable[..., pd.DataFrame], *columns: pd.Series) -> pd.DataFrame:
+    """`f` on blocks of rows, which bound the memory of what it stacks."""
+    n = len(columns[0])
+    return pd.concat([f(*(c.iloc[at : at + BLOCK].tolist() for c in columns)) for at in range(0, max(n, 1), BLOCK)], ignore_index=True)
 
 
 def activity_trim(clips: DataFrame, **settings) -> DataFrame:
@@ -61,29 +82,29 @@ def activity_trim(clips: DataFrame, **settings) -> DataFrame:
 
     @F.pandas_udf(TRIM)
     def spans(samples: pd.Series, labels: pd.Series) -> pd.DataFrame:
-        rows = [trim_span(dsp.as_wave(x), label, **settings) for x, label in zip(samples, labels)]
-        out = pd.DataFrame(rows, columns=["start", "end", "reason"])
-        return out.astype({"start": "Int32", "end": "Int32", "reason": object})
+        return in_blocks(lambda x, label: speech_spans([*map(dsp.as_wave, x)], label, **settings), samples, labels)
 
     return clips.withColumn("_t", spans.asNondeterministic()("samples", "label")).select("*", "_t.*").drop("_t")
 
 
-def clean_wave(x, channels, rate, label, target=dsp.RATE, ceiling=0.98, **settings):
-    """One clip through downmix, rate change, trimming and peak limiting."""
-    x = dsp.as_wave(x)
-    if x.size == 0 or rate <= 0 or not np.isfinite(x).all():
-        return (None, "empty_or_nonfinite_audio", *[None] * 6)
-    x = x.reshape(-1, channels).mean(axis=1)
-    seconds = len(x) / rate
-    x = dsp.resample(x, rate, target)
-    start, end, reason = trim_span(x, label, target, **settings)
-    if reason:
-        return (None, reason, *[None] * 6)
-    y = x[start:end]
-    gain = min(1.0, ceiling / max(np.abs(y).max(), 1e-12))
-    return (
-        (y * gain).astype(np.float32), None, seconds, start / target, (len(x) - end) / target, target, (end - start) / target, gain
-    )
+def clean_block(samples, channels, rates, labels, target=dsp.RATE, ceiling=0.98, **settings) -> pd.DataFrame:
+    """Clips through downmix, rate change, trimming and peak limiting: a row of CLEAN for each."""
+    raw = [dsp.as_wave(x) for x in samples]
+    fine = np.array([bool(len(x)) and r > 0 and bool(np.isfinite(x).all()) for x, r in zip(raw, rates)], dtype=bool)
+    mono = [x.reshape(-1, int(c)).mean(axis=1) if ok else np.zeros(0) for x, c, ok in zip(raw, channels, fine)]
+    waves = [dsp.resample(x, int(r), target) if ok else x for x, r, ok in zip(mono, rates, fine)]
+    spans = speech_spans(waves, labels, target, **settings)
+    spans.loc[~fine, "reason"] = "empty_or_nonfinite_audio"
+    out = pd.DataFrame({part.split()[0]: [None] * len(raw) for part in CLEAN.split(",")}, dtype=object)
+    out["reason"] = spans["reason"]
+    for i in np.flatnonzero(spans["reason"].isna()):
+        start, end = int(spans.at[i, "start"]), int(spans.at[i, "end"])
+        part = waves[i][start:end]
+        gain = ceiling / np.abs(part).max(initial=ceiling)
+        cut = (start / target, (len(waves[i]) - end) / target, target, len(part) / target)
+        out.loc[i] = pd.Series([(part * gain).astype(np.float32), None, len(mono[i]) / int(rates[i]), *cut, gain], index=out.columns, dtype=object)
+    floats = ("original_duration_s", "trimmed_left_s", "trimmed_right_s", "duration_s", "peak_limiter_gain")
+    return out.astype({"sample_rate": "Int32", **dict.fromkeys(floats, "Float64")})
 
 
 def clean_clip(clips: DataFrame, **settings) -> DataFrame:
@@ -94,10 +115,7 @@ def clean_clip(clips: DataFrame, **settings) -> DataFrame:
 
     @F.pandas_udf(CLEAN)
     def clean(samples: pd.Series, channels: pd.Series, rates: pd.Series, labels: pd.Series) -> pd.DataFrame:
-        rows = [clean_wave(x, int(c), int(r), label, **settings) for x, c, r, label in zip(samples, channels, rates, labels)]
-        out = pd.DataFrame(rows, columns=[part.split()[0] for part in CLEAN.split(",")])
-        floats = ("original_duration_s", "trimmed_left_s", "trimmed_right_s", "duration_s", "peak_limiter_gain")
-        return out.astype({"samples": object, "reason": object, "sample_rate": "Int32", **dict.fromkeys(floats, "Float64")})
+        return in_blocks(lambda *block: clean_block(*block, **settings), samples, channels, rates, labels)
 
     return clips.withColumn("clean", clean.asNondeterministic()("samples", "channels", "sample_rate", "label"))
 

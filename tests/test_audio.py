@@ -208,19 +208,23 @@ def speech(seed, seconds=0.7, rate=16000, level=0.3):
     return np.concatenate([np.zeros(rate // 2), x, np.zeros(rate // 2)])
 
 
+def clean_one(x, channels, rate, label):
+    return tuple(clips.clean_block([x], [channels], [rate], [label]).iloc[0])
+
+
 def test_clean_clip_rules():
     x = speech(1)
-    samples, reason, seconds, left, right, rate, kept, gain = clips.clean_wave(x, 1, 16000, "next")
+    samples, reason, seconds, left, right, rate, kept, gain = clean_one(x, 1, 16000, "next")
     assert reason is None and seconds == pytest.approx(1.7) and rate == 16000
     assert left == pytest.approx(0.35, abs=0.02) and right == pytest.approx(0.35, abs=0.02) and kept == pytest.approx(1.0, abs=0.04)
     assert np.abs(samples).max() <= 0.98 + 1e-6 and gain <= 1
-    assert clips.clean_wave(np.zeros(16000), 1, 16000, "next")[1] == "no_speech_activity"
-    assert clips.clean_wave(speech(2, 3.0), 1, 16000, "next")[1].startswith("speech_duration_outside_limits:3.")
-    assert clips.clean_wave(speech(2, 3.0), 1, 16000, "background")[1] is None
-    assert clips.clean_wave(np.array([]), 1, 16000, "next")[1] == "empty_or_nonfinite_audio"
-    assert clips.clean_wave(np.array([np.nan] * 9), 1, 16000, "next")[1] == "empty_or_nonfinite_audio"
+    assert clean_one(np.zeros(16000), 1, 16000, "next")[1] == "no_speech_activity"
+    assert clean_one(speech(2, 3.0), 1, 16000, "next")[1].startswith("speech_duration_outside_limits:3.")
+    assert clean_one(speech(2, 3.0), 1, 16000, "background")[1] is None
+    assert clean_one(np.array([]), 1, 16000, "next")[1] == "empty_or_nonfinite_audio"
+    assert clean_one(np.array([np.nan] * 9), 1, 16000, "next")[1] == "empty_or_nonfinite_audio"
     stereo = np.stack([x, x * 0.5], axis=1).ravel()
-    assert clips.clean_wave(stereo, 2, 16000, "next")[4] == pytest.approx(right)
+    assert clean_one(stereo, 2, 16000, "next")[4] == pytest.approx(right)
 
 
 def build_dataset(root):
@@ -273,7 +277,7 @@ def test_clean_dataset_from_files(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         reports.write_curated(out["accepted"], out["excluded"], held, out["report"], target)
     got = out["accepted"].where("id = 'train_next'").first()
-    want = clips.clean_wave(np.clip(speech(11), -1, 1), 1, 16000, "next")
+    want = clean_one(np.clip(speech(11), -1, 1), 1, 16000, "next")
     np.testing.assert_allclose(got.samples, want[0], atol=1e-4)
     assert got.sha256 == hashlib.sha256(wav.wrap(dsp.to_pcm16(np.array(got.samples)), 16000)).hexdigest()
     assert got.duration_s == want[6] and got.source_path == "audio/train_next.wav"
