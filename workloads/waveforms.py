@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chirrup.functions import arrays, dsp
+from chirrup.functions.scan import running
 from chirrup.operators import checks, clips
 from workloads import standins as v
 from workloads.views_sql import sql
@@ -211,12 +212,12 @@ def clean_clip(spark, sf_dir):
 
 
 def recordings(spark, sf_dir):
-    """Clips in a row as the chunks of one recording per class."""
-    c = v.clips(spark, sf_dir)
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("label").orderBy("clip_id")) - 1
-    return c.select(F.col("label").alias("recording_id"), place.cast("bigint").alias("chunk_idx"), (place * 64).cast("bigint").alias("start_frame"), F.slice("samples", 1, 64).alias("samples"))
+    """Clips in a row as the chunks of one recording per class; no task numbers a whole recording."""
+    c = v.clips(spark, sf_dir).withColumnRenamed("label", "recording_id")
+    block = F.floor(F.col("clip_id") / 65_536)
+    placed = running(c, ["recording_id"], ["clip_id"], block, {"chunk_idx": ("sum", F.lit(1)), "start_frame": ("sum", F.size("samples"))})
+    places = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("chunk_idx", "start_frame")]
+    return placed.select("recording_id", *places, "samples")
 
 
 @query(
