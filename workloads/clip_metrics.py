@@ -314,7 +314,7 @@ def evaluate_clips(spark, sf_dir):
     clips = v.clips(spark, sf_dir).select(
         F.col("clip_id").alias("record_index"), F.concat(F.lit("clips/"), "clip_id").alias("path"), "label", "samples", F.lit(False).alias("resampled")
     )
-    out = evaluate.evaluate_clips(clips, v.class_map(spark, sf_dir), scorer(spark, sf_dir, None), 64)
+    out = evaluate.evaluate_clips(clips, v.class_map(spark, sf_dir), scorer(spark, sf_dir, 2), 64)
     none = F.lit(None).cast("double")
     report = out["report"].select(
         F.lit("report").alias("part"), F.col("label").alias("name"), r(F.col("precision")).alias("a"), r(F.col("recall")).alias("b"), r(F.col("f1")).alias("c"), F.col("support").alias("n")
