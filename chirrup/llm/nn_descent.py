@@ -13,8 +13,12 @@ from chirrup.llm.common import map_batches, map_groups
 from chirrup.llm.components import components
 from chirrup.session import materialize
 
-#: Neighbours a list begins with; tables of random planes that begin the lists; rounds of joins; vectors the audit compares with all.
-LIST, TABLES, ROUNDS, AUDIT, RECALL = 8, 4, 4, 2000, 0.99
+#: Neighbours a list begins with; tables of random planes of a round; vectors the audit compares with all at first; the recall to reach.
+LIST, TABLES, AUDIT, RECALL = 8, 4, 2000, 0.99
+#: True pairs that an audit needs for a verdict, and the comparisons up to which it asks more vectors to see them.
+SEEN, COMPARED = 400, 10**11
+#: Rounds beyond those that the planes call for, before a recall that stays low is an error.
+SPARE = 4
 #: Rows that are compared all with all at a time, about.
 BLOCK = 192
 PLANES = 24
@@ -85,18 +89,23 @@ def _codes(df: DataFrame, tables: list[int], keep: list[str]) -> DataFrame:
     return map_batches(df.select("dim", "unit", *keep), make, f"{ddl}, `table` int, code bigint")
 
 
+def _leads(nodes: DataFrame, tables: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(node, table, _lead), nodes by their leading code bits, and (_lead, _nodes, _parts), the size of each lead and the blocks it is cut into."""
+    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.log2(F.greatest(F.count("*") / BLOCK, F.lit(1.0)))).alias("_bits"))
+    coded = _codes(nodes, tables, ["node", "label", "dim"]).join(sizes, ["label", "dim"])
+    lead = coded.select("node", "table", F.xxhash64("label", "dim", "table", F.expr(f"shiftright(code, greatest({PLANES} - cast(_bits as int), 0))")).alias("_lead"))
+    return lead, lead.groupBy("_lead").agg(F.count("*").alias("_nodes"), F.ceil(F.count("*") / (1.5 * BLOCK)).alias("_parts"))
+
+
 def _blocks(nodes: DataFrame, tables: list[int]) -> DataFrame:
     """(block, node): blocks of about BLOCK nodes of one label whose leading code bits agree, in each table.
 
     A larger group is cut into as many leading bits as its size asks for; where
     codes are equal throughout, by a hash.  No node is left out.
     """
-    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.log2(F.greatest(F.count("*") / BLOCK, F.lit(1.0)))).alias("_bits"))
-    coded = _codes(nodes, tables, ["node", "label", "dim"]).join(sizes, ["label", "dim"])
-    lead = coded.select("node", "table", F.xxhash64("label", "dim", "table", F.expr(f"shiftright(code, greatest({PLANES} - cast(_bits as int), 0))")).alias("_lead"))
-    counts = lead.groupBy("_lead").agg(F.ceil(F.count("*") / (1.5 * BLOCK)).alias("_parts"))
+    lead, counts = _leads(nodes, tables)
     part = F.pmod(F.xxhash64("node", "table"), F.col("_parts"))
-    return lead.join(counts, "_lead").select(F.xxhash64("_lead", part).alias("block"), "node")
+    return lead.join(counts.drop("_nodes"), "_lead").select(F.xxhash64("_lead", part).alias("block"), "node")
 
 
 def _with_vectors(rows: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
@@ -147,7 +156,7 @@ def balls(nodes: DataFrame, half: float, rounds: int = 2) -> DataFrame:
         return step
 
     for t in range(rounds):
-        rows = _with_vectors(_blocks(leaders, [100 + t]), leaders, "radius").select("block", "node", "label", "dim", "unit", "radius")
+        rows = _with_vectors(_blocks(leaders, [(1 << 20) + t]), leaders, "radius").select("block", "node", "label", "dim", "unit", "radius")
         moves = materialize(map_groups(rows, ["block"], make, "node bigint, into bigint, step double", _parts(nodes)))
         joined = places.join(moves.withColumnRenamed("node", "ball"), "ball", "left")
         places = materialize(joined.select("node", F.coalesce("into", "ball").alias("ball"), F.when(F.col("into").isNull(), F.col("angle")).otherwise(F.col("angle") + F.col("step")).alias("angle")))
@@ -224,9 +233,26 @@ def _join_round(lists: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
     return map_groups(rows, ["pivot", "part"], _best_pairs(theta), _EDGE, _parts(nodes))
 
 
-def _audit(edges: DataFrame, nodes: DataFrame, theta: float) -> float:
-    """Share of the pairs within reach of AUDIT nodes, found by comparing these with all, that the graph has."""
-    asked = nodes.select("node", "label", "dim", "unit", "radius").orderBy(F.xxhash64("node")).limit(AUDIT).collect()
+def _audit(edges: DataFrame, nodes: DataFrame, theta: float) -> float | None:
+    """Share of the pairs within reach of some nodes, found by comparing these with all, that the graph has.
+
+    Four times as many nodes are asked until SEEN true pairs are found or all
+    nodes were asked, which is exact.  None if COMPARED comparisons do not show
+    that many: then the audit tells nothing.
+    """
+    n, asked = nodes.count(), AUDIT
+    while True:
+        true, found = _asked(edges, nodes, theta, asked)
+        if true >= SEEN or asked >= n:
+            return found / true if true else 1.0
+        if 4 * asked * n > COMPARED:
+            return None
+        asked *= 4
+
+
+def _asked(edges: DataFrame, nodes: DataFrame, theta: float, n: int) -> tuple[int, int]:
+    """How many pairs within reach `n` nodes have with all, and how many of those are in the graph."""
+    asked = nodes.select("node", "label", "dim", "unit", "radius").orderBy(F.xxhash64("node")).limit(n).collect()
     groups: dict = {}
     for r in asked:
         groups.setdefault((r["label"], r["dim"]), []).append((r["node"], bytes(r["unit"]), r["radius"]))
@@ -249,8 +275,20 @@ def _audit(edges: DataFrame, nodes: DataFrame, theta: float) -> float:
 
     true = map_batches(nodes.select("label", "dim", "node", "unit", "radius"), make, "node bigint, other bigint")
     known = edges.select("node", "other").withColumn("_known", F.lit(1))
-    n, found = true.join(known, ["node", "other"], "left").agg(F.count("*"), F.count("_known")).first()
-    return found / n if n else 1.0
+    return tuple(true.join(known, ["node", "other"], "left").agg(F.count("*"), F.count("_known")).first())
+
+
+def _tables_needed(nodes: DataFrame, theta: float) -> int:
+    """Tables of planes after which a pair at the widest reach of its label has shared a block with the chance RECALL.
+
+    Groups that a hash cuts further part a pair as often as a node's group is cut on average.
+    """
+    cut = _leads(nodes, [0])[1].agg(F.sum(F.col("_nodes") * F.col("_parts")) / F.sum("_nodes")).first()[0] or 1.0
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).where("n > 1")
+    bits = F.least(F.ceil(F.log2(F.greatest(F.col("n") / BLOCK, F.lit(1.0)))), F.lit(PLANES))
+    shared = F.pow(1 - F.least(theta + 2 * F.col("radius"), F.lit(math.pi / 2)) / math.pi, bits) / cut
+    tables = F.when(shared >= RECALL, 1.0).otherwise(F.log(F.lit(1 - RECALL)) / F.log1p(-shared))
+    return math.ceil(sizes.agg(F.max(tables)).first()[0] or 1)
 
 
 def neighbour_graph(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
@@ -258,25 +296,32 @@ def neighbour_graph(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
 
     `nodes` has (node, label, dim, unit, radius); a pair is within reach if its
     angle is at most theta and both radii.  Random planes begin the lists;
-    joins of neighbours with neighbours' neighbours go on until the audit finds
-    the recall and no more is gained, with new planes each time.
+    joins of neighbours with neighbours' neighbours go on, with new planes each
+    time, until the audit finds the recall.  Where links are so rare that the
+    audit tells nothing, they go on until the planes alone give the recall.  A
+    recall that stays low after SPARE rounds more is an error.
     """
-    begin = _with_vectors(_blocks(nodes, list(range(TABLES))), nodes, "radius").select("block", F.lit(0).alias("part"), "node", "label", "dim", "unit", "radius")
-    edges = map_groups(begin, ["block", "part"], _best_pairs(theta), _EDGE, _parts(nodes))
-    lists = materialize(_lists(edges, nodes, theta))
-    recall = 0.0
-    for k in range(ROUNDS):
+
+    def blocks(k):
+        rows = _with_vectors(_blocks(nodes, [TABLES * k + t for t in range(TABLES)]), nodes, "radius")
+        rows = rows.select("block", F.lit(0).alias("part"), "node", "label", "dim", "unit", "radius")
+        return map_groups(rows, ["block", "part"], _best_pairs(theta), _EDGE, _parts(nodes))
+
+    lists = materialize(_lists(blocks(0), nodes, theta))
+    needed = math.ceil(_tables_needed(nodes, theta) / TABLES)
+    k = 0
+    while True:
         more = _join_round(lists, nodes, theta)
         if k:
-            fresh = _with_vectors(_blocks(nodes, [TABLES * k + t for t in range(TABLES)]), nodes, "radius")
-            fresh = fresh.select("block", F.lit(0).alias("part"), "node", "label", "dim", "unit", "radius")
-            more = more.union(map_groups(fresh, ["block", "part"], _best_pairs(theta), _EDGE, _parts(nodes)))
+            more = more.union(blocks(k))
         both = lists.select("node", "other", "cos").union(more).union(more.select("other", "node", "cos"))
         lists = materialize(_lists(both, nodes, theta))
         recall = _audit(lists.where("reach"), nodes, theta)
-        if recall >= RECALL:
-            break
-    return lists.where("reach"), recall
+        k += 1
+        if recall is None and k >= needed or recall is not None and recall >= RECALL:
+            return lists.where("reach"), recall
+        if k >= needed + SPARE:
+            raise RuntimeError(f"near duplicates: recall {recall} after {k} rounds, {RECALL} asked")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -288,7 +333,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id: str = "vec_id",
     vectors are one class; crowds of close ones become balls (see `balls`).  The
     graph is built over the balls' leaders; balls whose leaders are close enough
     for every pair are linked whole, those too close to tell are compared member
-    by member in blocks, and only counts leave a block.  Ids are unique but for
+    by member in blocks, and only counts leave a block.  A graph whose audited
+    recall stays low is an error, not a result.  Ids are unique but for
     repeated rows; a null id links with nothing.  An empty table gives an empty one.
     """
     theta = math.acos(threshold)

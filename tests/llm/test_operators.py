@@ -239,6 +239,26 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(n, n + 6))
 
 
+def test_audit_of_rare_links_is_no_pass(spark, monkeypatch):
+    rng, rows = np.random.default_rng(12), []
+    for k in range(400):
+        v = rng.standard_normal(16)
+        rows.append((k, 0, 16, (v / np.linalg.norm(v)).tobytes(), 0.0))
+    rows += [(400 + k, 0, 16, rows[k][3], 0.0) for k in (0, 1)]
+    nodes = spark.createDataFrame(rows, "node long, label int, dim int, unit binary, radius double")
+    none = spark.createDataFrame([], "node long, other long")
+    theta = float(np.arccos(0.999))
+    monkeypatch.setattr(nn_descent, "AUDIT", 1)
+    assert nn_descent._audit(none, nodes, theta) == 0.0  # asks all before it judges
+    monkeypatch.setattr(nn_descent, "COMPARED", 1)
+    assert nn_descent._audit(none, nodes, theta) is None
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    assert nn_descent._tables_needed(nodes, float(np.arccos(0.93))) > nn_descent.TABLES
+    monkeypatch.setattr(nn_descent, "_audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.neighbour_graph(nodes, theta)
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(800)]
