@@ -21,6 +21,14 @@ RULES = (
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
 )
 BASE = ("assign", "access", "hex")
+#: What a match of a kind goes on with: a key's body to its END line, or, without one, its fields and base64 lines.
+_GAP = rb"(?:[\x20\t\r\n>]|\\[nr])"
+TAILS = {
+    "pem": re.compile(
+        rb"(?:-?[^-])*+-----END [A-Z ]*PRIVATE KEY-----"
+        rb"|(?:" + _GAP + rb"+[A-Za-z]+(?:-[A-Za-z]+)*:[^\n\\]*)*(?:" + _GAP + rb"+[A-Za-z0-9+/]{20,}+={0,2})+(?:" + _GAP + rb"+[A-Za-z0-9+/]+={0,2})?"
+    )
+}
 
 
 class _Pattern:
@@ -223,7 +231,8 @@ class Scanner:
 
     One pass over the bytes from the end, through the automaton of all reversed
     rules, marks every place where some rule's match begins.  From the leftmost
-    mark of a rule its forward automaton gives the longest end, and so on.
+    mark of a rule its forward automaton gives the longest end, and so on.  A
+    match of a kind in TAILS takes its tail along.
     """
 
     def __init__(self, rules=RULES):
@@ -231,6 +240,7 @@ class Scanner:
         self.rules, self.all = rules, Automaton([_backwards(t) for t in trees], anywhere=True)
         self.each = [Automaton([t], anywhere=False) for t in trees]
         self.exact = [re.compile(p.encode()) for _, p, _, _ in rules]
+        self.tails = [TAILS.get(kind) for kind, *_ in rules]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(begin, end, rule) in bytes, by begin and rule."""
@@ -245,7 +255,10 @@ class Scanner:
             begin = len(data) - 1 - p
             for rule in self.all.accepts[state]:
                 if begin >= cursor[rule]:
-                    end = cursor[rule] = self._longest(self.each[rule], data, begin)
+                    end = self._longest(self.each[rule], data, begin)
+                    if self.tails[rule] and (tail := self.tails[rule].match(data, end)):
+                        end = tail.end()
+                    cursor[rule] = end
                     _, _, group, least = self.rules[rule]
                     if end - begin >= least and (not group or len(self.exact[rule].fullmatch(data, begin, end)[group]) >= least):
                         found.append((begin, end, rule))

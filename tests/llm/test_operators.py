@@ -104,6 +104,21 @@ def test_secrets_equal_patterns(spark, texts, empty):
     assert clean.where("text is null").count() == 1 and secrets.redact(empty).count() == 0
 
 
+def test_redact_takes_whole_private_keys(spark):
+    rng = random.Random(9)
+    body = ["".join(rng.choice("ABCDefgh0123+/") for _ in range(n)) for n in (64, 64, 64, 21)] + ["".join(rng.choice("ABCDefgh") for _ in range(6)) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    keys = [sep.join([begin, *head, *body, *last]) for sep in ("\n", "\r\n", "\\n", "\n   ", " ") for head in ([], fields) for last in ([end], []) if sep != " " or not head]
+    rows = [(i, f"Before it.\n{k}\nAfter it, é.\n{k}\n.") for i, k in enumerate(keys)]
+    rows += [(len(rows), f"The line {begin} opens a key, prose follows.")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows[:-1]:
+        assert not any(x in got[i] for x in [*body, "DEK-Info", "END RSA"]), got[i]
+        assert got[i].startswith("Before it.\n[SECRET]") and "it, é.\n[SECRET]" in got[i], got[i]
+    assert got[len(rows) - 1] == "The line [SECRET] opens a key, prose follows."
+
+
 def test_repeats_equal_brute_force(spark, texts, empty, monkeypatch):
     first, want = set(), {}
     for d, text in sorted(by_id(texts).items()):
