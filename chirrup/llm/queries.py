@@ -67,7 +67,7 @@ def op9_quality(spark, sf_dir):
 
 
 def op10_token_counts(spark, sf_dir):
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), words_apart=False)
 
 
 QUERIES = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from chirrup.llm.common import kept_by_worker, map_batches
@@ -18,6 +20,38 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+def read_matching(path: str) -> tuple[list[tuple[str, float]], bool, bool]:
+    """The normal and user-defined pieces of a model file with their unigram scores, whether it falls back to bytes, and whether it puts a space first.
+
+    Control, unknown, unused and byte pieces never match text.  A user-defined
+    piece scores as in the public library.
+    """
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    rule, kinds = model.normalizer_spec, model.SentencePiece
+    if rule.precompiled_charsmap or rule.remove_extra_whitespaces or not rule.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("a model that changes its texts is not supported")
+    normal = [(p.piece, p.score) for p in model.pieces if p.type == kinds.NORMAL]
+    best = max(s for _, s in normal)
+    own = [(p.piece, len(p.piece.encode()) * best - 0.1) for p in model.pieces if p.type == kinds.USER_DEFINED]
+    return normal + own, model.trainer_spec.byte_fallback, rule.add_dummy_prefix
+
+
+def stretches(pieces: list[tuple[str, float]]):
+    """A function that cuts a text, its spaces marked, where no piece can cross: before each run of spaces.
+
+    That holds if pieces have spaces at their beginning or of nothing else, and
+    a space is a piece; else a text is one stretch.
+    """
+    names = {p for p, _ in pieces}
+    if SPACE in names and all(SPACE not in p[1:] or not p.strip(SPACE) for p in names):
+        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+    return lambda text: [text]
+
+
 class Counter(dict):
     """Piece counts of the words met lately; two generations bound its size.
 
@@ -32,14 +66,14 @@ class Counter(dict):
 
     LIMIT, LONGEST = 250_000, 64
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], fallback: bool | None = None):
         import ahocorasick
 
         super().__init__()
         self.older: dict[str, int] = {}
         self.known = {p for p, _ in pieces}
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
-        self.bytes = all(f"<0x{b:02X}>" in self.known for b in range(256))
+        self.bytes = all(f"<0x{b:02X}>" in self.known for b in range(256)) if fallback is None else fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
@@ -83,23 +117,32 @@ class Counter(dict):
         return counts[-1]
 
 
-def count_tokens(df: DataFrame, model_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(df: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", words_apart: bool = True) -> DataFrame:
     """(id, n_tokens) of each row's whole text under the unigram pieces of a model file.
 
-    A space begins a word and belongs to it; so does the start of the text.
-    Words are counted one by one.  Null and empty texts have 0 tokens.  Rows are
-    independent: no shuffle, repeated rows stay.  The vocabulary (under 1 MB) is
-    read on the driver and broadcast.
+    With `words_apart` a space begins a word and belongs to it, so does the
+    start of the text, words are counted one by one, and all pieces of the file
+    match: as the public tokenizer does when it splits at spaces.  Without, the
+    whole text is cut into pieces, runs of spaces too, and only normal and
+    user-defined pieces match: as the public unigram model does, in double
+    precision.  Null and empty texts have 0 tokens.  Rows are independent: no
+    shuffle, repeated rows stay.  The vocabulary (under 1 MB) is read on the
+    driver and broadcast.
     """
-    pieces = df.sparkSession.sparkContext.broadcast(read_pieces(model_path))
+    pieces = df.sparkSession.sparkContext.broadcast((read_pieces(model_path), None, True) if words_apart else read_matching(model_path))
 
     def make():
-        counter = kept_by_worker(("unigram", model_path), lambda: Counter(pieces.value))
+        found, fallback, prefix = pieces.value
+        counter = kept_by_worker(("unigram", model_path, words_apart), lambda: Counter(found, fallback))
+        cut = stretches(found)
 
         def count(text: str) -> int:
             if not text:
                 return 0
-            words = text.replace(" ", SPACE).split(SPACE)
+            marked = text.replace(" ", SPACE)
+            if not words_apart:
+                return sum(map(counter.__getitem__, cut(SPACE + marked if prefix else marked)))
+            words = marked.split(SPACE)
             if not words[0]:
                 words = words[1:]
             return sum(map(counter.__getitem__, [SPACE + w for w in words]))

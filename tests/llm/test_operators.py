@@ -79,6 +79,28 @@ def test_token_counts_equal_library(spark, texts, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_whole_text_token_counts_equal_libraries(spark):
+    import public_tokenizers as P
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path, model = P.path("piece_bpe_32k.model"), proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    short = ["a  b", "a   b", " x = 1\n    y = 2", "a<s>b", "a</s>b<unk>", "<0x0A>", "  ", "a" + " " * 40 + "b", "\t\tif x:\n", "", "\ue123\ue124", "▁▁ 梦"]
+    double = Tokenizer(models.Unigram([(p.piece, p.score) for p in model.pieces if p.type in (1, 2, 6)], unk_id=0, byte_fallback=True))
+    double.pre_tokenizer = pre_tokenizers.Metaspace("▁", "never", False)
+    rng = random.Random(11)
+    long = ["".join(rng.choice(["the ", "word", " ", "  ", "\n", "    return x", "12", "é", "\U0001f9ff", "ab"]) for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    want = [len(library.encode(t)) for t in short] + [len(double.encode("▁" + t, add_special_tokens=False).ids) for t in long]
+    rows = spark.createDataFrame(list(enumerate(short + long)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(rows, path, words_apart=False).collect()}
+    assert [(t, got[i]) for i, t in enumerate(short + long)] == list(zip(short + long, want))
+
+
 def base_spans(text):
     found = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
