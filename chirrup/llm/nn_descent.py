@@ -17,6 +17,8 @@ from chirrup.session import materialize
 LIST, TABLES, AUDIT, RECALL = 8, 4, 2000, 0.99
 #: True pairs that an audit needs for a verdict, and the comparisons up to which it asks more vectors to see them.
 SEEN, COMPARED = 400, 10**11
+#: Bytes of asked vectors that are broadcast, and cosines that a task holds at a time, at most.
+SENT, HELD = 1 << 26, 1 << 22
 #: Rounds beyond those that the planes call for, before a recall that stays low is an error.
 SPARE = 4
 #: Rows that are compared all with all at a time, about.
@@ -237,15 +239,15 @@ def _audit(edges: DataFrame, nodes: DataFrame, theta: float) -> float | None:
     """Share of the pairs within reach of some nodes, found by comparing these with all, that the graph has.
 
     Four times as many nodes are asked until SEEN true pairs are found or all
-    nodes were asked, which is exact.  None if COMPARED comparisons do not show
-    that many: then the audit tells nothing.
+    nodes were asked, which is exact.  None if COMPARED comparisons or SENT bytes
+    of vectors do not show that many: then the audit tells nothing.
     """
-    n, asked = nodes.count(), AUDIT
+    (n, wide), asked = nodes.agg(F.count("*"), F.max("dim")).first(), AUDIT
     while True:
         true, found = _asked(edges, nodes, theta, asked)
         if true >= SEEN or asked >= n:
             return found / true if true else 1.0
-        if 4 * asked * n > COMPARED:
+        if 4 * asked * n > COMPARED or 4 * asked * 8 * wide > SENT:
             return None
         asked *= 4
 
@@ -263,13 +265,16 @@ def _asked(edges: DataFrame, nodes: DataFrame, theta: float, n: int) -> tuple[in
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             own, radii = np.asarray(batch.column(2)), np.asarray(batch.column(4))
             for key in set(keys) & set(sent.value):
-                rows = np.array([i for i, k in enumerate(keys) if k == key])
-                x = _matrix(batch.column(3).take(pa.array(rows)))
+                every = np.array([i for i, k in enumerate(keys) if k == key])
                 nodes_, units, r = zip(*sent.value[key])
-                cos = np.clip(x @ np.array([np.frombuffer(u) for u in units]).T, -1, 1)
-                i, j = np.nonzero(np.arccos(cos) <= theta + radii[rows][:, None] + np.array(r)[None, :])
-                a, b = np.array(nodes_)[j], own[rows][i]
-                yield pa.array(a[a != b]), pa.array(b[a != b])
+                others = np.array([np.frombuffer(u) for u in units]).T
+                size = max(HELD // len(nodes_), 1)
+                for at in range(0, len(every), size):
+                    rows = every[at : at + size]
+                    cos = np.clip(_matrix(batch.column(3).take(pa.array(rows))) @ others, -1, 1)
+                    i, j = np.nonzero(np.arccos(cos) <= theta + radii[rows][:, None] + np.array(r)[None, :])
+                    a, b = np.array(nodes_)[j], own[rows][i]
+                    yield pa.array(a[a != b]), pa.array(b[a != b])
 
         return step
 
