@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirrup.llm import bpe, mixing, nn_descent, quality, repeats, secrets, simhash, token_counts, toxicity, warc
+from chirrup.llm import bpe, chat, hard_negatives, mixing, nn_descent, quality, repeats, secrets, simhash, token_counts, toxicity, warc, whitening
 from chirrup.llm.common import table
-from chirrup.session import fresh_path
+from chirrup.session import fresh_path, materialize
 
 
 def _vocabulary(name: str) -> str:
@@ -70,10 +70,33 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), words_apart=False)
 
 
+def op11_chat_windows(spark, sf_dir):
+    """Format all conversations, and one that speaks in marks; digests of what is read back from the windows."""
+    import public_tokenizers
+
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    marks = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    windows = materialize(chat.format_windows(talks.unionByName(marks), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return chat.digest_windows(windows)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of the vectors whose id is divisible by 100, with the labels of every seventh moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64.0, offset=1_000_000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_embedding_near_dedup, op3_warc, op4_toxicity, op5_repeated_bytes, op6_simhash, op7_mixing, op8_secrets, op9_quality, op10_token_counts,
+        op11_chat_windows, op12_hard_negatives, op13_whitening,
     )
 }
 #: Words of a text; the pattern is spelled for the SQL engine's regular expressions.
