@@ -95,14 +95,17 @@ def clean_block(samples, channels, rates, labels, target=dsp.RATE, ceiling=0.98,
     waves = [dsp.resample(x, int(r), target) if ok else x for x, r, ok in zip(mono, rates, fine)]
     spans = speech_spans(waves, labels, target, **settings)
     spans.loc[~fine, "reason"] = "empty_or_nonfinite_audio"
-    out = pd.DataFrame({part.split()[0]: [None] * len(raw) for part in CLEAN.split(",")}, dtype=object)
-    out["reason"] = spans["reason"]
-    for i in np.flatnonzero(spans["reason"].isna()):
-        start, end = int(spans.at[i, "start"]), int(spans.at[i, "end"])
+    kept = []
+    for i, (start, end, reason) in enumerate(zip(spans["start"].tolist(), spans["end"].tolist(), spans["reason"].tolist())):
+        if isinstance(reason, str):
+            kept.append((None, reason, *[None] * 6))
+            continue
         part = waves[i][start:end]
         gain = ceiling / np.abs(part).max(initial=ceiling)
         cut = (start / target, (len(waves[i]) - end) / target, target, len(part) / target)
-        out.loc[i] = pd.Series([(part * gain).astype(np.float32), None, len(mono[i]) / int(rates[i]), *cut, gain], index=out.columns, dtype=object)
+        kept.append(((part * gain).astype(np.float32), None, len(mono[i]) / int(rates[i]), *cut, gain))
+    names = [part.split()[0] for part in CLEAN.split(",")]
+    out = pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in zip(names, zip(*kept) if kept else [()] * len(names))})
     floats = ("original_duration_s", "trimmed_left_s", "trimmed_right_s", "duration_s", "peak_limiter_gain")
     return out.astype({"sample_rate": "Int32", **dict.fromkeys(floats, "Float64")})
 

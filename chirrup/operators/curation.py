@@ -132,8 +132,13 @@ def heldout_disjoint(splits: DataFrame, heldout: DataFrame, column: str = "sha25
     return splits.select(column).intersect(heldout.select(column))
 
 
-def curation_report(accepted: DataFrame, excluded: DataFrame, held_out: Column, policy: dict[str, float]) -> DataFrame:
-    """One row: totals, counts per split and label, exclusions per reason, and the policy."""
+def curation_report(
+    accepted: DataFrame, excluded: DataFrame, held_out: Column, policy: dict[str, float], stops: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row: totals, counts per split and label, exclusions per reason, and the policy.
+
+    `complete` is false when a row was excluded for one of the reasons `stops`, which end a strict run.
+    """
     held = F.coalesce(held_out, F.lit(False))
     per = accepted.groupBy(held.alias("_held"), "split", "label").agg(F.count("*").alias("n"))
     inside = ~F.col("_held")
@@ -156,4 +161,5 @@ def curation_report(accepted: DataFrame, excluded: DataFrame, held_out: Column,
     parts = totals.unionByName(reasons, allowMissingColumns=True)
     row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
     settings = [x for k, v in policy.items() for x in (F.lit(k), F.lit(float(v)))]
-    return row.withColumn("policy", F.create_map(*settings)).withColumn("complete", F.lit(True))
+    ended = F.array(*map(F.lit, stops)).cast("array<string>")
+    return row.withColumn("policy", F.create_map(*settings)).withColumn("complete", ~F.coalesce(F.arrays_overlap(F.map_keys("exclusions"), ended), F.lit(False)))

@@ -338,11 +338,14 @@ def evaluate_continuous(
     windows: DataFrame, events: DataFrame | None, durations: DataFrame, commands: list[str],
     decoder: dict, early: float = 0.0, late: float = 1.0,
 ) -> dict[str, DataFrame]:
-    """Decode, match and score.  Without annotations every detection is a false alarm."""
+    """Decode, match and score.  Without annotations every detection is a false alarm, of its class and in all."""
     # The detections are few and feed several branches; the windows are read once.
     found = materialize(number_detections(decode_events(windows, **decoder)))
     if events is None:
-        return {"detections": found, "metrics": negative_audio_rate(found, durations)}
+        unmatched = found.withColumns({"event_id": F.lit(None).cast("bigint"), "latency_seconds": F.lit(None).cast("double")})
+        metrics = event_metrics(found.select("recording_id", "label").where("false"), unmatched, commands, durations)
+        rate = F.col("unmatched_detections_per_hour")
+        return {"detections": found, "metrics": metrics.withColumns({"false_positives_per_hour": rate, "provisional": F.lit(True)})}
     matched_events, matched_detections = match_events(events, found, early, late)
     return {
         "detections": matched_detections,

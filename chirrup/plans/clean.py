@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirrup.functions import dsp
+from chirrup.functions.arrays import bounded
 from chirrup.functions.paths import inside_root, record_id, safe_id
 from chirrup.operators import checks, clips, curation
 from chirrup.session import materialize
@@ -22,16 +23,21 @@ def partition_of(entity: str) -> Column:
     return F.when(checks.is_entity(entity), F.lit("held_out")).otherwise(F.col("split"))
 
 
-def abort_faults(rows: DataFrame, labels: DataFrame, entity: str) -> DataFrame:
-    """Rows that stop the whole job: unknown label or split, a held-out speaker outside test, a bad path or id."""
-    known = labels.select("label").withColumn("_known", F.lit(True))
+#: Reasons that stop a strict run before any audio is read.
+STOPS = ("invalid_label_or_split", "held_out_entity_in_training", "path_outside_root", "unsafe_id")
+
+
+def judged(rows: DataFrame, labels: DataFrame, entity: str) -> DataFrame:
+    """Adds `stop`: an unknown label or split, a held-out speaker outside test, a bad path or id; else NULL."""
+    known = bounded(labels.select("label").distinct().withColumn("_known", F.lit(True)))
+    listed = F.col("_known").isNotNull() & F.col("split").isin(*SPLITS)
     reason = (
-        F.when(F.col("_known").isNull() | ~F.col("split").isin(*SPLITS), "invalid_label_or_split")
-        .when(checks.is_entity(entity) & (F.col("split") != "test"), "held_out_entity_in_training")
-        .when(~inside_root(F.col("path")), "path_outside_root")
-        .when(~safe_id(F.col("id")), "unsafe_id")
+        F.when(~F.coalesce(listed, F.lit(False)), STOPS[0])
+        .when(checks.is_entity(entity) & (F.col("split") != "test"), STOPS[1])
+        .when(~inside_root(F.col("path")), STOPS[2])
+        .when(~safe_id(F.col("id")), STOPS[3])
     )
-    return rows.join(known, "label", "left").withColumn("reason", reason).where("reason is not null").select("id", "path", "label", "split", "reason")
+    return rows.join(known, "label", "left").withColumn("stop", reason).drop("_known")
 
 
 def decode_and_clean(rows: DataFrame, files: DataFrame, **settings) -> DataFrame:
@@ -71,11 +77,12 @@ def clean_dataset(
     Order decides duplicates: the dataset's splits as train, val, test, each by
     record_index, then the sessions by manifest folder and record_index.
     `dataset_rows` are manifest rows; `session_rows` are recorder rows with
-    folder, wav, accepted and error.  Under `strict` the abort-class faults,
-    overlaps across partitions and group leaks stop the job.
+    folder, wav, accepted and error.  Under `strict` the faults in STOPS,
+    overlaps across partitions and group leaks stop the job.  Otherwise such
+    rows are excluded with their reason and the report is not complete; leaks are only listed.
     """
-    if not 0 < min_s <= max_s <= 3 or margin_ms < 0:
-        raise ValueError("require 0 < min_s <= max_s <= 3 seconds and a margin that is not negative")
+    if margin_ms < 0 or not 0 < min_s <= max_s <= 3:
+        raise ValueError("clips may last 0 to 3 seconds, from min_s to max_s, and margin_ms is not below 0")
     mine = checks.is_entity(entity)
     moved = {"evaluation_group": entity, "engine": "real", "sample_kind": "human_recording", "speaker_group": f"human:{entity}"}
     dataset = dataset_rows.withColumns({k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in moved.items()})
@@ -85,8 +92,12 @@ def clean_dataset(
     rows = curation.union_sources(dataset, sessions).withColumn("partition", partition_of(entity))
     rows = rows.withColumn("rank", F.when(F.col("kind") == "session", 4).otherwise(curation.split_order(F.col("split"))))
     rows = rows.withColumn("position", F.struct("rank", "folder", "record_index", "path"))
+    listed = ("kind", "id", "path", "label", "split")
+    rows = judged(rows, labels, entity)
+    stopped = rows.where("stop is not null").select(*listed, F.col("stop").alias("reason"))
+    rows = rows.where("stop is null").drop("stop")
     if strict:
-        require_none(abort_faults(rows, labels, entity), "the dataset cannot be cleaned")
+        require_none(stopped, "the dataset cannot be cleaned")
 
     # Decoding is the dear step and feeds every later one: it is stored once.
     cleaned = decode_and_clean(rows, files, min_s=min_s, max_s=max_s, margin_ms=margin_ms, **settings)
@@ -94,7 +105,6 @@ def clean_dataset(
     cleaned = materialize(cleaned.withColumns({"content_sha256": dsp.pcm16_content_hash(wave), "file_sha256": file_sha256(wave)}))
     valid = cleaned.where("reason is null")
     # Audio stays out of the rounds, and the few losers are taken out of it by their position.
-    listed = ("kind", "id", "path", "label", "split")
     narrow = valid.select("position", *listed, "content_sha256", "partition", *curation.GROUP_KINDS)
     decided = materialize(curation.first_wins_dedup(narrow, "position", "id", "content_sha256", "partition"))
     rejected = decided.where("decision <> 'accepted'")
@@ -108,13 +118,14 @@ def clean_dataset(
     excluded = (
         cleaned.where("reason is not null").select(*listed, "reason")
         .unionByName(rejected.select(*listed, F.col("decision").alias("reason")))
+        .unionByName(stopped)
         .unionByName(
             offered.where("reason is not null").select(F.lit("session").alias("kind"), F.col("wav").alias("path"), "reason"),
             allowMissingColumns=True,
         )
     )
     kept = accepted.select(
-        *[c for c in rows.columns if c not in ("rank", "position", "folder", "sha256", "path")],
+        *[c for c in rows.columns if c not in ("rank", "folder", "sha256", "path")],
         F.col("path").alias("source_path"), "content_sha256", F.col("file_sha256").alias("sha256"), F.lit(QC).alias("qc"),
         F.concat_ws("/", F.lit("audio"), "kind", F.concat("id", F.lit(".wav"))).alias("path"),
         "clean.samples", *[f"clean.{c}" for c in ("original_duration_s", "trimmed_left_s", "trimmed_right_s", "sample_rate", "duration_s", "peak_limiter_gain")],
@@ -125,4 +136,4 @@ def clean_dataset(
             raise ValueError(f"no usable record in {sorted(missing)}; see the excluded rows")
     held = F.col("partition") == "held_out"
     policy = {"min_seconds": min_s, "max_seconds": max_s, "margin_ms": margin_ms, "sample_rate": dsp.RATE}
-    return {"accepted": kept, "excluded": excluded, "leaks": leaks, "report": curation.curation_report(kept, excluded, held, policy)}
+    return {"accepted": kept, "excluded": excluded, "leaks": leaks, "report": curation.curation_report(kept, excluded, held, policy, STOPS + curation.ABORTING)}

@@ -51,7 +51,7 @@ def evaluate_recordings(
     ignored: tuple[str, ...] = ("unknown", "background"), decoder: dict | None = None, early: float = 0.0, late: float = 1.0,
     sidecars: DataFrame | None = None, audio: dict | None = None, **windows,
 ) -> dict[str, DataFrame]:
-    """Windows, detections, matches and metrics of annotated (or, without events, command-free) recordings.
+    """Windows (with `emitted` where a detection was), detections, matches and metrics of annotated (or, without events, command-free) recordings.
 
     `recordings` has recording_id and duration_seconds on the original clock.  A
     recording whose sidecar reports a capture error stops the job.
@@ -64,7 +64,9 @@ def evaluate_recordings(
         raise ValueError("no command class remains")
     scored = detector_windows(prepare_audio(chunks, **(audio or {})), labels, scorer, recordings, **windows)
     found = evaluate_continuous(scored, events, recordings, commands, {"ignored": ignored, **(decoder or {})}, early, late)
-    return {"windows": scored, **found}
+    at = found["detections"].select("recording_id", "window_index", F.lit(True).alias("emitted"))
+    windows_out = scored.join(at, ["recording_id", "window_index"], "left").withColumn("emitted", F.coalesce("emitted", F.lit(False)))
+    return {"windows": windows_out, **found}
 
 
 def write_recording_report(result: dict[str, DataFrame], labels: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chirrup.functions import dsp, wav
 from chirrup.operators.checks import finite
 from chirrup.sources.manifests import require_none
+from chirrup.sources.wav_sink import write_files
 
 HEADER = "sample_rate int, channels int, frames bigint, fault string"
 DECODED = "samples array<float>, sample_rate int, channels int, frames bigint, fault string"
@@ -76,9 +77,11 @@ def clip_fault(sample_rate: int = dsp.RATE):
 def load_clips(manifest: DataFrame, files: DataFrame, sample_rate: int = dsp.RATE) -> DataFrame:
     """Manifest rows with their mono samples; `fault` is set where the file breaks a rule.
 
-    Files are decoded where they are read; the join carries each file once.
+    The join comes first and carries bytes, so only files that the manifest
+    names are decoded.  Where the files lie below one folder,
+    `wav_source.read_clips` opens just those, without a join.
     """
-    return manifest.join(decode_wav(files).withColumn("fault", clip_fault(sample_rate)), "path")
+    return decode_wav(manifest.join(files, "path")).withColumn("fault", clip_fault(sample_rate))
 
 
 def rir_pool(files: DataFrame, usage: str = "train_augmentation_only") -> tuple[DataFrame, DataFrame]:
@@ -125,6 +128,11 @@ def file_sha256(samples: Column, rate: int = dsp.RATE) -> Column:
     return digest.asNondeterministic()(samples)
 
 
+def write_wavs(clips: DataFrame, root: str, rate: int = dsp.RATE) -> int:
+    """Clips with path and samples as mono 16-bit WAV files below `root`; gives their number."""
+    return write_files(encode_wav(clips.select("path", "samples"), rate=rate), root)
+
+
 def write_clips(clips: DataFrame, path: str) -> None:
     """Clean clips as parquet: samples, 16-bit bytes and the bytes' sha256."""
     rows = clips.withColumn("pcm16", dsp.pcm16(F.col("samples")))

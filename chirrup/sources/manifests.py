@@ -102,11 +102,15 @@ def _lines(spark: SparkSession, paths, **options) -> DataFrame:
 
 
 def load_manifest(spark: SparkSession, root: str, labels: DataFrame, splits=SPLITS) -> DataFrame:
-    """Rows of splits/<name>.jsonl, each with its record_index (position in its file)."""
+    """Rows of splits/<name>.jsonl, each with its record_index (position in its file).
+
+    That may be a folder of parts, which are read in the order of their names.
+    """
     lines = _lines(spark, [f"{root.rstrip('/')}/splits/{s}.jsonl" for s in splits])
     lines = lines.where(F.trim("value") != "")
-    lines = lines.withColumn("file_split", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
-    lines = numbered(lines, ["file_split"], ["file_offset", "line_order"], F.col("file_offset"), "record_index")
+    lines = lines.withColumn("file_split", F.regexp_extract("file_path", r"([^/]+)\.jsonl(?:/[^/]+)?$", 1))
+    order = ["file_path", "file_offset", "line_order"]
+    lines = numbered(lines, ["file_split"], order, F.struct("file_path", "file_offset"), "record_index")
     rows = parse_manifest(lines.drop("file_offset", "line_order", "file_path"))
     require_none(manifest_faults(rows, labels), "invalid manifest row")
     filled = {r.split for r in rows.select("split").distinct().collect()}
@@ -118,6 +122,8 @@ def load_manifest(spark: SparkSession, root: str, labels: DataFrame, splits=SPLI
 def load_session_manifests(spark: SparkSession, root: str, pattern: str = "manifest.jsonl") -> DataFrame:
     """Rows of every session manifest below `root`: its folder relative to it, and record_index in its file."""
     lines = _lines(spark, root, recursiveFileLookup=True, pathGlobFilter=pattern)
+    if not lines.inputFiles():
+        raise ValueError(f"no {pattern} below {root}")
     lines = lines.where(F.trim("value") != "")
     lines = numbered(lines, ["file_path"], ["file_offset", "line_order"], F.col("file_offset"), "record_index")
     below = F.element_at(F.split("file_path", root.rstrip("/").removeprefix("file:") + "/", 2), 2)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirrup.operators.checks import evaluation_views
+from chirrup.sources.audio import encode_wav
+from chirrup.sources.manifests import SPLITS
+from chirrup.sources.wav_sink import write_files
 
 PREDICTION = """record_index bigint, path string, true_label string, predicted_label string, correct int, loss double,
 length_action string, confidence double, true_class_probability double"""
@@ -59,17 +64,35 @@ def read_skipped(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SKIPPED).csv(path, header=True, enforceSchema=False)
 
 
-def write_curated(accepted: DataFrame, excluded: DataFrame, held_out: Column, report: DataFrame, path: str) -> None:
-    """splits/ by split, manifest, excluded rows, both evaluation views and the report.
+def write_curated(
+    accepted: DataFrame, excluded: DataFrame, held_out: Column, report: DataFrame, path: str, labels: DataFrame | None = None
+) -> None:
+    """A dataset on storage: audio as WAV files, splits/<name>.jsonl in record order, the manifest, excluded rows, both views, the report.
 
-    The report comes last: a folder without it is an unfinished write.
+    Where the rows have samples they become 16-bit files at the rows' paths,
+    published only when all are written; no other output holds samples.  With `labels` the label map
+    is written too, so that `load_labels` and `load_manifest` read the folder
+    again.  A split is a folder of parts in the order of `position` (or
+    record_index).  The report comes last: a folder without it is an unfinished write.
     """
+    outside = ("samples", "position")
+    files = []
+    if "samples" in accepted.columns:
+        files.append(encode_wav(accepted.select("path", "samples")).select("path", "content"))
+    if labels is not None:
+        pairs = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "label_id")))).alias("m"))
+        files.append(pairs.select(F.lit("labels.json").alias("path"), F.to_json("m").cast("binary").alias("content")))
+    if files:
+        write_files(reduce(DataFrame.union, files), path)
     views = evaluation_views(accepted, held_out)
-    views["manifest"].write.mode("errorifexists").partitionBy("split").json(f"{path}/splits")
-    views["manifest"].write.mode("errorifexists").parquet(f"{path}/manifest")
-    excluded.write.mode("errorifexists").json(f"{path}/excluded")
-    views["held_out"].write.mode("errorifexists").json(f"{path}/evaluation/held_out")
-    views["synthetic_test"].write.mode("errorifexists").json(f"{path}/evaluation/synthetic_test")
+    order = "position" if "position" in accepted.columns else "record_index"
+    for split in SPLITS:
+        rows = views["manifest"].where(F.col("split") == split).repartitionByRange(order).sortWithinPartitions(order)
+        rows.drop(*outside).write.mode("errorifexists").json(f"{path}/splits/{split}.jsonl")
+    tables = {"manifest": views["manifest"], "excluded": excluded, "evaluation/held_out": views["held_out"], "evaluation/synthetic_test": views["synthetic_test"]}
+    for name, rows in tables.items():
+        writer = rows.drop(*outside).write.mode("errorifexists")
+        writer.parquet(f"{path}/{name}") if name == "manifest" else writer.json(f"{path}/{name}")
     report.write.mode("errorifexists").json(f"{path}/report")
 
 

@@ -10,8 +10,9 @@ from chirrup.functions import arrays, wav
 from chirrup.functions.rand import unit
 from chirrup.operators import checks, curation, metrics
 from chirrup.plans import clean
-from chirrup.session import fresh_path
-from chirrup.sources import audio, manifests, reports
+from chirrup.session import fresh_path, materialize
+from chirrup.sources import audio, manifests, reports, wav_source
+from chirrup.sources.wav_sink import write_files
 from workloads import clip_metrics as cm
 from workloads import standins as v
 from workloads import waveforms as wf
@@ -74,7 +75,10 @@ STEREO = "(clip_id % 4 = 0 AND clip_id % 5 = 0)"
     ),
 )
 def probe_audio_headers(spark, sf_dir):
-    return audio.probe_headers(wav_files(spark, sf_dir))
+    """The clips as files on storage, of which only the heads are read."""
+    path = fresh_path(spark, "wavs")
+    write_files(materialize(wav_files(spark, sf_dir)), path)
+    return wav_source.read_wavs(spark, path, "headers").drop("length")
 
 
 @query(
@@ -89,8 +93,9 @@ def probe_audio_headers(spark, sf_dir):
     ),
 )
 def load_clips(spark, sf_dir):
-    files = wav_files(spark, sf_dir)
-    out = audio.load_clips(v.clips(spark, sf_dir).select(F.concat(F.lit("c/"), "clip_id", F.lit(".wav")).alias("path")), files)
+    path = fresh_path(spark, "wavs")
+    write_files(materialize(wav_files(spark, sf_dir)), path)
+    out = wav_source.read_clips(v.clips(spark, sf_dir).select(F.concat(F.lit("c/"), "clip_id", F.lit(".wav")).alias("path")), path)
     weighted = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return out.select("path", "fault", r(weighted).alias("checksum"))
 
@@ -129,15 +134,14 @@ def fingerprint_files(spark, sf_dir):
     ),
 )
 def write_clean_audio(spark, sf_dir):
+    """The clips as 16-bit WAV files, read back in chunks."""
     path = fresh_path(spark, "clips")
-    audio.write_clips(v.clips(spark, sf_dir).select("clip_id", F.col("samples").cast("array<float>").alias("samples")), path)
-    back = spark.read.parquet(path)
-
-    @F.pandas_udf("bigint")
-    def total(pcm: pd.Series) -> pd.Series:
-        return pcm.map(lambda b: int(np.frombuffer(b, "<i2").sum()))
-
-    return back.select("clip_id", total("pcm16").alias("total"), F.length("pcm16").alias("bytes"))
+    name = F.concat("clip_id", F.lit(".wav"))
+    audio.write_wavs(v.clips(spark, sf_dir).select(name.alias("path"), F.col("samples").cast("array<float>").alias("samples")), path)
+    back = wav_source.read_wavs(spark, path)
+    value = F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, x: a + F.rint(x.cast("double") * 32768).cast("bigint"))
+    id = F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("clip_id")
+    return back.groupBy(id).agg(F.sum(value).alias("total"), F.sum(F.size("samples") * 2).cast("int").alias("bytes"))
 
 
 @query(
@@ -155,8 +159,10 @@ def write_dataset(spark, sf_dir):
     m, path = v.manifest(spark, sf_dir), fresh_path(spark, "dataset")
     held = (F.col("speaker_group") == ENTITY) & (F.col("split") == "test")
     excluded = m.where("frames > 3000").withColumn("reason", F.lit("too_long"))
-    reports.write_curated(m, excluded, held, curation.curation_report(m, excluded, held, {"max_seconds": 2.6}), path)
-    out = spark.read.schema("id string, split string").json(f"{path}/splits").select(F.lit("split").alias("part"), "id", "split")
+    labels = v.label_map(spark, sf_dir)
+    reports.write_curated(m, excluded, held, curation.curation_report(m, excluded, held, {"max_seconds": 2.6}), path, labels)
+    back = manifests.load_manifest(spark, path, manifests.load_labels(spark, f"{path}/labels.json"))
+    out = back.select(F.lit("split").alias("part"), "id", "split")
     for part, folder in (("excluded", "excluded"), ("held_out", "evaluation/held_out"), ("synthetic_test", "evaluation/synthetic_test")):
         rows = spark.read.schema("id string").json(f"{path}/{folder}")
         out = out.unionByName(rows.select(F.lit(part).alias("part"), "id", F.lit(None).cast("string").alias("split")))
