@@ -6,100 +6,169 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EPS = 1e-9
+NEVER = float("-inf")
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_sliding_windows(chunks: DataFrame, size: int, rate: int = 16000) -> DataFrame:
+def keyed_state(spark: SparkSession) -> None:
+    """Processors with typed state need a state store with column families; one that the session names already stays."""
+    if spark.conf.get(PROVIDER, "").rsplit(".", 1)[-1] in ("", "HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def _time_mode(idle_ms: int | None) -> str:
+    return "None" if idle_ms is None else "ProcessingTime"
+
+
+class _Windows(StatefulProcessor):
+    """Windows of one block of one recording.  State: the last samples, and where the known audio ends."""
+
+    def __init__(self, size: int, hop: int, rate: int, block: int, idle_ms: int | None):
+        self.size, self.hop, self.rate, self.block, self.idle_ms = size, hop, rate, block, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("tail", "tail binary, end_frame bigint", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        recording, block = key
+        chunks = sorted((int(at), own, x) for frame in rows for at, own, x in zip(frame["start_frame"], frame["own"], frame["samples"]))
+        if self.state.exists():
+            tail, end = self.state.get()
+            tail = np.frombuffer(tail, dtype=np.float32)
+        else:
+            tail, end = np.zeros(0, dtype=np.float32), None
+        begin, size, out = max(0, block * self.block - self.size), self.size, []
+        for at, own, samples in chunks:
+            if end is not None and at < end:
+                if own:
+                    out.append((recording, at // self.hop, None, None, None, None, True))
+                continue
+            if at > (begin if end is None else end):
+                raise ValueError(f"recording {recording}: audio is missing from frame {begin if end is None else end} to {at}")
+            new = np.asarray(samples, dtype=np.float32)
+            tail, end = np.concatenate([tail, new])[-size:], at + len(new)
+            if own:
+                window = np.concatenate([np.zeros(size - min(len(tail), end), dtype=np.float32), tail])[-size:]
+                out.append((recording, at // self.hop, max(0, end - size) / self.rate, end / self.rate, max(0, size - end) / self.rate, window, False))
+        # A block that is complete keeps only its end, which tells late chunks.
+        self.state.update((b"" if end >= (block + 1) * self.block else tail.tobytes(), end))
+        names = ["recording_id", "window_index", "start_seconds", "end_seconds", "left_padding_seconds", "samples", "late"]
+        yield pd.DataFrame(out, columns=names).astype({"recording_id": object, "samples": object, **dict.fromkeys(names[2:5], "Float64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sliding_windows(
+    chunks: DataFrame, size: int, hop: int, rate: int = 16000, block_seconds: float = 60.0, idle_ms: int | None = None
+) -> DataFrame:
     """One window per arriving chunk: the last `size` samples, zero-padded on the left at the start.
 
-    `chunks` has recording_id, start_frame and samples (one hop; the last may be
-    shorter).  The state of a recording is its last `size` samples.  A chunk
-    that starts before the recording's known end is late and dropped; one that
-    starts after it means lost audio and stops the query.
+    `chunks` has recording_id, start_frame (a multiple of `hop`) and samples, one hop; the last may be
+    shorter.  A recording is dealt to tasks by blocks; the last chunks before a
+    block go there too, so a long or busy recording is no hot key and a task
+    sorts at most a block.  The state of a block is its last `size` samples,
+    and only its end once it is complete.  A chunk that starts before its
+    block's known end is late: it gives a row with `late` and no samples.  One
+    that starts after it means lost audio and stops the query.  With `idle_ms`, state that
+    no row touched for so long, in processing time, is given up; such a query
+    runs on and is not for the trigger availableNow, which would never end it.
     """
+    keyed_state(chunks.sparkSession)
     rec = chunks.schema["recording_id"].dataType.simpleString()
+    block = max(round(block_seconds * rate) // hop, -(-size // hop), 1) * hop
     output = f"""recording_id {rec}, window_index bigint, start_seconds double, end_seconds double, left_padding_seconds double,
-    samples array<float>, late_chunks bigint"""
+    samples array<float>, late boolean"""
+    home = F.floor(F.col("start_frame") / block)
+    near = F.col("start_frame") + F.size("samples") > (home + 1) * block - size
+    spread = chunks.select(
+        "recording_id", "start_frame", "samples", home.alias("_home"), F.explode(F.when(near, F.array(home, home + 1)).otherwise(F.array(home))).alias("block")
+    )
+    rows = spread.select("recording_id", "block", "start_frame", (F.col("block") == F.col("_home")).alias("own"), "samples")
+    return rows.groupBy("recording_id", "block").transformWithStateInPandas(
+        _Windows(size, hop, rate, block, idle_ms), output, "append", _time_mode(idle_ms)
+    )
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            tail, end, index, late = state.get
-            tail = np.frombuffer(tail, dtype=np.float32)
-        else:
-            tail, end, index, late = np.zeros(0, dtype=np.float32), 0, 0, 0
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("start_frame").itertuples(index=False):
-            if r.start_frame < end:
-                late += 1
+
+class _Decoder(StatefulProcessor):
+    """One class of one recording: its active run, whether it is armed, since when it is inactive, its last emission."""
+
+    def __init__(self, consecutive: int, release: float, cooldown: float, idle_ms: int | None):
+        self.consecutive, self.release, self.cooldown, self.idle_ms = consecutive, release, cooldown, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = "run int, armed boolean, since double, last double, newest double, newest_index bigint"
+        self.state = handle.getValueState("class", fields, self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        recording, label = key
+        columns = ("time_seconds", "window_index", "hit", "confidence", "reports")
+        parts = [[frame[c].to_numpy() for c in columns] for frame in rows]
+        times, indexes, hits, confidences, reports = (np.concatenate(c) for c in zip(*parts))
+        # `since` is infinite while the class is active or unseen: never long enough to re-arm it.
+        run, armed, since, last, newest, index = self.state.get() if self.state.exists() else (0, True, float("inf"), NEVER, NEVER, -1)
+        out = []
+        for i in np.lexsort((indexes, times)):
+            t, k = float(times[i]), int(indexes[i])
+            if (t, k) <= (newest, index):
+                if reports[i]:
+                    out.append((recording, k, None, t, confidences[i], True))
                 continue
-            if r.start_frame > end:
-                raise ValueError(f"recording {key[0]}: audio is missing from frame {end} to {r.start_frame}")
-            new = np.asarray(r.samples, dtype=np.float32)
-            tail, end = np.concatenate([tail, new])[-size:], end + len(new)
-            window = np.concatenate([np.zeros(size - len(tail), dtype=np.float32), tail])
-            rows.append((key[0], index, max(0, end - size) / rate, end / rate, max(0, size - end) / rate, window, late))
-            index += 1
-        state.update((tail.tobytes(), end, index, late))
-        names = ["recording_id", "window_index", "start_seconds", "end_seconds", "left_padding_seconds", "samples", "late_chunks"]
-        yield pd.DataFrame(rows, columns=names).astype({"recording_id": object, "samples": object})
-
-    return chunks.select("recording_id", "start_frame", "samples").groupBy("recording_id").applyInPandasWithState(
-        step, output, "tail binary, end_frame bigint, next_index bigint, late bigint", "append", GroupStateTimeout.NoTimeout
-    )
+            newest, index = t, k
+            if not hits[i]:
+                run, since = 0, min(since, t)
+                armed = armed or t - since + EPS >= self.release
+                continue
+            run, since = run + 1, float("inf")
+            if armed and run >= self.consecutive and t - last + EPS >= self.cooldown:
+                armed, last = False, t
+                out.append((recording, k, label, t, confidences[i], False))
+        self.state.update((run, bool(armed), since, last, newest, index))
+        names = ["recording_id", "window_index", "label", "time_seconds", "confidence", "late"]
+        yield pd.DataFrame(out, columns=names).astype({"recording_id": object, "label": object})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_decode_events(
-    windows: DataFrame, commands: list[str], threshold: float = 0.5, consecutive: int = 2, release: float = 0.3, cooldown: float = 1.0
+    windows: DataFrame,
+    commands: list[str],
+    threshold: float = 0.5,
+    consecutive: int = 2,
+    release: float = 0.3,
+    cooldown: float = 1.0,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """Detections from a stream of windows, under the rules of `operators.events.decode_events`.
 
-    The state of a recording holds, per command class, its active run, whether it
-    is armed, since when it is inactive, and its last emission.  Rows of a
+    State is kept per recording and class, so every window goes to each command
+    class as a narrow row that says whether it is the class's own.  Rows of a
     micro-batch are taken in the order of time and window; a row not after the
-    recording's last one in that order is late: dropped and counted.
+    recording's last one in that order is late: it is put out as a row with
+    `late` and no label, whether or not the recording emits anything.
+    `idle_ms` as in `stream_sliding_windows`.
     """
+    keyed_state(windows.sparkSession)
     rec = windows.schema["recording_id"].dataType.simpleString()
-    output = f"recording_id {rec}, window_index bigint, label string, time_seconds double, confidence double, late_windows bigint"
-    place = {name: i for i, name in enumerate(commands)}
-    k = len(commands)
-    never = float("-inf")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            runs, armed, since, last, newest, index, late = state.get
-            runs, armed, since, last = list(runs), list(armed), list(since), list(last)
-        else:
-            # `since` is infinite while a class is active or unseen: never long enough to re-arm it.
-            runs, armed, since, last, newest, index, late = [0] * k, [True] * k, [float("inf")] * k, [never] * k, never, -1, 0
-        rows = []
-        ordered = pd.concat(list(batches)).sort_values(["time_seconds", "window_index"])
-        for r in ordered.itertuples(index=False):
-            t = r.time_seconds
-            if (t, r.window_index) <= (newest, index):
-                late += 1
-                continue
-            newest, index = t, r.window_index
-            hit = place.get(r.predicted_label, -1) if r.confidence >= threshold else -1
-            for i in range(k):
-                if i != hit:
-                    runs[i], since[i] = 0, min(since[i], t)
-                    armed[i] = armed[i] or t - since[i] + EPS >= release
-            if hit >= 0:
-                runs[hit], since[hit] = runs[hit] + 1, float("inf")
-                if armed[hit] and runs[hit] >= consecutive and t - last[hit] + EPS >= cooldown:
-                    armed[hit], last[hit] = False, t
-                    rows.append((key[0], r.window_index, commands[hit], t, r.confidence, late))
-        state.update((runs, armed, since, last, newest, index, late))
-        names = ["recording_id", "window_index", "label", "time_seconds", "confidence", "late_windows"]
-        yield pd.DataFrame(rows, columns=names).astype({"recording_id": object, "label": object})
-
-    state = "runs array<int>, armed array<boolean>, since array<double>, last array<double>, newest double, newest_index bigint, late bigint"
-    slim = windows.select("recording_id", "window_index", "time_seconds", "predicted_label", "confidence")
-    return slim.groupBy("recording_id").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
+    output = f"recording_id {rec}, window_index bigint, label string, time_seconds double, confidence double, late boolean"
+    named = F.array(*map(F.lit, commands))
+    spread = windows.select("recording_id", "window_index", "time_seconds", "predicted_label", "confidence", F.explode(named).alias("label"))
+    own = F.coalesce(F.col("predicted_label") == F.col("label"), F.lit(False))
+    spoken = F.coalesce(F.col("predicted_label").isin(*commands), F.lit(False))
+    rows = spread.select(
+        "recording_id", "label", "time_seconds", "window_index", (own & F.coalesce(F.col("confidence") >= threshold, F.lit(False))).alias("hit"), "confidence",
+        (own | (~spoken & (F.col("label") == commands[0]))).alias("reports"),
+    )
+    return rows.groupBy("recording_id", "label").transformWithStateInPandas(
+        _Decoder(consecutive, release, cooldown, idle_ms), output, "append", _time_mode(idle_ms)
+    )
 
 
 def stream_detection_rate(detections: DataFrame, time: str, period: str, watermark: str, keys: tuple[str, ...] = ()) -> DataFrame:
