@@ -7,10 +7,14 @@ one summary row per block crosses the key-wide window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chirrup.session import materialize
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -75,26 +79,62 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, na
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], width: float = 1.0
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], limit: int = 65_536, bins: int = 1024
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, without one task holding a key's values.
-
-    Values are counted first, so repeats cost nothing; cumulative counts then
-    locate the two neighbouring ranks.  `width` is the value span of one block.
+    """Exact linearly interpolated quantiles per key, without one task sorting a key's values.
+
+    Values are counted first, so repeats cost nothing.  A key of at most
+    `limit` different values is ranked by a window over them.  Of a larger one,
+    each wanted rank is closed in on: its values are counted in `bins` equal
+    parts of the span that holds the rank, the part with the rank becomes the
+    span, its ends being values that occur, and so on until it holds `limit` values.
+    Only counts per part cross the network, however close together the values lie.
+    Finite values only.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranked = running(counts, keys, ["_v"], F.floor(F.col("_v") / width), {"_below": ("sum", F.col("_n"))})
-    ranked = ranked.withColumn("_below", F.coalesce("_below", F.lit(0)))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, keys)
+    if not 0 < 1 / bins < 1:
+        raise ValueError("values are counted in two parts at least")
+    held = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    sizes = materialize(
+        held.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count("*").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    )
+    ranks = [(name, p, side) for name, p in probs.items() for side in ("lo", "hi")]
 
-    picks = []
-    for name, p in probs.items():
+    def rank(p, side):
         at = F.lit(p) * (F.col("_total") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}_{name}"))
-    out = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+        return (F.floor(at) if side == "lo" else F.ceil(at)).cast("bigint")
+
+    listed = F.array(*[F.struct(F.lit(i).alias("_slot"), rank(p, side).alias("_rank")) for i, (_, p, side) in enumerate(ranks)])
+    wanted = sizes.select(*keys, "_m", "_low", "_high", F.lit(0).cast("bigint").alias("_below"), F.inline(listed))
+
+    small = held.join(sizes.where(F.col("_m") <= limit).select(*keys, "_total"), keys)
+    order = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    small = small.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    hits = F.filter(listed, lambda r: (F.col("_before") <= r._rank) & (r._rank < F.col("_before") + F.col("_n")))
+    found = small.select(*keys, "_v", F.inline(hits)).select(*keys, "_slot", "_v")
+
+    open_, closed = wanted.where(F.col("_m") > limit), []
+    if not sizes.where(F.col("_m") > limit).isEmpty():
+        while not open_.isEmpty():
+            span = F.col("_high") - F.col("_low")
+            part = F.least(F.floor((F.col("_v") - F.col("_low")) / span * bins), F.lit(bins - 1))
+            inside = held.join(open_, keys).where("_v between _low and _high").withColumn("_part", part)
+            counted = inside.groupBy(*keys, "_slot", "_rank", "_below", "_part").agg(
+                F.sum("_n").alias("_n"), F.count("*").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+            )
+            earlier = W.partitionBy(*keys, "_slot").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+            counted = counted.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+            chosen = counted.where((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n")))
+            chosen = materialize(chosen.select(*keys, "_m", "_low", "_high", "_below", "_slot", "_rank"))
+            closed.append(chosen.where(F.col("_m") <= limit))
+            open_ = chosen.where(F.col("_m") > limit)
+        inside = held.join(reduce(DataFrame.unionByName, closed), keys).where("_v between _low and _high")
+        order = W.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+        inside = inside.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
+        hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        found = found.unionByName(inside.where(hit).select(*keys, "_slot", "_v"))
+
+    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_slot") == i, F.col("_v"))).alias(f"_{side}_{name}") for i, (name, _, side) in enumerate(ranks)])
+    out = picked.join(sizes.select(*keys, "_total"), keys)
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_total") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")

@@ -39,6 +39,54 @@ def split_order(split: Column, splits=SPLITS) -> Column:
     return F.array_position(F.array(*map(F.lit, splits)), split)
 
 
+def _firsts(rows: DataFrame, key: str, name: str = "_o") -> DataFrame:
+    return rows.groupBy(key).agg(F.min("_o").alias(name))
+
+
+def _winners(pending: DataFrame) -> DataFrame:
+    """(_o, _id, _h) of pending rows that are accepted for sure.
+
+    A row is blocked by the earlier rows of its id and of its content.  One
+    without any is accepted.  One with a single blocker is accepted exactly when
+    that is not, so it points to it; pointers are doubled until they end at a
+    row without blockers, and the number of steps, odd or even, decides.  Rows
+    with several blockers stay open, and so do those whose pointers end there.
+    A group's first and second row are all that is looked at: any later one has
+    several blockers.  Each row is pointed to by two others at most.
+    """
+    rows = pending.select("_o", "_id", "_h")
+    for key in ("_id", "_h"):
+        first = _firsts(rows, key, f"{key}_1")
+        rows = rows.join(first, key)
+        second = rows.where(F.col("_o") > F.col(f"{key}_1")).groupBy(key).agg(F.min("_o").alias(f"{key}_2"))
+        rows = rows.join(second, key, "left")
+
+    def blocker(key):
+        mine = F.col("_o")
+        one = F.when(mine == F.col(f"{key}_2"), F.col(f"{key}_1"))
+        return one, (mine > F.col(f"{key}_1")) & (mine != F.col(f"{key}_2"))
+
+    (by_id, many_id), (by_hash, many_hash) = blocker("_id"), blocker("_h")
+    several = many_id | many_hash | (by_id.isNotNull() & by_hash.isNotNull() & (by_id != by_hash))
+    # state: 1 accepted, 0 not, NULL open; a row without a pointer stays as it is.
+    chain = rows.select(
+        "_o", "_id", "_h", F.when(~several, F.coalesce(by_id, by_hash)).alias("_to"), F.lit(1).alias("_steps"),
+        F.when(~several & by_id.isNull() & by_hash.isNull(), 1).alias("_state"),
+    )
+    chain = materialize(chain)
+    while not chain.where("_to is not null").isEmpty():
+        ends = chain.select(F.col("_o").alias("_to"), F.col("_to").alias("_next"), F.col("_steps").alias("_more"), F.col("_state").alias("_end"))
+        on = chain.join(ends, "_to", "left")
+        decided = F.when(F.col("_end").isNotNull(), F.pmod(F.col("_end") + F.col("_steps"), F.lit(2)))
+        chain = materialize(
+            on.select(
+                "_o", "_id", "_h", F.col("_next").alias("_to"), F.when(F.col("_next").isNotNull(), F.pmod(F.col("_steps") + F.col("_more"), F.lit(2))).otherwise(F.col("_steps")).alias("_steps"),
+                F.coalesce("_state", decided).cast("int").alias("_state"),
+            )
+        )
+    return chain.where("_state = 1").select("_o", "_id", "_h")
+
+
 def first_wins_dedup(
     rows: DataFrame, order_col: str, id_col: str = "id", hash_col: str = "sha256", partition_col: str = "split"
 ) -> DataFrame:
@@ -47,9 +95,12 @@ def first_wins_dedup(
     In `order_col` order a row is accepted when neither its id nor its content
     belongs to an accepted row; a losing row blocks nobody.  Rows that share
     neither with any other are settled at once.  The rest go through rounds: each
-    accepts every row that is first both for its id and for its content, and
-    drops the rows those beat; the few that depend on a dropped one wait for the
-    next round.  Only four narrow columns take part.  `order_col` must be unique.
+    accepts rows and drops the rows those beat; the few that depend on a dropped
+    one wait for the next round.  The first round accepts every row that is first
+    both for its id and for its content; later ones follow whole chains at once
+    (`_winners`), so a chain of any length takes a few.  Only four narrow columns take part.
+
+    Two rows of one order are an error: which of them is first would be chance.
     """
     slim = rows.select(
         F.col(order_col).alias("_o"),
@@ -61,15 +112,15 @@ def first_wins_dedup(
     def shared(key: str) -> DataFrame:
         return slim.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(True).alias(f"{key}_shared"))
 
+    repeated = slim.groupBy("_o").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"the order {repeated[0][0]} is not unique")
     marked = slim.join(shared("_id"), "_id", "left").join(shared("_h"), "_h", "left")
     contested = materialize(marked.where("_id_shared or _h_shared").select("_o", "_id", "_h", "_p"))
 
     pending, won = contested, []
     while not pending.isEmpty():
-        first_for_id = pending.groupBy("_id").agg(F.min("_o").alias("_o"))
-        first_for_hash = pending.groupBy("_h").agg(F.min("_o").alias("_o"))
-        # Both sides have each row's order at most once, so this join has no hot key.
-        won.append(materialize(first_for_id.join(first_for_hash, "_o")))
+        won.append(_winners(pending) if won else materialize(_firsts(pending, "_id").join(_firsts(pending, "_h"), "_o")))
         beaten_by = won[-1]
         pending = materialize(
             pending.join(beaten_by.select("_id"), "_id", "left_anti").join(beaten_by.select("_h"), "_h", "left_anti")

@@ -190,27 +190,50 @@ def _greedy(state, kind, at, ident, end, until):
 
 
 def _stretches(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Items within reach of an event, with `stretch`: the start of their run of overlapping events.
-
-    Blocks are scanned on their own.  Of a block the others need only how far its
-    events reach and where its last run starts; a run that seems to start in a
-    block really does when no earlier block reaches that far.
+    """Items within reach of an event, with `stretch`: the event where their part of the matching starts.
+
+    A stretch starts at an event that no earlier one reaches, or before which no
+    event can be open and unused.  The latter is read from a queue that events
+    enter and detections leave, and that nothing else leaves: it holds at least
+    as many as are really open, so where it is empty none is.  Its length is the running
+    sum of +1 and -1 above the sum's running minimum.
+
+    Blocks are scanned on their own.  Of a block the others need only how far
+    its events reach, its sum and its lowest prefix, and where its last stretch
+    seems to start: by reach it really does when no earlier block reaches that
+    far; by the queue, where its prefix is lowest, when that is low enough for
+    the queue that the block began with.
     """
     inside = W.partitionBy(*keys, "_block").orderBy(*order)
-    rows = items.withColumn("_local", F.max("until").over(inside.rowsBetween(W.unboundedPreceding, -1)))
-    alone = (F.col("kind") == 0) & (F.coalesce("_local", F.lit(NEVER)) < F.col("at"))
-    rows = rows.withColumn("_first", F.when(alone, F.col("at")))
-    blocks = rows.groupBy(*keys, "_block").agg(F.max("until").alias("_top"), F.max("_first").alias("_start"))
+    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1).cast("bigint")
+    event = F.col("kind") == 0
+    rows = items.withColumn("_local", F.max("until").over(earlier)).withColumn("_sum", F.coalesce(F.sum(step).over(earlier), F.lit(0)))
+    rows = rows.withColumn("_least", F.min(F.col("_sum") + step).over(earlier))
+    alone = event & (F.coalesce("_local", F.lit(NEVER)) < F.col("at"))
+    low = event & (F.col("_sum") <= F.least(F.lit(0), F.col("_least")))
+    rows = rows.withColumns({"_first": F.when(alone, F.col("at")), "_low": F.when(low, F.col("_sum"))})
+    blocks = rows.groupBy(*keys, "_block").agg(
+        F.max("until").alias("_top"), F.max("_first").alias("_start"), F.sum(step).alias("_total"), F.min(F.col("_sum") + step).alias("_depth"),
+        F.min("_low").alias("_lowest"), F.max(F.when(low, F.col("at"))).alias("_low_at"),
+    )
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = blocks.withColumn("_carry", F.coalesce(F.max("_top").over(before), F.lit(NEVER)))
-    carried = carried.withColumn("_start", F.when(F.col("_start") > F.col("_carry"), F.col("_start")))
-    carried = carried.select(*keys, "_block", "_carry", F.last("_start", ignorenulls=True).over(before).alias("_open"))
+    carried = carried.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    floor = F.least(F.lit(0), F.min(F.col("_base") + F.col("_depth")).over(before))
+    carried = carried.withColumn("_queue", F.col("_base") - floor)
+    by_reach = F.when(F.col("_start") > F.col("_carry"), F.col("_start"))
+    by_queue = F.when(F.col("_lowest") + F.col("_queue") <= 0, F.col("_low_at"))
+    carried = carried.withColumn("_start", F.greatest(by_reach, by_queue))
+    carried = carried.select(*keys, "_block", "_carry", "_queue", F.last("_start", ignorenulls=True).over(before).alias("_open"))
     joined = rows.join(carried, [*keys, "_block"])
-    starts = F.when(F.col("_first") > F.col("_carry"), F.col("_first"))
+    starts = F.greatest(
+        F.when(F.col("_first") > F.col("_carry"), F.col("_first")), F.when(F.col("_low") + F.col("_queue") <= 0, F.col("at"))
+    )
     so_far = F.last(starts, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
     joined = joined.withColumn("stretch", F.coalesce(so_far, "_open"))
     reached = (F.col("kind") == 0) | (F.greatest("_local", "_carry") >= F.col("at"))
-    return joined.where(reached).drop("_block", "_local", "_first", "_carry", "_open")
+    return joined.where(reached).drop("_block", "_local", "_sum", "_least", "_first", "_low", "_carry", "_queue", "_open")
 
 
 def match_events(
@@ -222,8 +245,10 @@ def match_events(
     recording and class with start-early <= t <= end+late, the one that ends
     first.  latency = t - end, negative inside the event.
 
-    Matches never cross a moment that no event covers, so a recording falls apart
-    into stretches of overlapping events, which are matched independently.
+    Matches never cross a moment that no event covers, or at which every event so
+    far is used or over, so a recording falls apart into stretches, which are
+    matched independently (`_stretches`).  Where events overlap without a gap
+    and far outnumber the detections, a stretch is long and one task walks it, holding its open events.
     """
     at_event = F.col("start_seconds") - early
     items = events.select(

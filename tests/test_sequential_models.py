@@ -137,8 +137,63 @@ def test_running_equals_plain_prefix(spark):
 def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(k, float(x)) for k, n in (("a", 1), ("b", 2), ("c", 57), ("d", 400)) for x in np.round(rng.normal(size=n), 1)]
-    got = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95}, 0.3).collect()
+    got = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()
     for r in got:
         values = [v for k, v in rows if k == r.k]
         assert r.p50 == pytest.approx(np.percentile(values, 50)) and r.p95 == pytest.approx(np.percentile(values, 95))
     assert len(got) == 4
+
+
+@pytest.mark.parametrize("limit, bins", [(20, 3), (1, 2), (500, 1024)])
+def test_exact_quantiles_of_many_values_close_in_on_ranks(spark, limit, bins):
+    rng = np.random.default_rng(limit)
+    crowd = np.concatenate([0.7 + 1e-6 * rng.normal(size=900), np.round(rng.normal(size=300), 1), [1e12, -1e12, 0.0]])
+    rows = [("hot", float(x)) for x in crowd] + [("one", 3.5)] * 4 + [("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, limit, bins).collect()}
+    for k, r in got.items():
+        values = [v for name, v in rows if name == k]
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.percentile(values, 100 * p), rel=1e-12), (k, name)
+    assert len(got) == 3
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each row shares its id or its content with the one before: ten thousand decisions in a row."""
+    calls = []
+    store = curation.materialize
+    monkeypatch.setattr(curation, "materialize", lambda df: calls.append(1) or store(df))
+    n = 10_000
+    df = spark.range(n).select(
+        F.col("id").alias("o"), F.floor((F.col("id") + 1) / 2).cast("string").alias("id"), F.floor(F.col("id") / 2).cast("string").alias("sha256"), F.lit("t").alias("split")
+    )
+    got = {r.o: r.decision for r in curation.first_wins_dedup(df, "o").collect()}
+    assert all(got[o] == ("accepted" if o % 2 == 0 else "duplicate_audio_in_split" if o % 4 == 1 or o % 4 == 3 else "?") for o in range(n))
+    assert len(calls) < 24
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_wins_on_tangled_chains(spark, seed):
+    rng = random.Random(100 + seed)
+    rows = [(o, f"i{o // 2 + rng.choice([0, 0, 0, 1, 2])}", f"h{(o + 1) // 2 + rng.choice([0, 0, 0, 1, -3])}", rng.choice("tv")) for o in range(400)]
+    df = spark.createDataFrame(rows, "o bigint, id string, sha256 string, split string")
+    assert {r.o: r.decision for r in curation.first_wins_dedup(df, "o").collect()} == dedup_model(rows)
+    with pytest.raises(ValueError, match="not unique"):
+        curation.first_wins_dedup(df.union(df.where("o = 7")), "o")
+
+
+def test_overlapping_events_are_matched_in_many_tasks(spark):
+    """Events overlap from first to last, each with a detection before the next one starts."""
+    n = 20_000
+    ev = spark.range(n).select(F.lit(1).cast("bigint").alias("recording_id"), F.lit("a").alias("label"), F.col("id").alias("event_id"),
+                               F.col("id").cast("double").alias("start_seconds"), (F.col("id") + 1.8).alias("end_seconds"))
+    de = spark.range(n).select(F.lit(1).cast("bigint").alias("recording_id"), F.lit("a").alias("label"), F.col("id").alias("detection_id"),
+                               (F.col("id") + 0.5).alias("time_seconds"), F.lit(0.9).alias("confidence"))
+    got, _ = events.match_events(ev, de, block_seconds=100.0)
+    rows = got.select("event_id", "detection_id").collect()
+    assert len(rows) == n and all(r.event_id == r.detection_id for r in rows)
+    items = ev.select("recording_id", "label", F.col("start_seconds").alias("at"), F.lit(0).alias("kind"), F.col("event_id").alias("id"), (F.col("end_seconds") + 1).alias("until"))
+    items = items.unionByName(de.select("recording_id", "label", F.col("time_seconds").alias("at"), F.lit(1).alias("kind"), F.col("detection_id").alias("id")), allowMissingColumns=True)
+    parts = events._stretches(items.withColumn("_block", F.floor(F.col("at") / 100)), ["recording_id", "label"], ["at", "kind", "id"])
+    assert parts.groupBy("stretch").count().agg(F.max("count"), F.count("*")).first()[:] == (2, n)
