@@ -20,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], ddl: str, finish: bool = False) -> DataFrame:
-    """Pass the Arrow batches of each task through the function that `make()` gives, once per task.
+def map_batches(df: DataFrame, make: Callable[[], Callable], ddl: str | T.StructType, finish: bool = False) -> DataFrame:
+    """Pass the Arrow batches of each task through the function that `make()` gives, once per task; `ddl` is the result's schema.
 
     That function maps a batch to lists of columns, one list for each batch to
     put out.  With `finish` it is called a last time with None.
     """
-    found = T.StructType.fromDDL(ddl)
+    found = ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl)
     arrow = to_arrow_schema(found)
 
     def record(columns):
@@ -87,6 +87,15 @@ def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def packed(df: DataFrame, **named: Column) -> DataFrame:
+    """The rows of `df` as one struct `row`, beside the named columns, so that no column's name can meet another's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in named.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

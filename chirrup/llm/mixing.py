@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chirrup.functions.scan import numbered
-from chirrup.llm.common import word_count
+from chirrup.llm.common import packed, unpacked, word_count
 from chirrup.session import materialize
 
 #: Rows of one (source, size) that one task numbers, about.
@@ -158,13 +158,13 @@ def apply_mix(df: DataFrame, mixed: DataFrame, id: str = "doc_id", text: str = "
 
     Rows that share id, source and size share their copies evenly.
     """
-    keys = {"_mid": id, "_msource": source, "_msize": "size"}
-    sums = mixed.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = df.withColumn("_size", word_count(F.col(text)))
+    keys = {"mid": id, "msource": source, "msize": "size"}
+    sums = mixed.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    rows = packed(df, id=F.col(id), source=F.col(source), size=word_count(F.col(text)), mark=F.xxhash64(text))
     # One row per document meets the documents: both sides are shuffled at every size.
-    found = rows.join(sums.hint("merge"), rows[id].eqNullSafe(sums["_mid"]) & rows[source].eqNullSafe(sums["_msource"]) & (rows["_size"] == sums["_msize"]))
-    single = found.where("_rows = 1").withColumn("_c", F.col("_copies"))
-    nth = F.row_number().over(W.partitionBy("_mid", "_msource", "_msize").orderBy(F.xxhash64(text)))
-    shared = found.where("_rows > 1").withColumn("_c", F.floor(nth * F.col("_copies") / F.col("_rows")) - F.floor((nth - 1) * F.col("_copies") / F.col("_rows")))
-    both = single.unionByName(shared).where("_c > 0")
-    return both.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_copy")).select(*df.columns)
+    found = rows.join(sums.hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & F.col("source").eqNullSafe(F.col("msource")) & (F.col("size") == F.col("msize")))
+    single = found.where("rows = 1").withColumn("c", F.col("copies"))
+    nth = F.row_number().over(W.partitionBy("mid", "msource", "msize").orderBy("mark"))
+    shared = found.where("rows > 1").withColumn("c", F.floor(nth * F.col("copies") / F.col("rows")) - F.floor((nth - 1) * F.col("copies") / F.col("rows")))
+    both = single.unionByName(shared).where("c > 0")
+    return unpacked(both.select("row", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))))

@@ -7,8 +7,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from chirrup.llm.common import byte_sizes, kept_by_worker, map_batches, slices, utf8
+from chirrup.llm.common import byte_sizes, kept_by_worker, map_batches, packed, slices, unpacked, utf8
 
 #: Rules: kind, pattern, a group (0: the whole match) and its least length.  Fixed values; the first three are the base.
 RULES = (
@@ -21,12 +22,12 @@ RULES = (
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
 )
 BASE = ("assign", "access", "hex")
-#: What a match of a kind goes on with: a key's body to its END line, or, without one, its fields and base64 lines.
+#: What a match of a kind goes on with: a key's fields and base64 lines, a shorter last one, and its END line if it is next.
 _GAP = rb"(?:[\x20\t\r\n>]|\\[nr])"
 TAILS = {
     "pem": re.compile(
-        rb"(?:-?[^-])*+-----END [A-Z ]*PRIVATE KEY-----"
-        rb"|(?:" + _GAP + rb"+[A-Za-z]+(?:-[A-Za-z]+)*:[^\n\\]*)*(?:" + _GAP + rb"+[A-Za-z0-9+/]{20,}+={0,2})+(?:" + _GAP + rb"+[A-Za-z0-9+/]+={0,2})?"
+        rb"(?:" + _GAP + rb"+[A-Za-z]+(?:-[A-Za-z]+)*:[^\n\\]*)*(?:" + _GAP + rb"+[A-Za-z0-9+/]{20,}+={0,2})*"
+        rb"(?:(?:" + _GAP + rb"+[A-Za-z0-9+/]+={0,2})?" + _GAP + rb"*-----END [A-Z ]*PRIVATE KEY-----|(?<=[A-Za-z0-9+/=]{20})" + _GAP + rb"+[A-Za-z0-9+/]+={0,2}|(?<=[A-Za-z0-9+/=]{20}))"
     )
 }
 
@@ -349,14 +350,13 @@ def redact(df: DataFrame, rules=RULES, text: str = "text", mark: str = "[SECRET]
 
     Null stays null, and a text without secrets stays as it is.
     """
-    place = df.columns.index(text)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = packed(df, text=F.col(f"`{text}`"))
 
     def make():
         scan = _scan(rules)
 
         def step(batch):
-            texts = batch.column(place)
+            texts = batch.column(1)
             sizes = byte_sizes(texts)
             for i, j in slices(sizes, 8 << 20):
                 part, out = texts[i:j], []
@@ -367,10 +367,8 @@ def redact(df: DataFrame, rules=RULES, text: str = "text", mark: str = "[SECRET]
                             pieces += [data[last:b], mark.encode()]
                         last = max(last, e)
                     out.append((b"".join(pieces) + data[last:]).decode() if part[k].is_valid else None)
-                columns = [c[i:j] for c in batch.columns]
-                columns[place] = pa.array(out, texts.type)
-                yield columns
+                yield batch.column(0)[i:j], pa.array(out, texts.type)
 
         return step
 
-    return map_batches(df, make, ddl)
+    return unpacked(map_batches(rows, make, rows.schema).select(F.col("row").withField(f"`{text}`", F.col("text")).alias("row")))

@@ -15,6 +15,8 @@ from chirrup.llm.common import map_batches, utf8
 from chirrup.session import materialize
 
 CHUNK = 1 << 20
+#: Bytes of an archive that one task reads, about.
+RUN = 64 << 20
 #: A task begins another archive when the present one has this many bytes.
 ARCHIVE = 512 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -79,7 +81,10 @@ def write_archives(df: DataFrame, path: str, least: int = 0, id: str = "page_id"
                 state.clear()
 
         def record(kind, key, refers, address, data):
-            digest = _base32(hashlib.sha1(data).digest())
+            running = hashlib.sha1()
+            for b in range(0, len(data), CHUNK):
+                running.update(data[b : b + CHUNK])
+            digest = _base32(running.digest())
             head = HEAD % len(data)
             lines = [
                 "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if key is None else key}>", f"WARC-Date: {DATE}",
@@ -132,6 +137,9 @@ def write_archives(df: DataFrame, path: str, least: int = 0, id: str = "page_id"
 def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
     """The records of all archives that `index` names, as a table of chunks.
 
+    The index is cut into runs of about RUN bytes of an archive, each read by a
+    task that seeks to it; records are compressed one by one.
+
     (record_id, page_id, record_type, refers_to, chunk, data, payload_bytes,
     payload_digest, last): chunk numbers count from 0, `payload_bytes` and
     `payload_digest` cover the payload up to and with the chunk, and the last
@@ -140,11 +148,15 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
     it states.  A payload that does not match its stated digest stops the job.
     Without `payload`, `data` is null.
     """
-    archives = index.select("archive").distinct()
-    archives = archives.repartition(max(1, min(archives.count(), 100_000)), "archive")
+    run = F.floor(F.col("offset") / RUN)
+    runs = index.groupBy("archive", run.alias("run")).agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"))
+    # Stored first and dealt row by row: an exchange by name that follows the grouping's would be taken for it, and its small rows put into one task.
+    runs = materialize(runs.select("archive", "start", "stop"))
+    runs = runs.repartition(max(1, min(runs.count(), 100_000)))
 
     def make():
         import gzip
+        import io
 
         def heads(file):
             found = {}
@@ -157,9 +169,25 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
             number = urn.strip("<>").rpartition(":")[2]
             return int(number) if number else None
 
-        def rows(archive):
+        class Part(io.RawIOBase):
+            """The bytes [start, stop) of an open file."""
+
+            def __init__(self, file, start, stop):
+                self.file, self.left = file, stop - start
+                file.seek(start)
+
+            def readable(self):
+                return True
+
+            def readinto(self, room):
+                data = self.file.read(min(len(room), self.left))
+                room[: len(data)] = data
+                self.left -= len(data)
+                return len(data)
+
+        def rows(archive, start, stop):
             system, place = _place(archive)
-            with system.open_input_stream(place, compression=None) as raw, gzip.GzipFile(fileobj=raw) as file:
+            with system.open_input_file(place) as whole, io.BufferedReader(Part(whole, start, stop), CHUNK) as raw, gzip.GzipFile(fileobj=raw) as file:
                 while first := file.readline():
                     if not first.strip():
                         continue
@@ -190,9 +218,9 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
                         number += 1
 
         def step(batch):
-            for archive in batch.column(0).to_pylist():
+            for where in zip(*(c.to_pylist() for c in batch.columns)):
                 held, size = [], 0
-                for row in rows(archive):
+                for row in rows(*where):
                     held.append(row)
                     size += 200 + len(row[5] or b"")
                     if size >= 8 * CHUNK:
@@ -204,5 +232,5 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
         return step
 
     return map_batches(
-        archives, make, "record_id string, page_id bigint, record_type string, refers_to bigint, chunk int, data binary, payload_bytes bigint, payload_digest string, last boolean"
+        runs, make, "record_id string, page_id bigint, record_type string, refers_to bigint, chunk int, data binary, payload_bytes bigint, payload_digest string, last boolean"
     )
