@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirrup.llm import bpe, mixing, secrets, simhash, toxicity
+from chirrup.llm.common import packed, unpacked
 from chirrup.session import materialize
 
 #: Training and iterative stages have no SQL.
@@ -15,7 +16,7 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the models, trained on these documents and the given labels, do not find toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return unpacked(toxicity.score(packed(docs, text=F.col("text")), model).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +25,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without an id are all kept, unless they copy one with an id.
     """
     groups = simhash.near_groups(simhash.fingerprints(docs))
-    leaders = materialize(groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+    leaders = materialize(groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows")))
     # Leaders grow with the documents, so both sides are shuffled at every size.
-    kept = docs.join(leaders.hint("merge"), docs["doc_id"].eqNullSafe(leaders["_kept"]))
-    if leaders.where("_rows > 1").isEmpty():
-        return kept.select(docs.columns)
-    single = kept.where("_rows = 1 or _kept is null").select(docs.columns)
-    return single.union(kept.where("_rows > 1 and _kept is not null").select(docs.columns).dropDuplicates(["doc_id"]))
+    kept = packed(docs, id=F.col("doc_id")).join(leaders.hint("merge"), F.col("id").eqNullSafe(F.col("kept")))
+    if leaders.where("rows > 1").isEmpty():
+        return unpacked(kept)
+    single = kept.where("rows = 1 or kept is null").select("row", "id")
+    return unpacked(single.union(kept.where("rows > 1 and kept is not null").select("row", "id").dropDuplicates(["id"])))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return out
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
