@@ -14,8 +14,13 @@ MARKS = SYMBOLS + "=_~^{}[]@+"
 SEPARATORS = "|»›•·"
 ENDS = (".", "!", "?", "…", ":", ";", "。", "！", "？")
 CLOSING = "\"'”’»)]"
-#: Characters of a short line, of a line that may be furniture, and the share of marks that is too much.
-SHORT, FURNITURE, MARKED = 30, 240, 0.1
+#: Characters of a short line, of a line that may be furniture, the share of marks that is too much, and words to a separator, below which links are listed.
+SHORT, FURNITURE, MARKED, LINKED = 30, 240, 0.1, 5
+#: A line of a program: an assignment, a call or brace at its end, or a word that begins a statement.
+CODE = (
+    r"[A-Za-z_][0-9A-Za-z_.\[\]]*[ \t]*(?:[-+*/%]|<<|>>)?=[ \t]*[^ \t=>]|[0-9A-Za-z_]\([^()]*\)[ \t]*[;{]?[ \t]*\z|[{};][ \t]*\z"
+    r"|\A[ \t]*(?:return|import|from|def|class|if|elif|else|for|while|try|except|with|let|const|var|public|private|static|void)[ \t(:].*[(:={;]"
+)
 #: Phrases of site furniture, lower case.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password",
@@ -79,7 +84,12 @@ def occurrences(text: Column, characters: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is furniture: navigation, mostly marks, a short line without an end mark, or short boilerplate."""
+    """Whether a line is furniture: navigation, mostly marks, a short line without an end mark, or short boilerplate.
+
+    Navigation has three separators or more and few words to each; « and » that
+    enclose a quotation separate nothing.  Lines of programs may be short and
+    bear marks, as long as letters outweigh those.
+    """
     bare = F.btrim(F.rtrim(F.btrim(line, F.lit(SPACES)), F.lit(CLOSING)), F.lit(SPACES))
     ended, boilerplate, lower = F.lit(False), F.lit(False), F.lower(line)
     for end in ENDS:
@@ -87,12 +97,11 @@ def line_fails(line: Column) -> Column:
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
     size = F.length(line)
-    return (
-        ((size < SHORT) & ~ended)
-        | (occurrences(line, SEPARATORS) >= 3)
-        | (occurrences(line, MARKS) > size * MARKED)
-        | ((size < FURNITURE) & boilerplate)
-    )
+    separators = occurrences(line, SEPARATORS) - F.least(occurrences(line, "«"), occurrences(line, "»"))
+    marks = occurrences(line, MARKS)
+    navigation = let(separators, lambda n: (n >= 3) & (F.regexp_count(line, F.lit(WORD)) < n * LINKED))
+    code = F.rlike(line, F.lit(CODE)) & (3 * marks < size)
+    return ((((size < SHORT) & ~ended) | (marks > size * MARKED)) & ~code) | navigation | ((size < FURNITURE) & boilerplate)
 
 
 def clean_lines(df: DataFrame, least_words: int = 50, repeated: float = 0.5, least_left: float = 0.5, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,7 +126,7 @@ def clean_lines(df: DataFrame, least_words: int = 50, repeated: float = 0.5, lea
         F.concat_ws("\n", F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x))).alias("cleaned"),
     )
     n, again = F.col("_w.n"), F.col("_w.repeats")
-    failed = (n < least_words) | (100 * again > int(100 * repeated) * n)
+    failed = (n < least_words) | (100 * again > round(100 * repeated) * n)
     return counts.select(
         id, n.alias("n_words"), F.col("_w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", again.alias("n_repeat_words"), failed.alias("base_failed"),
         (~failed & (F.length("cleaned") >= F.col("_size") * least_left)).alias("kept"), "cleaned",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,21 +124,52 @@ t AS (
 SELECT doc_id, size::BIGINT AS size, ss AS source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
+#: A line `x` of op9, as furniture or not.
+_MARKED = f"(length(x) - length(regexp_replace(x, '[{re.escape(quality.MARKS)}]', '', 'g')))"
+_SEPARATED = f"""(length(x) - length(regexp_replace(x, '[{quality.SEPARATORS}]', '', 'g'))
+  - least(length(x) - length(replace(x, '«', '')), length(x) - length(replace(x, '»', ''))))"""
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ENDED = f"""right(trim(rtrim(trim(x, {_SPACE}), '{quality.CLOSING.replace("'", "''")}'), {_SPACE}), 1) IN ({", ".join(f"'{e}'" for e in quality.ENDS)})"""
+_FURNITURE = f"""(((length(x) < {quality.SHORT} AND NOT {_ENDED}) OR {_MARKED} > length(x) * {quality.MARKED})
+    AND NOT (regexp_matches(x, '{quality.CODE}') AND 3 * {_MARKED} < length(x)))
+  OR ({_SEPARATED} >= 3 AND len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) < {quality.LINKED} * {_SEPARATED})
+  OR (length(x) < {quality.FURNITURE} AND ({" OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)}))"""
+
 _OP9 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
 ),
 g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
 n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 c AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words,
+    length(t) AS size, length(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '[^\\x20\\x09-\\x0D]') OR NOT ({_FURNITURE})), chr(10))) AS cleaned_size
   FROM d LEFT JOIN n USING (doc_id)
 )
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND cleaned_size >= 0.5 * size AS kept FROM c
+"""
+
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
 """
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality": _OP9, "op12_hard_negatives": _OP12}
+#: SQL for some columns of a query's rows, which the tests compare.
+PARTIAL: dict[str, str] = {"op7_mixing": _OP7}
