@@ -18,9 +18,10 @@ CLOSING = "\"'”’»)]"
 SHORT, FURNITURE, MARKED, LINKED = 30, 240, 0.1, 5
 #: A line of a program: an assignment, a call or brace at its end, or a word that begins a statement.
 CODE = (
-    r"[A-Za-z_][0-9A-Za-z_.\[\]]*[ \t]*(?:[-+*/%]|<<|>>)?=[ \t]*[^ \t=>]|[0-9A-Za-z_]\([^()]*\)[ \t]*[;{]?[ \t]*\z|[{};][ \t]*\z"
+    r"[A-Za-z_][0-9A-Za-z_.\[\]]*[ \t]*(?:[-+*/%]|<<|>>)?=[ \t]*[^ \t=>]|[0-9A-Za-z_]\([^()]*\)[ \t);,{]*\z|[{};][ \t]*\z"
     r"|\A[ \t]*(?:return|import|from|def|class|if|elif|else|for|while|try|except|with|let|const|var|public|private|static|void)[ \t(:].*[(:={;]"
 )
+BRACES = r"\A[ \t]*[{}()\[\];,]+[ \t]*\z"
 #: Phrases of site furniture, lower case.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password",
@@ -100,7 +101,7 @@ def line_fails(line: Column) -> Column:
     separators = occurrences(line, SEPARATORS) - F.least(occurrences(line, "«"), occurrences(line, "»"))
     marks = occurrences(line, MARKS)
     navigation = let(separators, lambda n: (n >= 3) & (F.regexp_count(line, F.lit(WORD)) < n * LINKED))
-    code = F.rlike(line, F.lit(CODE)) & (3 * marks < size)
+    code = (F.rlike(line, F.lit(CODE)) & (3 * marks < size)) | F.rlike(line, F.lit(BRACES))
     return ((((size < SHORT) & ~ended) | (marks > size * MARKED)) & ~code) | navigation | ((size < FURNITURE) & boilerplate)
 
 

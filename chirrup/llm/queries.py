@@ -131,7 +131,7 @@ _SEPARATED = f"""(length(x) - length(regexp_replace(x, '[{quality.SEPARATORS}]',
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ENDED = f"""right(trim(rtrim(trim(x, {_SPACE}), '{quality.CLOSING.replace("'", "''")}'), {_SPACE}), 1) IN ({", ".join(f"'{e}'" for e in quality.ENDS)})"""
 _FURNITURE = f"""(((length(x) < {quality.SHORT} AND NOT {_ENDED}) OR {_MARKED} > length(x) * {quality.MARKED})
-    AND NOT (regexp_matches(x, '{quality.CODE}') AND 3 * {_MARKED} < length(x)))
+    AND NOT ((regexp_matches(x, '{quality.CODE}') AND 3 * {_MARKED} < length(x)) OR regexp_matches(x, '{quality.BRACES}')))
   OR ({_SEPARATED} >= 3 AND len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) < {quality.LINKED} * {_SEPARATED})
   OR (length(x) < {quality.FURNITURE} AND ({" OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)}))"""
 

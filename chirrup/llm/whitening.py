@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from chirrup.llm.common import map_batches
 from chirrup.session import materialize
 
-#: Components at most, vectors iterated beside them, degree of the filter, steps that measure the spectrum.
-COMPONENTS, GUARD, DEGREE, PROBE = 16, 16, 12, 8
+#: Components at most, vectors iterated beside them, the filter's largest degree and growth, steps that measure the spectrum.
+COMPONENTS, GUARD, DEGREE, GROWTH, PROBE = 16, 16, 12, 1e10, 8
 #: A component is certified when its residual is at most this part of the largest eigenvalue.
 TOLERANCE = 1e-13
 #: Rounds of filter and Rayleigh-Ritz before a spectrum that does not settle is an error, and rounds that may bring no gain.
@@ -226,12 +226,17 @@ def _bounds(fit: Fit) -> tuple[float, float]:
 
 
 def _filtered(fit: Fit, q: np.ndarray, low: float, cut: float, high: float) -> np.ndarray:
-    """`q` under the scaled Chebyshev recurrence that damps eigenvalues in [low, cut] and lets those above grow."""
+    """`q` under the scaled Chebyshev recurrence that damps eigenvalues in [low, cut] and lets those above grow.
+
+    The degree is kept so low that the largest eigenvalue grows by GROWTH at
+    most: rounding in its direction must not drown a vector that hardly grows.
+    """
     centre, half = (cut + low) / 2, (cut - low) / 2
+    degree = max(2, min(DEGREE, int(math.acosh(GROWTH) / max(math.acosh(max((high - centre) / half, 1.0)), 1e-3))))
     scale = half / (high - centre)
     start, ahead = scale, q
     now = (fit.times(q) - centre * q) * (start / half)
-    for _ in range(2, DEGREE + 1):
+    for _ in range(2, degree + 1):
         following = 1 / (2 / start - scale)
         ahead, now = now, 2 * (following / half) * (fit.times(now) - centre * now) - (scale * following) * ahead
         scale = following
