@@ -38,8 +38,14 @@ def _marks(windows: DataFrame, ignored, threshold: float, consecutive: int, bloc
     recent = order.rowsBetween(1 - consecutive, 0)
     c = F.col("_c")
     steady = (F.count(c).over(recent) == consecutive) & (F.min(c).over(recent) == F.max(c).over(recent))
+    # A block's first window is known, and each other one follows its predecessor: a gap would pass for silence.
+    first = F.greatest(F.lit(0), F.col("_b") * size - borrowed)
+    due = F.coalesce(F.lag("window_index").over(order) + 1, first)
+    gap = F.raise_error(F.concat(F.lit("window_index has a gap or a repeat at "), F.col("window_index"), F.lit(" of recording "), F.col("recording_id")))
+    checked = F.when(F.col("window_index") == due, F.col("time_seconds")).otherwise(gap.cast("double"))
     rows = (
-        spread.withColumn("_before", F.lag("time_seconds").over(order))
+        spread.withColumn("time_seconds", checked)
+        .withColumn("_before", F.lag("time_seconds").over(order))
         .withColumn("_last", F.lag("_c").over(order))
         .withColumn("_ready", steady)
         .where("_b = _home")
@@ -95,7 +101,7 @@ def decode_events(
     is armed, and `cooldown` seconds have passed since it last emitted.  Emitting
     disarms it until it has been inactive for `release` seconds.
 
-    Windows carry window_index, counted from 0 without gaps per recording.
+    Windows carry window_index, counted from 0 without gaps per recording; a gap or a repeat stops the job.
 
     One recording may hold most windows, so nothing here needs a whole recording
     in one task.  A time block of a class maps the state it starts with to the

@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from chirrup.functions.ranges import Store
 
 ATTEMPTS, COMMITTED, DONE = "_attempts", "_committed.json", "_SUCCESS"
+#: Files that the driver moves itself.
+FEW = 500
 
 
 @dataclass
@@ -79,7 +81,7 @@ class FileWriter(DataSourceArrowWriter):
 
 
 def publish(spark, root: str) -> int:
-    """Move the committed attempts' files into place, in parallel, and mark the folder; gives their number.
+    """Move the committed attempts' files into place, many of them in parallel, and mark the folder; gives their number.
 
     May be repeated after a failure: a file that is gone from its attempt must
     be in place already.  Attempts that were not committed are deleted.
@@ -87,19 +89,25 @@ def publish(spark, root: str) -> int:
     store, root = Store(), root.rstrip("/")
     with store.open(f"{root}/{COMMITTED}") as f:
         attempts = json.loads(f.at(0, f.size))
-    if attempts:
-        rows = spark.createDataFrame([(a["folder"], a["files"]) for a in attempts], "folder string, files long").repartition(len(attempts), "folder")
-
-        def move(batches):
-            mine = Store()
-            for batch in batches:
-                for folder, files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    at = f"{root}/{ATTEMPTS}/{folder}"
-                    for name, _ in mine.files(at):
-                        mine.move(f"{at}/{name}", f"{root}/{name}")
-                yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
-
-        rows.mapInArrow(move, "files long").write.format("noop").mode("append").save()
+
+    def move(mine: Store, folder: str) -> None:
+        at = f"{root}/{ATTEMPTS}/{folder}"
+        for name, _ in mine.files(at):
+            mine.move(f"{at}/{name}", f"{root}/{name}")
+
+    def moved(batches):
+        mine = Store()
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                move(mine, folder)
+            yield pa.RecordBatch.from_pydict({"folders": pa.array([batch.num_rows], pa.int64())})
+
+    if sum(a["files"] for a in attempts) <= FEW:
+        for a in attempts:
+            move(store, a["folder"])
+    else:
+        rows = spark.createDataFrame([(a["folder"],) for a in attempts], "folder string").repartition(len(attempts))
+        rows.mapInArrow(moved, "folders long").write.format("noop").mode("append").save()
     with store.create(f"{root}/{DONE}") as out:
         out.write(b"")
     store.drop_folder(f"{root}/{ATTEMPTS}")

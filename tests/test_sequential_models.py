@@ -197,3 +197,12 @@ def test_overlapping_events_are_matched_in_many_tasks(spark):
     items = items.unionByName(de.select("recording_id", "label", F.col("time_seconds").alias("at"), F.lit(1).alias("kind"), F.col("detection_id").alias("id")), allowMissingColumns=True)
     parts = events._stretches(items.withColumn("_block", F.floor(F.col("at") / 100)), ["recording_id", "label"], ["at", "kind", "id"])
     assert parts.groupBy("stretch").count().agg(F.max("count"), F.count("*")).first()[:] == (2, n)
+
+
+def test_decoder_refuses_gaps(spark):
+    rows = [(1, i, i * 0.1, "a", 0.9) for i in range(40)]
+    df = spark.createDataFrame(rows, "recording_id bigint, window_index bigint, time_seconds double, predicted_label string, confidence double")
+    assert events.decode_events(df, block_windows=8).count() == 1
+    for bad in (df.where("window_index <> 17"), df.where("window_index <> 16"), df.where("window_index > 0"), df.where("window_index not between 8 and 15"), df.union(df.where("window_index = 9"))):
+        with pytest.raises(Exception, match="gap or a repeat"):
+            events.decode_events(bad, block_windows=8).count()
