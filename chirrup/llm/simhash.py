@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -14,8 +15,10 @@ from chirrup.llm.components import components
 from chirrup.session import materialize
 
 SEED = 42
-#: Fingerprints that one task searches, on average; the sample that the shards are cut by; rows compared all with all.
-SHARD, SAMPLE, LEAF = 16_384, 65_536, 96
+#: Fingerprints that one task searches, on average; the sample that shards are cut by at a time, and of it the points of a shard; rows compared all with all.
+SHARD, SAMPLE, POINTS, LEAF = 16_384, 65_536, 16, 96
+#: Shards that are cut at a time, at most; the rest wait for the next time.
+CROWDED = 1024
 
 
 def fingerprints(df: DataFrame, words: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,41 +136,83 @@ def _forest(points: np.ndarray, k: int) -> set[tuple[int, int]]:
     return links
 
 
+def _leaves(node):
+    return [node] if not isinstance(node, tuple) else _leaves(node[2]) + _leaves(node[3])
+
+
+def _shards(classes: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """((shard, f) rows, number of shards): fingerprints dealt so that any two that may link share a shard.
+
+    Trees are cut by samples, which decide only how even shards are: the first
+    by up to SAMPLE points over all; then, as long as shards hold more than
+    twice SHARD, one for each of them, so their size does not grow with the
+    table.  A shard that no tree makes smaller stays, and is searched in
+    bounded memory.  Each cut repeats the rows within `bits` of its boundary:
+    random fingerprints are doubled after about four.
+    """
+    spark = classes.sparkSession
+    rows = classes.select(F.lit(0).cast("bigint").alias("shard"), F.col("_f").alias("f"))
+    n = rows.count()
+    crowded, number, whole, parent = [(0, n)] if n > SHARD else [], itertools.count(1), set(), {}
+    while crowded:
+        leaves = {s: max(2, min(math.ceil(c / SHARD), SAMPLE // len(crowded) // POINTS)) for s, c in crowded}
+        every = {s: max(1, c // (leaves[s] * POINTS)) for s, c in crowded}
+        step = F.create_map(*[F.lit(x).cast("bigint") for pair in every.items() for x in pair])
+        chosen = rows.where(F.col("shard").isin(list(every))).where(F.pmod(F.xxhash64("f", "shard"), step[F.col("shard")]) == 0)
+        points: dict[int, list] = {}
+        for r in chosen.collect():
+            points.setdefault(r.shard, []).append(r.f)
+        trees = {}
+        for s, c in crowded:
+            tree = _tree(np.array(sorted(points.get(s, [])), np.int64).view(np.uint64), leaves[s], bits, number)
+            if isinstance(tree, tuple):
+                trees[s] = tree
+                parent |= dict.fromkeys(_leaves(tree), c)
+            else:
+                whole.add(s)
+        sent = spark.sparkContext.broadcast(trees)
+
+        def route(sent=sent):
+            def deal(batch):
+                shard, held = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+                for s in np.unique(shard):
+                    mine = np.flatnonzero(shard == s)
+                    for leaf, at in _route(sent.value.get(int(s), int(s)), held, mine, bits):
+                        yield pa.array(np.full(len(at), leaf, np.int64)), pa.array(held[at].view(np.int64))
+
+            return deal
+
+        rows = materialize(map_batches(rows, route, "shard bigint, f bigint"))
+        full = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD)
+        full = full.where(~F.col("shard").isin(list(whole))) if whole else full
+        found = full.orderBy(F.desc("n"), "shard").limit(CROWDED).collect()
+        whole |= {r.shard for r in found if r.n > 0.9 * parent.get(r.shard, n)}
+        crowded = [(r.shard, r.n) for r in found if r.shard not in whole]
+    return rows, rows.select("shard").distinct().count()
+
+
 def near_groups(marks: DataFrame, bits: int = 2, id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
     """The rows of `marks` (id, fingerprint) and component_id: the smallest id reachable over links.
 
     Fingerprints link if they differ in `bits` bits or fewer.  Equal ones are
-    one class from the start.  The classes are cut into shards by a
-    vantage-point tree over a sample of at most SAMPLE of them (which decides
-    only how even the shards are); rows near a boundary go to both sides, so no
-    pair is lost.  Each shard searches its own vantage-point tree and reports a
+    one class from the start.  The classes are cut into shards by
+    vantage-point trees (`_shards`); rows near a boundary go to both sides, so
+    no pair is lost.  Each shard searches its own vantage-point tree and reports a
     forest, never all pairs of a group.  Null ids stay rows but name no group,
     unless nothing else is in it.  An empty table gives an empty one.
     """
-    spark = marks.sparkSession
     marks = materialize(marks.select(F.col(id), F.col(fingerprint).alias("_f")))
     classes = materialize(marks.groupBy("_f").agg(F.min(id).alias("_least")))
-    n = classes.count()
-    leaves = min(math.ceil(n / SHARD), SAMPLE // 16)
-    sample = classes.select("_f").orderBy(F.xxhash64("_f"), "_f").limit(min(SAMPLE, max(1, leaves) * 16)) if leaves > 1 else None
-    points = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64) if sample is not None else np.zeros(0, np.uint64)
-    tree = spark.sparkContext.broadcast(_tree(points, leaves, bits))
-
-    def route():
-        def step(batch):
-            held = np.asarray(batch.column(0)).view(np.uint64)
-            for shard, rows in _route(tree.value, held, np.arange(len(held)), bits):
-                yield pa.array(np.full(len(rows), shard, np.int64)), pa.array(held[rows].view(np.int64))
-
-        return step
+    routed, shards = _shards(classes, bits)
 
     def search(shard):
         held = np.unique(shard.column("f").to_numpy().view(np.uint64))
         links = np.array(sorted(_forest(held, bits)), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    routed = map_batches(classes.select("_f"), route, "shard bigint, f bigint")
-    links = routed.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    # A count of their own, or few bytes would put many shards' searches into one task.
+    tasks = max(2 * marks.sparkSession.sparkContext.defaultParallelism, min(shards, 20_000))
+    links = routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
     parts = components(links)
     rooted = classes.join(parts, classes["_f"] == parts["node"], "left").select("_f", "_least", F.coalesce("component", "_f").alias("_root"))
     rooted = materialize(rooted)

@@ -184,7 +184,10 @@ def test_simhash_groups_equal_all_pairs(spark, texts, empty, monkeypatch):
         if near == root:
             break
         root = near
-    assert {r.doc_id: r.component_id for r in simhash.near_groups(marks).collect()} == dict(enumerate(root))
+    for sample, crowded in ((65_536, 1024), (64, 1024), (200, 2)):  # few points: shards are cut again and again
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        assert {r.doc_id: r.component_id for r in simhash.near_groups(marks).collect()} == dict(enumerate(root))
     assert simhash.near_groups(simhash.fingerprints(empty)).count() == 0
 
 
