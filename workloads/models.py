@@ -19,8 +19,8 @@ def fit_classifier(spark, sf_dir):
     """Fit on the training clips, watch the validation clips, judge on the test clips.
 
     What can be said beforehand: how many clips of each class are judged, that
-    the first and best epochs are in the history, and that the fit beats always naming the
-    commonest class on the clips that it learned from.
+    the history ends where it should and has the best epoch, and that the last epoch
+    beats always naming the commonest class on the clips that it learned from.
     """
     clips = v.clips(spark, sf_dir).withColumn("record_index", F.col("clip_id")).withColumn("path", F.lit("clip"))
     draw = unit(F.col("clip_id"), "split")
@@ -31,8 +31,9 @@ def fit_classifier(spark, sf_dir):
     best = best_epoch_early_stop(history, PATIENCE).select(
         "best_epoch", (F.col("last_epoch") <= EPOCHS).alias("ended"), (F.col("stopped_early") | (F.col("last_epoch") == EPOCHS)).alias("whole")
     )
-    learned = history.join(best, F.col("epoch") == F.col("best_epoch")).select("train_accuracy", F.col("ended") & F.col("whole"))
-    accuracy, whole = learned.first()
+    accuracy = history.agg(F.max_by("train_accuracy", "epoch")).first()[0]
+    named = history.join(best, F.col("epoch") == F.col("best_epoch")).select(F.col("ended") & F.col("whole")).collect()
+    whole = len(named) == 1 and named[0][0]
     commonest = train.groupBy("label_id").agg(F.count("*").alias("n")).agg(F.max("n") / F.sum("n")).first()[0]
     predicted = metrics.predictions(scoring.score_clips(test, scorer, k), labels)
     classes, _ = metrics.classification_metrics(metrics.confusion_matrix(predicted, labels), labels)
