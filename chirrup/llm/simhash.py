@@ -17,8 +17,8 @@ from chirrup.session import materialize
 SEED = 42
 #: Fingerprints that one task searches, on average; the sample that shards are cut by at a time, and of it the points of a shard; rows compared all with all.
 SHARD, SAMPLE, POINTS, LEAF = 16_384, 65_536, 16, 96
-#: Shards that are cut at a time, at most; the rest wait for the next time.
-CROWDED = 1024
+#: Shards that are cut at a time, at most, while the rest wait for the next time; and how many times SHARD a shard may hold.
+CROWDED, FULL = 1024, 4
 
 
 def fingerprints(df: DataFrame, words: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,7 +145,7 @@ def _shards(classes: DataFrame, bits: int) -> tuple[DataFrame, int]:
 
     Trees are cut by samples, which decide only how even shards are: the first
     by up to SAMPLE points over all; then, as long as shards hold more than
-    twice SHARD, one for each of them, so their size does not grow with the
+    FULL times SHARD, one for each of them, so their size does not grow with the
     table.  A shard that no tree makes smaller stays, and is searched in
     bounded memory.  Each cut repeats the rows within `bits` of its boundary:
     random fingerprints are doubled after about four.
@@ -182,8 +182,9 @@ def _shards(classes: DataFrame, bits: int) -> tuple[DataFrame, int]:
 
             return deal
 
-        rows = materialize(map_batches(rows, route, "shard bigint, f bigint"))
-        full = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD)
+        cut = F.col("shard").isin(list(every))
+        rows = materialize(rows.where(~cut).union(map_batches(rows.where(cut), route, "shard bigint, f bigint")))
+        full = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > FULL * SHARD)
         full = full.where(~F.col("shard").isin(list(whole))) if whole else full
         found = full.orderBy(F.desc("n"), "shard").limit(CROWDED).collect()
         whole |= {r.shard for r in found if r.n > 0.9 * parent.get(r.shard, n)}
