@@ -159,10 +159,12 @@ def apply_mix(df: DataFrame, mixed: DataFrame, id: str = "doc_id", text: str = "
     Rows that share id, source and size share their copies evenly.
     """
     keys = {"mid": id, "msource": source, "msize": "size"}
-    sums = mixed.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    sums = materialize(mixed.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
     rows = packed(df, id=F.col(id), source=F.col(source), size=word_count(F.col(text)), mark=F.xxhash64(text))
     # One row per document meets the documents: both sides are shuffled at every size.
     found = rows.join(sums.hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & F.col("source").eqNullSafe(F.col("msource")) & (F.col("size") == F.col("msize")))
+    if sums.where("rows > 1").isEmpty():
+        return unpacked(found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
     single = found.where("rows = 1").withColumn("c", F.col("copies"))
     nth = F.row_number().over(W.partitionBy("mid", "msource", "msize").orderBy("mark"))
     shared = found.where("rows > 1").withColumn("c", F.floor(nth * F.col("copies") / F.col("rows")) - F.floor((nth - 1) * F.col("copies") / F.col("rows")))
