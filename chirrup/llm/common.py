@@ -96,6 +96,13 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

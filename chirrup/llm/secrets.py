@@ -7,7 +7,6 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chirrup.llm.common import byte_sizes, kept_by_worker, map_batches, packed, slices, unpacked, utf8
 
@@ -350,13 +349,14 @@ def redact(df: DataFrame, rules=RULES, text: str = "text", mark: str = "[SECRET]
 
     Null stays null, and a text without secrets stays as it is.
     """
-    rows = packed(df, text=F.col(f"`{text}`"))
+    rows, place = packed(df), df.columns.index(text)
 
     def make():
         scan = _scan(rules)
 
         def step(batch):
-            texts = batch.column(1)
+            held = batch.column(0)
+            texts = held.field(place)
             sizes = byte_sizes(texts)
             for i, j in slices(sizes, 8 << 20):
                 part, out = texts[i:j], []
@@ -367,8 +367,9 @@ def redact(df: DataFrame, rules=RULES, text: str = "text", mark: str = "[SECRET]
                             pieces += [data[last:b], mark.encode()]
                         last = max(last, e)
                     out.append((b"".join(pieces) + data[last:]).decode() if part[k].is_valid else None)
-                yield batch.column(0)[i:j], pa.array(out, texts.type)
+                cells = [pa.array(out, texts.type) if k == place else held.field(k)[i:j] for k in range(held.type.num_fields)]
+                yield (pa.StructArray.from_arrays(cells, fields=list(held.type)),)
 
         return step
 
-    return unpacked(map_batches(rows, make, rows.schema).select(F.col("row").withField(f"`{text}`", F.col("text")).alias("row")))
+    return unpacked(map_batches(rows, make, rows.schema))
