@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirrup.llm import bpe, mixing, secrets, simhash, toxicity
-from chirrup.llm.common import packed, unpacked
+from chirrup.llm.common import packed, unpacked, unused
 from chirrup.session import materialize
 
 #: Training and iterative stages have no SQL.
@@ -16,7 +16,8 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the models, trained on these documents and the given labels, do not find toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return unpacked(toxicity.score(packed(docs, text=F.col("text")), model).where("predicted = 0"))
+    score, predicted = unused(docs, "score"), unused(docs, "predicted")
+    return toxicity.score(docs, model, score=score, predicted=predicted).where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
