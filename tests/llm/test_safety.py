@@ -102,3 +102,49 @@ def test_toxicity_of_repeated_rows_and_clashing_columns(spark, folder):
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(docs.collect()) and len({r.score for r in got if r.doc_id == 2}) == 1
+
+
+def test_near_duplicates_of_nothing_repeats_and_clashing_columns(spark):
+    import numpy as np
+
+    from chirrup.llm import nn_descent
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3000 if i == 7 else 12).tolist(), i % 2) for i in range(40)]
+    rows += [(50, rows[4][1], 0), (51, rows[4][1], 1), rows[6], rows[6], (None, rows[4][1], 0), (60, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as node", "'u' as unit", "2 as dim", "3 as component_id", "true as kept")
+    got = {}
+    for r in nn_descent.near_duplicates(df).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    assert sum(map(len, got.values())) == len(rows)
+    assert got[4] == [(1, 4, True)] and got[50] == [(1, 4, False)] and got[51] == [(0, 51, True)] and got[7] == [(0, 7, True)]
+    assert nn_descent.near_duplicates(df.where("false")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of over a million characters, beside short ones, through the operators that go over texts."""
+    import base64
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from chirrup.llm import bpe, repeats, simhash, token_counts
+
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghij      \n") for _ in range(400_000)) + "x" * 300_000 + "é" * 100_000 + " end" * 50_000
+    rows = [(1, "short text"), (2, long), (3, long[5000:9000]), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.encode(docs, path, P.PATTERN, decoded="back").collect()}
+    for i, t in rows:
+        assert got[i].n_tokens == len(library.encode_ordinary(t)) and bytes(got[i].back) == t.encode()
+    cut = {r.doc_id: r for r in repeats.remove_repeats(docs.where("doc_id is not null")).collect()}
+    assert cut[3].n_removed == len(rows[2][1].encode()) and cut[2].n_bytes == len(long.encode()) and cut[2].n_removed > 500_000
+    assert hashlib.sha256(bytes(cut[1].kept)).hexdigest() == hashlib.sha256(b"short text").hexdigest()
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"), words_apart=False).collect()}
+    assert len(counts) == 4 and counts[2] > 100_000
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(simhash.fingerprints(docs)).collect()}
+    assert groups == {1: 1, 2: 2, 3: 3, None: None}
