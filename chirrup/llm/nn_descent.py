@@ -238,18 +238,20 @@ def _join_round(lists: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
 def _audit(edges: DataFrame, nodes: DataFrame, theta: float) -> float | None:
     """Share of the pairs within reach of some nodes, found by comparing these with all, that the graph has.
 
-    Four times as many nodes are asked until SEEN true pairs are found or all
-    nodes were asked, which is exact.  None if COMPARED comparisons or SENT bytes
-    of vectors do not show that many: then the audit tells nothing.
+    More nodes are asked, as many as the pairs seen so far call for, until SEEN
+    true pairs are found or all nodes were asked, which is exact.  None if
+    COMPARED comparisons or SENT bytes of vectors do not show that many: then
+    the audit tells nothing, and would not after another round.
     """
     (n, wide), asked = nodes.agg(F.count("*"), F.max("dim")).first(), AUDIT
+    most = max(AUDIT, min(COMPARED // max(n, 1), SENT // (8 * max(wide or 1, 1))))
     while True:
         true, found = _asked(edges, nodes, theta, asked)
         if true >= SEEN or asked >= n:
             return found / true if true else 1.0
-        if 4 * asked * n > COMPARED or 4 * asked * 8 * wide > SENT:
+        if asked >= most:
             return None
-        asked *= 4
+        asked = min(most, n, max(4 * asked, 2 * asked * SEEN // true) if true else most)
 
 
 def _asked(edges: DataFrame, nodes: DataFrame, theta: float, n: int) -> tuple[int, int]:
@@ -314,14 +316,14 @@ def neighbour_graph(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
 
     lists = materialize(_lists(blocks(0), nodes, theta))
     needed = math.ceil(_tables_needed(nodes, theta) / TABLES)
-    k = 0
+    k, recall = 0, 0.0
     while True:
         more = _join_round(lists, nodes, theta)
         if k:
             more = more.union(blocks(k))
         both = lists.select("node", "other", "cos").union(more).union(more.select("other", "node", "cos"))
         lists = materialize(_lists(both, nodes, theta))
-        recall = _audit(lists.where("reach"), nodes, theta)
+        recall = _audit(lists.where("reach"), nodes, theta) if recall is not None else None
         k += 1
         if recall is None and k >= needed or recall is not None and recall >= RECALL:
             return lists.where("reach"), recall
@@ -330,7 +332,7 @@ def neighbour_graph(nodes: DataFrame, theta: float) -> tuple[DataFrame, float]:
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(id, n_links, component_id, kept): one row per row of `df`.
+    """(id, n_links, component_id, kept, audited_recall): one row per row of `df`.
 
     Vectors of equal, non-null labels link if their cosine in double precision
     is `threshold` or more.  Vectors that are null, zero, or hold null or
@@ -339,7 +341,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id: str = "vec_id",
     graph is built over the balls' leaders; balls whose leaders are close enough
     for every pair are linked whole, those too close to tell are compared member
     by member in blocks, and only counts leave a block.  A graph whose audited
-    recall stays low is an error, not a result.  Ids are unique but for
+    recall stays low is an error, not a result; `audited_recall` is the share of
+    the asked leaders' pairs that the graph has, null where links are too rare to tell.  Ids are unique but for
     repeated rows; a null id links with nothing.  An empty table gives an empty one.
     """
     theta = math.acos(threshold)
@@ -353,7 +356,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id: str = "vec_id",
         F.max("angle").alias("radius"), F.count("*").alias("members"), F.sum("copies").alias("rows")
     )
     leaders = materialize(nodes.drop("copies").join(sizes, "node"))
-    graph, _ = neighbour_graph(leaders, theta)
+    graph, recall = neighbour_graph(leaders, theta)
     about = leaders.select("node", "radius", "members", "rows")
     pairs = graph.where("node < other").join(about, "node")
     pairs = pairs.join(about.select(*[F.col(c).alias({"node": "other"}.get(c, f"o_{c}")) for c in about.columns]), "other")
@@ -405,5 +408,6 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id: str = "vec_id",
     out = df.join(named, F.col(id) == F.col("node"), "left")
     component = F.coalesce("component_id", F.col(id))
     return out.select(
-        F.col(id).cast(ids).alias(id), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(id), F.lit(True)).alias("kept")
+        F.col(id).cast(ids).alias(id), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(id), F.lit(True)).alias("kept"),
+        F.lit(recall).cast("double").alias("audited_recall"),
     )
