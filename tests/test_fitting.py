@@ -57,3 +57,13 @@ def test_fit_refuses(spark):
         fitting.fit_epochs(rows.union(rows.select("id", F.slice("features", 1, 2), "label_id")), rows, settings)
     with pytest.raises(ValueError):
         fitting.Settings(1)
+
+
+def test_spark_ml_model_scores(spark):
+    labels = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "label string, label_id bigint")
+    names = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("label_id") + 1).cast("int"))
+    rows = clouds(spark, 200, 5).select("*", names.alias("label"), F.lit("x").alias("path"), F.monotonically_increasing_id().alias("record_index"))
+    model, history = scoring.fit_monitored(rows, rows, labels, regs=(1.0, 1e-2), max_iter=15)
+    assert [r.epoch for r in history.orderBy("epoch").collect()] == [1, 2]
+    scored = scoring.score_with(model, rows).select("label_id", "scores").collect()
+    assert np.mean([int(np.argmax(r.scores)) == r.label_id for r in scored]) > 0.8
