@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chirrup.llm import bpe, components, mixing, nn_descent, quality, repeats, secrets, simhash, token_counts, toxicity, warc
@@ -323,6 +324,80 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.train(empty, marks).weights
 
 
+def _kneser_ney(texts, labels):
+    """The interpolated models by their definition: P(word | class) and P(word | context, class)."""
+    pairs = [Counter(), Counter()]
+    for words, label in zip(texts, labels):
+        pairs[label].update(zip(["<s>", *words], [*words, "</s>"]) if words else ())
+    discount = lambda counts: (lambda one, two: one / (one + 2 * two) if one and two else 0.5)(*(list(counts.values()).count(k) for k in (1, 2)))
+    contexts = [Counter(w for _, w in p) for p in pairs]
+    both = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    d2, d1, d0 = [discount(p) for p in pairs], [discount(c) for c in contexts], discount(both)
+
+    def shared(w):
+        return (max(both[w] - d0, 0) + d0 * len(both) / (len(both) + 1)) / sum(both.values())
+
+    def alone(c, w):
+        total = sum(contexts[c].values())
+        return (max(contexts[c][w] - d1[c], 0) + d1[c] * len(contexts[c]) * shared(w)) / total
+
+    def after(c, v, w):
+        follow = [n for (x, _), n in pairs[c].items() if x == v]
+        return (max(pairs[c][v, w] - d2[c], 0) + d2[c] * len(follow) * alone(c, w)) / sum(follow) if follow else alone(c, w)
+
+    return alone, after
+
+
+def test_toxicity_equals_kneser_ney_by_its_definition(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    texts = [[rng.choice(words[: 60 if i % 3 else 25]) for _ in range(rng.randint(0, 30))] for i in range(80)]
+    labels = [int(i % 3 == 0) for i in range(80)]
+    alone, after = _kneser_ney(texts, labels)
+    rows = spark.createDataFrame([(" 7, ".join(t), c) for t, c in zip(texts, labels)], "text string, toxic int")
+    monkeypatch.setattr(toxicity, "AT_ONCE", 100)
+    monkeypatch.setattr(toxicity, "SHARD", 64)
+    model = toxicity.fit_models(rows)
+    assert model.shards > 4
+    asked = [*texts[:20], ["new", words[0], words[1], "new"], [words[3]] * 300, []]
+    docs = spark.createDataFrame([(i, None if not t else " ".join(t).upper()) for i, t in enumerate(asked)], "i long, text string")
+    sums = toxicity._sums(docs, "text", model, np.eye(4)).collect()
+    keys = {(r.one, r.two): r.i for r in docs.select("i", *toxicity._text_keys("text")).collect()}
+    got = {keys[r.one, r.two]: r for r in sums}
+    ratio = lambda f, *x: float(np.log(f(1, *x) / f(0, *x)))
+    for i, t in enumerate(asked):
+        if not t or i not in got:
+            continue
+        places = [(ratio(alone, w), ratio(after, v, w)) for v, w in zip(["<s>", *t], [*t, "</s>"])]
+        first, second = np.array([a for a, _ in places]), np.array([b - a for a, b in places])
+        want = [first.sum(), np.maximum(first - toxicity.TELLING, 0).sum(), second.sum(), np.maximum(second - toxicity.TELLING, 0).sum()]
+        np.testing.assert_allclose(got[i].sums, want, atol=len(places) * 2**-22)
+        assert got[i].words == len(t)
+    gaps = {(r.context, r.word): r.gap for r in model.table.collect()}
+    hashed = {w: h for w, h in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect()}
+    seen = {(v, w) for t in texts for v, w in zip(t, t[1:])}
+    for v, w in seen:
+        assert abs(gaps[hashed[v], hashed[w]] - ratio(after, v, w) + ratio(alone, w)) < 1e-9 and abs(gaps[None, hashed[w]] - ratio(alone, w)) < 1e-9
+
+
+def test_toxicity_of_phrases_of_ordinary_words(spark):
+    """Classes that only the order of two words tells apart."""
+    import zlib
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(58)] + ["alpha", "omega"]
+    rows = []
+    for i in range(1200):
+        text = [rng.choice(words) for _ in range(60)]
+        for at in range(3, 60, 15):
+            text[at : at + 2] = ["alpha", "omega"] if i % 6 == 0 else ["omega", "alpha"]
+        rows.append((i, " ".join(text), int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs.drop("toxic"), toxicity.train(docs, docs.select("doc_id", "toxic"))).collect()}
+    held = [(got[i], label) for i, _, label in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([p == label for p, label in held]) > 0.95 and np.mean([p for p, label in held if label]) > 0.95
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
