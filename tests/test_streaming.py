@@ -50,6 +50,58 @@ def test_lates_of_a_silent_recording_are_put_out(spark, tmp_path):
     assert sorted((r.window_index, r.late, r.label) for r in got) == [(i, True, None) for i in (0, 1, 2, 3, 7)]
 
 
+def test_stream_decoder_keeps_states_by_bucket(spark, tmp_path):
+    """Many recordings, one of them null, need no more states than buckets times classes."""
+    rng = random.Random(9)
+    rows = [(None if rec == 7 else 2**60 + rec, i, i * 0.1, rng.choice("aab"), round(rng.random(), 2)) for rec in range(60) for i in range(20)]
+    df = spark.createDataFrame(rows, "recording_id bigint, window_index bigint, time_seconds double, predicted_label string, confidence double")
+    source, sink, marks = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for part in (df.where("window_index < 9"), df.where("window_index >= 9")):
+        part.write.mode("append").parquet(source)
+        out = detector.stream_decode_events(spark.readStream.schema(df.schema).parquet(source), ["a", "b"], 0.2, 2, 0.2, 0.3, buckets=4)
+        q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert 0 < q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 4 * 2
+    got = spark.read.schema(out.schema).parquet(sink)
+    assert got.schema["recording_id"].dataType == df.schema["recording_id"].dataType and got.where("late").isEmpty()
+    want = events.decode_events(df.na.fill(-1, ["recording_id"]), (), 0.2, 2, 0.2, 0.3)
+    key = lambda r: (-1 if r.recording_id is None else r.recording_id, r.window_index, r.label)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and want.count() > 60
+
+
+def test_stream_decoder_gives_up_idle_recordings_of_a_busy_bucket():
+    import pandas as pd
+
+    class State:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    state, decoder = State(), detector._Decoder(2, 0.3, 1.0, 1000)
+    decoder.init(state)
+
+    def step(now, *recordings):
+        state.now = now
+        frame = pd.DataFrame({"recording": recordings, "time_seconds": 5.0, "window_index": 5, "hit": True, "confidence": 0.5, "reports": True})
+        out = pd.concat(decoder.handleInputRows((0, "a"), iter([frame]), state))
+        return sorted(out["recording_id"][out["late"].astype(bool)])
+
+    assert step(0, "x", "y") == [] and step(900, "y") == ["y"] and step(1500, "x", "y") == ["y"]
+
+
 def test_stream_windows_equal_batch(spark, tmp_path):
     rows = [(rec, at, [float(rec * 1000 + at + i) for i in range(min(4, 11 - at))]) for rec in range(3) for at in range(0, 11, 4)]
     df = spark.createDataFrame(rows, "recording_id bigint, start_frame bigint, samples array<float>")
