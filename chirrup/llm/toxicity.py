@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chirrup.llm.common import map_batches, packed
+from chirrup.llm.common import map_batches, packed, small_batches
 from chirrup.session import materialize
 
 #: What stands before the first and after the last word of a text, among the words' hashes.
@@ -24,7 +24,7 @@ CALIBRATION = 20_000
 BROADCAST_ROWS = 1_000_000
 FOLDS, HELD_OUT, CALIBRATING = 5, 0, 4
 #: Words that a task counts or asks for at a time, n-grams of the models that it deals out at a time, and those of a shard on average.
-AT_ONCE, OFFERED, SHARD = 3 << 19, 1 << 19, 1 << 17
+AT_ONCE, OFFERED, SHARD = 1 << 19, 1 << 18, 1 << 17
 #: Weights are whole multiples of this, so sums are exact in any order.
 UNIT = 2.0**-24
 
@@ -145,7 +145,8 @@ def fit_models(labelled: DataFrame, text: str = "text", label: str = "toxic") ->
     is tables and joins; only sums of the tables reach the driver.
     """
     classes = ("ordinary", "toxic")
-    pairs = materialize(count_pairs(labelled, text, label))
+    with small_batches(labelled.sparkSession):
+        pairs = materialize(count_pairs(labelled, text, label))
     found = pairs.groupBy("word").agg(*(F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in classes), F.count("*").alias("k"))
     found = materialize(found)
     of_pairs, of_words = _spectrum(pairs, *classes), _spectrum(found, "k_ordinary", "k_toxic", "k")
@@ -425,7 +426,8 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     sample = calibrating.join(ids, "_id", "left_semi")
     marked = sample.groupBy(*_text_keys("_text")).agg(F.count("*").alias("n"), F.sum("_label").alias("toxic"))
     sums = _sums(sample, "_text", model, np.eye(4)).dropDuplicates(["one", "two"])
-    found = sums.join(marked, ["one", "two"]).where("words > 0").orderBy("one", "two").limit(2 * CALIBRATION).toPandas()
+    with small_batches(df.sparkSession):
+        found = sums.join(marked, ["one", "two"]).where("words > 0").orderBy("one", "two").limit(2 * CALIBRATION).toPandas()
     n, toxic = found["n"].to_numpy(float), found["toxic"].to_numpy(float)
     if 0 < toxic.sum() < n.sum():
         x = np.stack(found["sums"]) / np.sqrt(found["words"].to_numpy(float) + 1)[:, None]
@@ -444,7 +446,8 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score",
     """
     sums = _sums(df, text, model, np.array([model.weights[1:]])).dropDuplicates(["one", "two"])
     line = model.weights[0] + F.col("sums")[0] / F.sqrt(F.col("words") + 1)
-    found = materialize(sums.select("one", "two", F.when(F.col("words") > 0, 1 / (1 + F.exp(-line))).otherwise(model.prior).alias("value")))
+    with small_batches(df.sparkSession):
+        found = materialize(sums.select("one", "two", F.when(F.col("words") > 0, 1 / (1 + F.exp(-line))).otherwise(model.prior).alias("value")))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     one, two = _text_keys(text)
