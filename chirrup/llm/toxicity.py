@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirrup.llm.common import map_batches, packed, small_batches
-from chirrup.session import materialize
+from chirrup.session import discard, fresh_path, materialize, shuffles_freed
 
 #: What stands before the first and after the last word of a text, among the words' hashes.
 BEGIN, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -25,6 +26,8 @@ BROADCAST_ROWS = 1_000_000
 FOLDS, HELD_OUT, CALIBRATING = 5, 0, 4
 #: Words that a task counts or asks for at a time, n-grams of the models that it deals out at a time, and those of a shard on average.
 AT_ONCE, OFFERED, SHARD = 1 << 19, 1 << 18, 1 << 17
+#: Parts in which texts are scored, one after the other: what one shuffles is gone before the next begins.
+SLICES = 4
 #: Weights are whole multiples of this, so sums are exact in any order.
 UNIT = 2.0**-24
 
@@ -144,9 +147,15 @@ def fit_models(labelled: DataFrame, text: str = "text", label: str = "toxic") ->
     its discount from the n-grams that were counted once and twice.  All of it
     is tables and joins; only sums of the tables reach the driver.
     """
+    with shuffles_freed(labelled.sparkSession):
+        return _fit(labelled, text, label)
+
+
+def _fit(labelled: DataFrame, text: str, label: str) -> Model:
     classes = ("ordinary", "toxic")
+    counted = fresh_path(labelled.sparkSession, "stored")
     with small_batches(labelled.sparkSession):
-        pairs = materialize(count_pairs(labelled, text, label))
+        pairs = materialize(count_pairs(labelled, text, label), counted)
     found = pairs.groupBy("word").agg(*(F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in classes), F.count("*").alias("k"))
     found = materialize(found)
     of_pairs, of_words = _spectrum(pairs, *classes), _spectrum(found, "k_ordinary", "k_toxic", "k")
@@ -178,6 +187,7 @@ def fit_models(labelled: DataFrame, text: str = "text", label: str = "toxic") ->
     alone = words.select("word", gap.alias("gap")).join(contexts, "word", "full_outer")
     alone = alone.select(F.lit(None).cast("bigint").alias("context"), "word", F.coalesce("gap", F.lit(unseen)).alias("gap"), F.coalesce("base", F.lit(0.0)).alias("base"))
     table = materialize(in_pairs.unionByName(alone))
+    discard(labelled.sparkSession, counted)
     return Model(table, unseen, 1 << max(0, math.ceil(math.log2(max(1, table.count()) / SHARD))))
 
 
@@ -415,6 +425,11 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     all other rows of folds 1 to 4 are counted.  Null labels are none; of
     several labels of an id the highest counts.
     """
+    with shuffles_freed(df.sparkSession):
+        return _train(df, labels, id, text, label)
+
+
+def _train(df: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> Model:
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg((F.max(label) > 0).cast("int").alias("_label"))
     known = known.where(fold(F.col("_id")) != HELD_OUT)
     if labels.count() <= BROADCAST_ROWS:
@@ -442,15 +457,22 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score",
 
     A text without words, or null, has the score of no evidence: the share of
     toxic texts.  Equal texts get equal scores.  Columns of those two names are
-    replaced.
+    replaced.  `df` is read SLICES times for its texts, each time for those
+    whose hash falls into a slice, and once for its rows.
     """
-    sums = _sums(df, text, model, np.array([model.weights[1:]])).dropDuplicates(["one", "two"])
+    one, two = _text_keys(text)
     line = model.weights[0] + F.col("sums")[0] / F.sqrt(F.col("words") + 1)
-    with small_batches(df.sparkSession):
-        found = materialize(sums.select("one", "two", F.when(F.col("words") > 0, 1 / (1 + F.exp(-line))).otherwise(model.prior).alias("value")))
-    if found.count() <= BROADCAST_ROWS:
+    value = F.when(F.col("words") > 0, 1 / (1 + F.exp(-line))).otherwise(model.prior).alias("value")
+
+    def found_in(part: int) -> DataFrame:
+        sums = _sums(df.where(F.pmod(one, F.lit(SLICES)) == part), text, model, np.array([model.weights[1:]])).dropDuplicates(["one", "two"])
+        return materialize(sums.select("one", "two", value))
+
+    with small_batches(df.sparkSession), shuffles_freed(df.sparkSession):
+        found = reduce(DataFrame.union, [found_in(part) for part in range(SLICES)])
+        texts = found.count()
+    if texts <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    one, two = _text_keys(text)
     rows = packed(df, one=one, two=two).join(found, ["one", "two"], "left")
     rest = df.drop(score, predicted).columns
     return rows.select(*(F.col("row").getField(c).alias(c) for c in rest), F.col("value").alias(score), (F.col("value") >= 0.5).cast("int").alias(predicted))

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chirrup.llm import bpe, components, mixing, nn_descent, quality, repeats, secrets, simhash, token_counts, toxicity, warc
-from chirrup.session import fresh_path
+from chirrup.session import discard, fresh_path, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EXTRA = "_size long, h long, n long, node long, cell long"
@@ -398,6 +399,35 @@ def test_toxicity_of_phrases_of_ordinary_words(spark):
     assert np.mean([p == label for p, label in held]) > 0.95 and np.mean([p for p, label in held if label]) > 0.95
 
 
+def test_toxicity_leaves_no_shuffle_files_and_scores_in_slices(spark, monkeypatch):
+    import time
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(["rotter"] * (i % 6 == 0) + [rng.choice(words) for _ in range(rng.randint(0, 40))]) for i in range(400)]
+    rows = [(i, t, int(i % 6 == 0)) for i, t in enumerate(texts + texts[:50])] + [(450, None, 0), (None, "rotter", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for b in blocks for f in Path(b).rglob("shuffle_*.data")}
+    before, stored = shuffled(), set(Path(shared_dir(spark).removeprefix("file:")).glob("stored-*"))
+    counted = []
+    monkeypatch.setattr(toxicity, "discard", lambda spark, path: (counted.append(path), discard(spark, path)))
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    scored = toxicity.score(docs.drop("toxic"), model)
+    for _ in range(50):  # removed in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert len(counted) == 1 and Path(counted[0].removeprefix("file:")) not in stored and spark.read.parquet(counted[0]).isEmpty()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    want = sorted(scored.collect(), key=str)
+    assert len(want) == len(rows) and all(r.score is not None for r in want)
+    for slices in (1, 7):
+        monkeypatch.setattr(toxicity, "SLICES", slices)
+        assert sorted(toxicity.score(docs.drop("toxic"), model).collect(), key=str) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
